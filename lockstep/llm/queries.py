@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, suffix_dedup
+from . import jaccard_join, mixing, packing, pii, suffix_dedup
 from .common import documents
 
 #: Where the public tokenizer files lie; the setting spark.lockstep.tokenizers of the session overrides it.
@@ -30,6 +30,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_mixing": op10_mixing,
 }
 
