@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, pii, suffix_dedup
+from . import embedding_dedup, jaccard_join, mixing, packing, pii, suffix_dedup
 from .common import documents
 
 #: Where the public tokenizer files lie; the setting spark.lockstep.tokenizers of the session overrides it.
@@ -34,6 +34,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components_of(documents(spark, sf_dir))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
 }
 
