@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, flac, jaccard_join, mixing, packing, pii, suffix_dedup
+from . import embedding_dedup, flac, jaccard_join, line_dedup, mixing, packing, pii, suffix_dedup
 from .common import documents
 
 #: Where the public tokenizer files lie; the setting spark.lockstep.tokenizers of the session overrides it.
@@ -30,6 +30,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_flac": op7_flac,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_dedup": op9_embedding_dedup,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_pii": pii.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
