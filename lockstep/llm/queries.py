@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, flac, jaccard_join, line_dedup, mixing, packing, pii, suffix_dedup
+from . import embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, suffix_dedup
 from .common import documents
 
 #: Where the public tokenizer files lie; the setting spark.lockstep.tokenizers of the session overrides it.
@@ -30,6 +30,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.evaluated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluated(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_flac": op7_flac,
     "op8_jaccard_join": op8_jaccard_join,
