@@ -1,26 +1,64 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return
+the columns of documents. run() writes each stage's rows to the shared folder and reads
+them again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lockstep.llm import packing
-from lockstep.llm.common import documents
+from lockstep.llm import jaccard_join, language_id, line_dedup, mixing, packing
+from lockstep.llm.common import documents, settle
 from lockstep.llm.queries import tokenizer_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model, fitted on docs' own learning folds, doesn't reject."""
+    return language_id.accepted(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows; documents of which nothing is left go."""
+    out = line_dedup.dedup(docs)
+    out = out.where((F.col("__removed") == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard similarity 0.75 or more hold together."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, a row each."""
     return packing.pack(docs, tokenizer_path(spark))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", join_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: Tokenizer ids and learned models have no SQL form; tests hold the stages against brute force.
+#: Learned models and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
