@@ -17,13 +17,19 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def _sum(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def some_roots(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) after a single round: nodes of equal roots are linked by a chain, others may be too. A node without a row is its own root."""
+    links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return settle(_star(_star(links, True), False).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node that links reach, for every node with a link to another.
 
@@ -37,8 +43,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if after == before or not after[0]:
             break
         before = after
-        large = settle(_star(now, True))
-        small = settle(_star(large, False))
-        forget(now, large)
-        now = small
+        after_round = settle(_star(_star(now, True), False).distinct())
+        forget(now)
+        now = after_round
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

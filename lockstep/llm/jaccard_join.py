@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, settle, slices, text_bytes
-from .components import components
+from .components import components, some_roots
 from .shingles import shingle_sets
 
 #: Linked when PER_CENT[1] * intersection >= PER_CENT[0] * union.
@@ -332,7 +332,7 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> tuple[
     nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = settle(compare(nearest, texts))
     # then the pairs that those answers leave open
-    open_ = _apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), components(known))
+    open_ = _apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), some_roots(known))
     known = known.union(settle(compare(open_, texts)))
     labels = components(known)
     # then the pairs of long lists that are still open
