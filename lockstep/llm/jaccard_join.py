@@ -7,8 +7,8 @@
    entries are skipped by their position in the prefix (what is left of both sets is too little).
 3. Answers are derived, not recomputed. A set is first compared with the one that shares most lists with
    it. Then only pairs are compared that no chain of answers has put together already: a set
-   inherits what is known of a highly similar set. Lists of more than LIST sets are compared with
-   their blocks' heads first, and pairs inside them only where they are still apart after that.
+   inherits what is known of a highly similar set. In lists of more than LIST sets each is compared
+   with the heads of the near size classes first, and pairs are looked at only where they are still apart after that.
 
 Equal texts are one node from the start. Nodes are 64-bit hashes of texts; of n different texts, two share
 a node with probability n^2 / 2^65.
@@ -189,7 +189,7 @@ def _index(docs: DataFrame, buckets: int, frequent, longest: int = LIST) -> Data
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (listed(rows, longest) for rows in _runs(batches))
 
-    return dealt.mapInArrow(by_bucket, "kind int, a long, b long, n int")
+    return dealt.mapInArrow(by_bucket, "kind int, a long, b long, n int, place int")
 
 
 def can_link(size: np.ndarray, other: np.ndarray, place: np.ndarray | int = 0, place2: np.ndarray | int = 0) -> np.ndarray:
@@ -200,7 +200,7 @@ def can_link(size: np.ndarray, other: np.ndarray, place: np.ndarray | int = 0, p
 
 
 def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
-    """A bucket's lists walked: kind 0, candidate pairs (a, b); kind 1, members (a: list, b: node, n: size) of long lists."""
+    """A bucket's lists walked: kind 0, candidate pairs (a, b); kind 1, members (a: list, b: node, n: size, place) of long lists."""
     token, node, size, place = [], [], [], []
     for _, width, tokens, docs, places, nodes, sizes in rows:
         kind = np.uint16 if width == 2 else np.uint32
@@ -239,11 +239,18 @@ def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
         right.append(node[j[ok]])
         step += 1
     member = np.flatnonzero(long)
-    rank = member - start[group[member]]
-    heads = member - rank % longest
-    before = heads - longest
-    for a, b in ((heads, member), (before[rank >= longest], heads[rank >= longest])):
-        ok = (a != b) & (size[b] * PER_CENT[0] <= size[a] * PER_CENT[1])
+    # the head of a size class is the set with the fewest shingles rarer than the list's: the nearest to what all share
+    classes = (np.log(size[member]) / np.log(PER_CENT[1] / PER_CENT[0])).astype(np.int64)
+    key = group[member] * 1024 + classes + 1
+    order = np.lexsort((place[member], key))
+    first = order[np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))] if len(member) else member
+    for near in (-1, 0, 1):
+        at = np.searchsorted(key[first], key + near) if len(first) else member
+        at = np.minimum(at, len(first) - 1)
+        ok = key[first][at] == key + near if len(first) else np.zeros(0, bool)
+        a, b = member[first[at[ok]]], member[ok]
+        small, large = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+        ok = (a != b) & can_link(size[small], size[large], place[small], place[large])
         left.append(node[a[ok]])
         right.append(node[b[ok]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -255,8 +262,9 @@ def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
     a, b = a[new], b[new]
     kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(member)])
     lists = np.concatenate([a, token[member].view(np.int64)])
-    sizes = np.concatenate([np.zeros(len(a), np.int32), size[member].astype(np.int32)])
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lists), pa.array(np.concatenate([b, node[member]])), pa.array(sizes)], ["kind", "a", "b", "n"])
+    none = np.zeros(len(a), np.int32)
+    sizes, places = (np.concatenate([none, v[member].astype(np.int32)]) for v in (size, place))
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lists), pa.array(np.concatenate([b, node[member]])), pa.array(sizes), pa.array(places)], ["kind", "a", "b", "n", "place"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +304,15 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _across(table: pa.Table) -> pa.Table:
     """Pairs of a long list that lie in different components and whose sizes can link."""
     order = np.argsort(table["n"].to_numpy(), kind="stable")
-    node, size, root = (table[c].to_numpy()[order] for c in ("b", "n", "root"))
-    size = size.astype(np.int64)
+    node, size, place, root = (table[c].to_numpy()[order].astype(np.int64) for c in ("b", "n", "place", "root"))
     values, counts = np.unique(root, return_counts=True)
     rest = np.flatnonzero(root != values[np.argmax(counts)])
     left, right = [], []
     for i in rest:
         lo, hi = np.searchsorted(size, (-(-size[i] * PER_CENT[0] // PER_CENT[1]), size[i] * PER_CENT[1] // PER_CENT[0] + 1))
         other = np.flatnonzero(root[lo:hi] != root[i]) + lo
+        low = np.minimum(size[other] - place[other], size[i] - place[i])
+        other = other[low * (PER_CENT[0] + PER_CENT[1]) >= PER_CENT[0] * (size[other] + size[i])]
         left.append(np.full(len(other), node[i]))
         right.append(node[other])
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -336,7 +345,7 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> tuple[
     known = known.union(settle(compare(open_, texts)))
     labels = components(known)
     # then the pairs of long lists that are still open
-    rooted = members.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n", F.coalesce("root", "b").alias("root"))
+    rooted = members.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n", "place", F.coalesce("root", "b").alias("root"))
     rooted = settle(rooted)
     split = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
     open_ = settle(rooted.join(split, "a", "left_semi").groupBy("a").applyInArrow(_across, "a long, b long").distinct())
