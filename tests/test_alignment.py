@@ -74,8 +74,8 @@ def test_numbering_trimming_and_order(spark):
 
 
 def test_plan_trims_with_a_broadcast_and_one_window(spark):
-    frames = spark.range(10).selectExpr("'a' AS view", "id AS ts")
-    kept = align.trim(align.number_frames(frames, ["ts"]), registry(spark, [("a", "a.avi", 2)]))
+    frames = spark.range(10).selectExpr("concat('a', id % 2) AS view", "id AS ts")
+    kept = align.trim(align.number_frames(frames, ["ts"]), registry(spark, [("a1", "a.avi", 2)]))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and "BroadcastHashJoin" in plan
 
