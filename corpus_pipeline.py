@@ -22,12 +22,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of three-line windows; documents of which nothing is left go."""
-    out = line_dedup.dedup(docs)
-    out = out.where((F.col("__removed") == 0) | F.col("text").rlike(r"\S"))
+    out = line_dedup.dedup(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, size).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

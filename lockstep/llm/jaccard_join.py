@@ -374,7 +374,10 @@ def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the row of the least doc_id of every component kept, all rows of documents that link with none."""
-    least = components_of(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component"))
-    kept = least.where(F.col("__id").eqNullSafe(F.col("__component"))).select("__id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs whose doc_id is the least of their component; all rows whose texts link with none stay.
+
+    Rows that share a doc_id stay or go together.
+    """
+    least = components_of(docs)
+    kept = least.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -164,34 +164,34 @@ def has_letter(text: str = "text") -> Column:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang, __score and __rejected added.
+    """(doc, lang, score, rejected): each row of docs as a struct, and what the model says of its text.
 
     Texts that are null or have no letter are UNKNOWN with score 0 and rejected, and so is every text if the
-    model knows no language. Repeated rows give a row each; an empty table stays empty; other columns stay.
+    model knows no language. Repeated rows give a row each; an empty table stays empty; whatever columns docs
+    has stay in the struct.
     """
-    names = [c for c in docs.columns]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*names).schema.add("__letter", "boolean").add("__lang", "string").add("__score", "double").add("__rejected", "boolean")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), has_letter().alias("letter"))
+    schema = rows.select("doc").schema.add("lang", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            # null texts are filled for the vectors only, and go out as they came
-            index = pa.array(np.arange(batch.num_rows))
-            keyed = pa.RecordBatch.from_arrays([batch.column(at), index], ["text", "row"])
+            doc = batch.column(0)
+            # null texts are filled for the vectors only; the rows go out as they came
+            keyed = pa.RecordBatch.from_arrays([doc.field("text"), pa.array(np.arange(batch.num_rows))], ["text", "row"])
             for part in slices(iter([keyed]), limit=PART_BYTES):
                 rows = batch.slice(part.column(1)[0].as_py(), part.num_rows)
-                letter = rows.column(len(names)).to_numpy(zero_copy_only=False)
+                letter = rows.column(1).to_numpy(zero_copy_only=False)
                 if own.languages:
                     which, score, out = own.predict(part.column(0))
                     lang = np.where(letter, np.array(own.languages, object)[which], UNKNOWN)
                     score, out = np.where(letter, score, 0.0), out | ~letter
                 else:
                     lang, score, out = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], schema.names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], schema.names)
 
-    return docs.select(*names, has_letter().alias("__letter")).mapInArrow(run, schema).drop("__letter")
+    return rows.mapInArrow(run, schema)
 
 
 def evaluated(docs: DataFrame) -> DataFrame:
@@ -199,10 +199,10 @@ def evaluated(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(crc_bucket("doc_id", FOLDS) == 0, F.lit(False))
     model = fit(docs.where(~held_out))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return out.select("doc.doc_id", "lang", "score", "rejected").select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score", "rejected")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rows that the model, fitted on the same folds of docs, rejects."""
     held_out = F.coalesce(crc_bucket("doc_id", FOLDS) == 0, F.lit(False))
-    return predict(docs, fit(docs.where(~held_out))).where("NOT __rejected").select(*docs.columns)
+    return predict(docs, fit(docs.where(~held_out))).where("NOT rejected").select("doc.*")

@@ -31,30 +31,29 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with lines covered by a later occurrence of a window taken out of text; __lines and __removed are their numbers.
+    """(doc, text, n_lines, n_removed): each row of docs as a struct, and its text without the lines that go.
 
-    Lines end at newlines; blank lines are lines. Texts of fewer lines than a window stay as they are, null
-    texts null. Rows that share a doc_id count as one document seen twice: what is first in one is
-    first in the other, and both lose the same lines. An empty table stays empty. Other columns stay;
-    the added ones begin with two underscores.
+    A line goes if a later occurrence of a window covers it. Lines end at newlines; blank lines are lines. Texts
+    of fewer lines than a window stay as they are, null texts null with 0 lines. Rows that share a doc_id
+    count as one document seen twice: what is first in one is first in the other, and both lose the
+    same lines. An empty table stays empty; whatever columns docs has stay in the struct.
     """
-    marks = later_windows(docs, window).select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
-    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    out = out.withColumn("__split", F.split("text", "\n", -1))
+    marks = later_windows(docs, window).select(F.col("doc_id").alias("id"), "at")
+    out = docs.select(F.struct(*docs.columns).alias("doc")).join(marks, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left")
+    out = out.withColumn("split", F.split("doc.text", "\n", -1))
     # line i is covered when a window begins at one of i - window + 1 .. i
-    covered = " OR ".join(f"array_contains(__at, i - {k})" for k in range(window))
-    kept = F.expr(f"filter(__split, (x, i) -> NOT ({covered}))")
-    out = out.withColumn("__kept", F.when(F.col("__at").isNull(), F.col("__split")).otherwise(kept))
-    lines = F.coalesce(F.size("__split"), F.lit(0))
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    out = out.withColumns({"__lines": F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long"), "__new": text})
-    out = out.withColumn("__removed", F.when(F.col("__at").isNull(), 0).otherwise(F.size("__split") - F.size("__kept")).cast("long"))
-    return out.select(*[F.col("__new").alias("text") if c == "text" else c for c in docs.columns], "__lines", "__removed")
+    covered = " OR ".join(f"array_contains(at, i - {k})" for k in range(window))
+    out = out.withColumn("kept", F.when(F.col("at").isNull(), F.col("split")).otherwise(F.expr(f"filter(split, (x, i) -> NOT ({covered}))")))
+    text = F.when(F.col("at").isNull(), F.col("doc.text")).otherwise(F.array_join("kept", "\n"))
+    return out.select(
+        "doc", text.alias("text"), F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"),
+        F.when(F.col("at").isNull(), 0).otherwise(F.size("split") - F.size("kept")).cast("long").alias("n_removed"),
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left."""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+    return dedup(docs.select("doc_id", "text")).select("doc.doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE = """

@@ -65,36 +65,34 @@ def draw(key: str, seed: str = SEED) -> Column:
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with __size, __source_size, __target, __copies and __taken added.
+    """(doc, size, source_size, target, copies, taken): each row of docs as a struct, and what the mix takes of it.
 
     Null text has size 0; a null source is a source of its own, ranked last. Rows that share a doc_id
     share their draw. If no document has a word, targets and copies are 0. An empty table stays empty.
-    Columns of docs keep their names; the added ones begin with two underscores.
+    Whatever columns docs has stay in the struct.
     """
-    sized = docs.withColumn("__size", words(F.col("text")))
-    sizes = settle(sized.groupBy(F.col("source").alias("__source")).agg(F.sum("__size").alias("__source_size")))
+    sized = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"), F.col("source").alias("__source"))
+    sizes = settle(sized.groupBy("__source").agg(F.sum("size").alias("__source_size")))
     rows, names = sizes.agg(F.count("*"), F.coalesce(F.sum(F.length("__source")), F.lit(0))).first()
-    targets = source_targets(sizes)
+    targets = source_targets(sizes).withColumnRenamed("__source", "__name")
     if rows <= BROADCAST_ROWS and names * 4 <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    out = sized.join(targets, F.col("__source").eqNullSafe(F.col("__name")))
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(CAP)))).otherwise(0.0)
-    out = out.withColumn("__rate", rate)
-    copies = F.floor("__rate") + (draw("doc_id", seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return out.withColumn("__copies", copies).withColumn("__taken", F.col("__size") * F.col("__copies")).drop("__rate")
+    out = out.withColumn("rate", rate)
+    copies = F.floor("rate") + (draw("doc.doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long")
+    out = out.select("doc", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every row as often as its copies say, with the columns of docs."""
-    copies = F.array_repeat(F.lit(1), F.col("__copies").cast("int"))
-    return plan(docs, seed).withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    copies = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
+    return plan(docs, seed).select("doc", F.explode(copies)).select("doc.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    return plan(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__copies").alias("copies"),
-    )
+    return plan(docs.select("doc_id", "text", "source")).select("doc.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLE = rf"""

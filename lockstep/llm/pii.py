@@ -125,16 +125,15 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
     """docs with every span, overlapping ones merged, replaced in text by the mark; null texts stay null."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    cut = spans(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
     all_of = ", ".join(f"transform(__{k.name}, x -> struct(x.s, x.e))" for k in KINDS)
-    cut = spans(keyed.select(F.col("__row").alias("doc_id"), "text")).withColumn("__cut", F.expr(f"array_sort(concat({all_of}))"))
+    cut = cut.withColumn("__cut", F.expr(f"array_sort(concat({all_of}))"))
     done = F.expr(f"""aggregate(__cut, struct(0 AS at, CAST('' AS string) AS got),
-        (a, x) -> CASE WHEN x.e <= a.at THEN a WHEN x.s < a.at THEN struct(x.e AS at, a.got)
+        (a, x) -> CASE WHEN x.e <= a.at THEN a WHEN x.s < a.at THEN struct(x.e AS at, a.got AS got)
           ELSE struct(x.e AS at, concat(a.got, substring(__text, a.at + 1, x.s - a.at), '{mark}') AS got) END,
         a -> concat(a.got, substring(__text, a.at + 1)))""")
-    out = cut.select(F.col("doc_id").alias("__row"), done.alias("__clean"))
-    text = F.when(F.col("text").isNotNull(), F.col("__clean")).alias("text")
-    return keyed.join(out, "__row").select(*[text if c == "text" else c for c in docs.columns])
+    text = F.when(F.col("doc_id.text").isNotNull(), done).alias("text")
+    return cut.select(*[text if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
