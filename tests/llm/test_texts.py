@@ -1,0 +1,232 @@
+"""Packing, personal data, mixing and line dedup on the edge fixture, against brute force or SQL."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lockstep.llm import line_dedup, mixing, packing, pii
+from lockstep.llm.queries import TOKENIZERS
+
+PATH = f"{TOKENIZERS}/word_bpe_49k.json"
+
+
+def sql(query, edges):
+    """The oracle's rows over the fixture, doc_id null left out where the SQL is keyed by it."""
+    frame = pd.DataFrame([r[:5] for r in edges], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    with duckdb.connect() as db:
+        db.register("frame", frame)
+        db.execute("CREATE VIEW documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(text AS VARCHAR) AS text, CAST(source AS VARCHAR) AS source FROM frame")
+        found = db.execute(query)
+        return [d[0] for d in found.description], found.fetchall()
+
+
+def same(got, columns, want):
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in got) == sorted(map(repr, want))
+
+
+def test_pieces_hold_each_id_once(docs, edges):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    rows = packing.pack(docs, PATH).toPandas()
+    assert (rows.groupby("sequence_id").length.sum() <= 2048).all()
+    padding = 0
+    for _, own in rows.sort_values("offset").groupby("sequence_id"):
+        assert (own.offset.to_numpy() == np.cumsum(own.length) - own.length).all()
+        n = own.length.sum()
+        padding += 0 if n & (n - 1) == 0 else 2048 - n
+    assert padding <= 0.02 * rows.length.sum()
+    # what each text's pieces must be, whatever the cuts
+    want = Counter()
+    for r in edges:
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want[(r[0], len(ids), ids.tobytes())] += 1
+    crc = defaultdict(list)
+    for (doc_id, n, ids), times in want.items():
+        crc[doc_id if doc_id is not None else -1, n].append((ids, times))
+    for (doc_id, n), own in rows.assign(doc_id=rows.doc_id.fillna(-1).astype(int)).groupby(["doc_id", "doc_tokens"]):
+        have = crc.pop((doc_id, n))
+        assert sum(t for _, t in have) * n == own.length.sum()
+        for p in own.itertuples():
+            assert any(zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)]) == p.ids_crc32 for ids, _ in have)
+    assert not crc
+
+
+def test_packing_is_the_same_again_and_empty_of_nothing(docs, nothing):
+    one, two = (sorted(map(tuple, packing.pack(docs, PATH).collect()), key=repr) for _ in range(2))
+    assert one == two and packing.pack(nothing, PATH).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 90), max_size=200), st.integers(3, 40))
+def test_packer(sizes, most):
+    packer = packing.Packer(32, 100)
+    old, packing.MAX_OPEN = packing.MAX_OPEN, most
+    try:
+        for k, n in enumerate(sizes):
+            packer.add(k, np.arange(n, dtype="<u4"))
+            assert len(packer.open) <= most and packer.levels.sum() == len(packer.open)
+        packer.finish()
+    finally:
+        packing.MAX_OPEN = old
+    by = defaultdict(list)
+    for doc, start, ids, n, sequence, offset in packer.done:
+        assert n == sizes[doc] and (ids == np.arange(start, start + len(ids))).all() and len(ids)
+        by[sequence].append((offset, len(ids)))
+    for own in by.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at & (at - 1) == 0 and at <= 32
+    assert sum(len(p[2]) for p in packer.done) == sum(sizes)
+
+
+def test_packer_takes_the_level_of_least_squares():
+    packer = packing.Packer(10, 0)
+    levels = np.zeros(11, np.int64)
+    rng = np.random.default_rng(2)
+    for k in range(300):
+        size = int(rng.integers(1, 10))
+        costs = {}
+        for h in range(0, 11 - size):
+            if h == 0 or levels[h]:
+                new = levels.copy()
+                new[h] -= h > 0
+                new[h + size] += h + size < 10
+                costs[h] = int((new.astype(int) ** 2).sum())
+        before = packer.levels.copy()
+        packer.add(k, np.zeros(size, "<u4"))
+        moved = np.flatnonzero(packer.levels - before)
+        chosen = next((int(h) for h in moved if packer.levels[h] < before[h]), 0)
+        assert costs[chosen] == min(costs.values())
+        levels = packer.levels.copy()
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+TRICKY = [
+    "a@b.c@d.e x@y", "a@b.c_d@e.f a@b..c", "..@x.y %@-.- a@b.c.d.", "1.2.3.4.5.6.7.8", "256.1.1.1 001.02.3.255 1.2.3.4000", "4111-1111-1111-1111 4111 1111 1111 1112",
+    "+1 2 3 4 5 6 7 8 9 +12(((3 +1.2.3.4.5.6.7.8.9.10.11", "4111111111111111 10.0.0.14111111111111111", "é4111111111111111é+4930123456789", "+1+2 (3) 4567890123", "", "@", "1" * 3000, "a" * 3000,
+    "phone 213 555 5044 and (213) 555-5044", "GB82WEST12345698765432 iban GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789 x 123-45-6789",
+]
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark, docs, edges):
+    texts = [(k, t) for k, t in enumerate(TRICKY)] + [(r[0], r[1]) for r in edges]
+    rows = pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], tuple(s for s in r["spans"].split(",") if s.split(":")[0] in BASE)) for r in rows)
+    assert got == Counter((k, tuple(base_spans(t or ""))) for k, t in texts)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("a1.@+-( 4", max_size=40), min_size=30, max_size=60))
+def test_base_spans_of_random_texts(spark, texts):
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert [s for s in r["spans"].split(",") if s and s.split(":")[0] in BASE] == base_spans(texts[r["doc_id"]])
+
+
+def test_context_and_checksums_add_spans(spark):
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")).collect()}
+    n = TRICKY.index("phone 213 555 5044 and (213) 555-5044")
+    assert rows[n]["n_local"] == 2 and rows[n + 1]["n_iban"] == 2 and rows[n + 2]["spans"] == "ssn:4:15,ssn:18:29"
+    assert "iban:28:55:90" in rows[n + 1]["scored_spans"]
+
+
+def test_pii_sql(docs, edges, nothing):
+    columns, want = sql(pii.ORACLE, edges)
+    same(pii.find(docs).collect(), columns, want)
+    assert pii.find(nothing).count() == 0
+
+
+def test_redaction(spark, docs):
+    frame = spark.createDataFrame([(1, "to a@b.cc, 10.0.0.1"), (2, None), (3, "")], "x int, text string").withColumn("doc_id", F.lit(1))
+    assert [r["text"] for r in pii.redact(frame).orderBy("x").collect()] == ["to [PII], [PII]", None, ""]
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_mixing_sql(docs, edges, nothing):
+    columns, want = sql(mixing.ORACLE, edges)
+    got = mixing.taken(docs).collect()
+    same(got, columns, want)
+    assert mixing.taken(nothing).count() == 0 and mixing.mix(nothing).count() == 0
+    copies = Counter(r["doc_id"] for r in got for _ in range(r["copies"]))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == copies
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=12))
+def test_targets_are_where_resharing_ends(spark, sizes):
+    weight = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    capped: set[int] = set()
+    while True:
+        rest = sum(sizes) - sum(3 * sizes[k] for k in capped)
+        free = sum(w for k, w in enumerate(weight) if k not in capped)
+        target = [3 * s if k in capped else rest * weight[k] / free for k, s in enumerate(sizes)]
+        above = {k for k, t in enumerate(target) if k not in capped and t > 3 * sizes[k] + 1e-9}
+        if not above:
+            break
+        capped |= above
+    frame = spark.createDataFrame([(f"s{k:02d}", n) for k, n in enumerate(sizes)], "__source string, __source_size long")
+    got = [r["__target"] for r in mixing.source_targets(frame).orderBy("__source").collect()]
+    assert got == pytest.approx(target)
+
+
+def test_taken_words_come_near_the_targets(spark):
+    frame = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + int(id % 37)) AS text", "concat('s', least(id % 8, 3)) AS source")
+    rows = mixing.taken(frame).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max(F.col("taken") / F.col("size")).alias("m")).collect()
+    assert len(rows) >= 3 and all(abs(r["t"] - r["target"]) < 0.1 * r["target"] and r["m"] <= 3 for r in rows)
+
+
+def test_line_dedup_sql(spark, edges, nothing):
+    # the SQL keys documents by id, so each id once
+    unique = list({r[0]: r for r in edges if r[0] is not None}.values()) + [(2000, "p\nq\nr\ns\nt", *[None] * 9), (2001, "z\nq\nr\ns\ny", *[None] * 9), (2002, "q\nr\ns", *[None] * 9)]
+    frame = spark.createDataFrame(unique, nothing.schema)
+    columns, want = sql(line_dedup.ORACLE, unique)
+    got = line_dedup.report(frame).collect()
+    same(got, columns, want)
+    by = {r["doc_id"]: r["text"] for r in got}
+    assert (by[2000], by[2001], by[2002]) == ("p\nq\nr\ns\nt", "z\ny", "")
+    assert line_dedup.dedup(nothing).count() == 0
+
+
+def test_line_dedup_of_repeated_rows(spark, docs, edges):
+    rows = line_dedup.report(docs).collect()
+    assert len(rows) == len(edges)
+    once = {r["text"] for r in rows if r["doc_id"] == 1}
+    assert len(once) == 1 and all(r["text"] is None for r in rows if r["doc_id"] == 12)
+    repeated = spark.createDataFrame([(5, "a\na\na\na\na"), (5, "a\na\na\na\na")], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.report(repeated).collect()] == ["a", "a"]
