@@ -33,6 +33,8 @@ PER_CENT = (75, 100)
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Lists of up to so many sets are compared pair by pair.
 LIST = 64
+#: Lists of shingles in 2 to this power of sets are never in one task: their members are spread, and joined with their heads.
+SPREAD = 14
 CHUNK_BYTES, PART_BYTES = 12 << 20, 2 << 20
 COUNTED = "bucket int, tokens binary, many binary, times binary, nodes binary, sizes binary"
 INDEXED = "bucket int, width int, tokens binary, docs binary, places binary, nodes binary, sizes binary"
@@ -148,39 +150,42 @@ def prefix_size(size: np.ndarray) -> np.ndarray:
     return np.where(size > 0, size - need + 1, 0)
 
 
-def _index(docs: DataFrame, buckets: int, frequent, longest: int = LIST) -> DataFrame:
-    """Rows of index entries by bucket; frequent: a broadcast of names and levels."""
+def _index(docs: DataFrame, buckets: int, frequent, longest: int = LIST, spread: int = SPREAD) -> DataFrame:
+    """The index, walked: what listed gives; frequent is a broadcast of names and levels."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, levels = frequent.value
         hint = np.zeros(1 << 22, bool)
         hint[often & (len(hint) - 1)] = True
         for nodes, names, bounds in _chunks(batches):
+            level = np.zeros(len(names), np.int8)
             if len(often):
                 near = np.flatnonzero(hint[(names & np.uint64(len(hint) - 1)).astype(np.int64)])
                 short = (_bucket(names[near], buckets) << 32) | (names[near] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 at = np.minimum(np.searchsorted(often, short), len(often) - 1)
                 hit = often[at] == short
-                level = np.zeros(len(names), np.int8)
                 level[near[hit]] = levels[at[hit]]
                 for k in np.unique(np.searchsorted(bounds, near[hit], side="right") - 1):
                     a, b = bounds[k], bounds[k + 1]
-                    names[a:b] = names[a:b][np.argsort(level[a:b], kind="stable")]
+                    order = np.argsort(level[a:b], kind="stable")
+                    names[a:b], level[a:b] = names[a:b][order], level[a:b][order]
             size = np.diff(bounds)
             take = prefix_size(size)
             doc = np.repeat(np.arange(len(nodes)), take)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(take) - take, take)
             token = names[bounds[doc] + place]
-            bucket = _bucket(token, buckets)
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            spread_out = level[bounds[doc] + place] >= spread
+            # slots 0 to buckets: lists by shingle; above: spread by chunk
+            bucket = np.where(spread_out, buckets + int(nodes[0]) % buckets, _bucket(token, buckets))
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 15 else bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 part = order[cuts[b] : cuts[b + 1]]
                 own, inside = np.unique(doc[part], return_inverse=True)
                 width = 2 if max(len(own), int(place[part].max())) < 1 << 16 else 4
                 kind = np.uint16 if width == 2 else np.uint32
-                rows.append((int(b), width, token[part].tobytes(), inside.astype(kind).tobytes(), place[part].astype(kind).tobytes(), nodes[own].tobytes(), size[own].astype(np.uint32).tobytes()))
+                rows.append((int(b) % buckets, width if b < buckets else -width, token[part].tobytes(), inside.astype(kind).tobytes(), place[part].astype(kind).tobytes(), nodes[own].tobytes(), size[own].astype(np.uint32).tobytes()))
             if rows:
                 yield _batch(rows, INDEXED)
 
@@ -199,17 +204,24 @@ def can_link(size: np.ndarray, other: np.ndarray, place: np.ndarray | int = 0, p
     return (other * t <= size * h) & (most * (t + h) >= t * (size + other))
 
 
-def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
-    """A bucket's lists walked: kind 0, candidate pairs (a, b); kind 1, members (a: list, b: node, n: size, place) of long lists."""
-    token, node, size, place = [], [], [], []
+def _entries(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, node, size, place) of index rows."""
+    token, node, size, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _, width, tokens, docs, places, nodes, sizes in rows:
-        kind = np.uint16 if width == 2 else np.uint32
+        kind = np.uint16 if abs(width) == 2 else np.uint32
         own = np.frombuffer(docs, kind)
         token.append(np.frombuffer(tokens, np.uint64))
         node.append(np.frombuffer(nodes, np.int64)[own])
         size.append(np.frombuffer(sizes, np.uint32)[own].astype(np.int64))
         place.append(np.frombuffer(places, kind).astype(np.int64))
-    token, node, size, place = map(np.concatenate, (token, node, size, place))
+    return np.concatenate(token), np.concatenate(node), np.concatenate(size), np.concatenate(place)
+
+
+def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
+    """A bucket's lists walked: kind 0, candidate pairs (a, b); kind 1, members (a: list, b: node, n: size, place) of long
+    lists; kind 2, the same of lists that are spread, whose pairs come later."""
+    apart, together = _entries([r for r in rows if r[1] < 0]), _entries([r for r in rows if r[1] > 0])
+    token, node, size, place = together
     order = np.argsort(token)
     same = token[order[1:]] == token[order[:-1]]
     shared = np.zeros(len(token), bool)
@@ -260,11 +272,11 @@ def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b = a[new], b[new]
-    kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(member)])
-    lists = np.concatenate([a, token[member].view(np.int64)])
+    kind = np.repeat(np.array([0, 1, 2], np.int32), [len(a), len(member), len(apart[0])])
+    lists = np.concatenate([a, token[member].view(np.int64), apart[0].view(np.int64)])
     none = np.zeros(len(a), np.int32)
-    sizes, places = (np.concatenate([none, v[member].astype(np.int32)]) for v in (size, place))
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lists), pa.array(np.concatenate([b, node[member]])), pa.array(sizes), pa.array(places)], ["kind", "a", "b", "n", "place"])
+    sizes, places = (np.concatenate([none, v[member].astype(np.int32), w.astype(np.int32)]) for v, w in ((size, apart[2]), (place, apart[3])))
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lists), pa.array(np.concatenate([b, node[member], apart[1]])), pa.array(sizes), pa.array(places)], ["kind", "a", "b", "n", "place"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,37 +313,52 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a long list that lie in different components and whose sizes can link."""
-    order = np.argsort(table["n"].to_numpy(), kind="stable")
-    node, size, place, root = (table[c].to_numpy()[order].astype(np.int64) for c in ("b", "n", "place", "root"))
-    values, counts = np.unique(root, return_counts=True)
-    rest = np.flatnonzero(root != values[np.argmax(counts)])
-    left, right = [], []
-    for i in rest:
-        lo, hi = np.searchsorted(size, (-(-size[i] * PER_CENT[0] // PER_CENT[1]), size[i] * PER_CENT[1] // PER_CENT[0] + 1))
-        other = np.flatnonzero(root[lo:hi] != root[i]) + lo
-        low = np.minimum(size[other] - place[other], size[i] - place[i])
-        other = other[low * (PER_CENT[0] + PER_CENT[1]) >= PER_CENT[0] * (size[other] + size[i])]
-        left.append(np.full(len(other), node[i]))
-        right.append(node[other])
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> tuple[DataFrame, DataFrame]:
+def _can(one: str, two: str) -> str:
+    """can_link in SQL, of members one and two of a list."""
+    t, h = PER_CENT
+    return (
+        f"greatest({one}.n, {two}.n) * {t}L <= least({one}.n, {two}.n) * {h}L AND "
+        f"least({one}.n - {one}.place, {two}.n - {two}.place) * {t + h}L >= {t}L * ({one}.n + {two}.n)"
+    )
+
+
+def _with_heads(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of spread lists' members and the heads of their own and the next size classes."""
+    t, h = PER_CENT
+    classed = members.withColumn("class", F.expr(f"int(ln(n) / ln({h} / {t}))"))
+    heads = classed.groupBy("a", "class").agg(F.min(F.struct("place", "b", "n")).alias("m")).select("a", "class", "m.b", "m.n", "m.place")
+    near = classed.withColumn("near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    both = near.alias("x").join(heads.alias("y"), F.expr(f"x.a = y.a AND x.near = y.class AND x.b <> y.b AND {_can('x', 'y')}"))
+    return both.select(F.expr("least(x.b, y.b)").alias("a"), F.expr("greatest(x.b, y.b)").alias("b"))
+
+
+def _across(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's members that lie in different components and can link; rooted: members with their root.
+
+    Of each list, all that lie outside its largest component meet the list; pairs that cannot link don't leave the join.
+    """
+    sizes = rooted.groupBy("a", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("a").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("a", F.col("m.root").alias("largest"))
+    split = rooted.join(largest, "a")
+    rest = split.where("root <> largest")
+    both = rest.alias("x").join(rooted.alias("y"), F.expr(f"x.a = y.a AND x.root <> y.root AND {_can('x', 'y')}"))
+    return both.select(F.expr("least(x.b, y.b)").alias("a"), F.expr("greatest(x.b, y.b)").alias("b")).distinct()
+
+
+def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
     """(node, n) of all texts and (node, root) of those that link with another; docs: node, text.
 
-    root is the least node of a component; often and longest are FREQUENT and LIST. Links inside a component that others imply are not all listed.
+    root is the least node of a component; often, longest and spread are FREQUENT, LIST and SPREAD. Links inside a component that others imply are not all listed.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = settle(_count(docs, buckets, often))
     frequent = spark.sparkContext.broadcast(_frequent(counts))
     sizes = counts.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))
-    found = settle(_index(docs, buckets, frequent, longest))
-    pairs = settle(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("hits")))
-    members = found.where("kind = 1")
+    found = settle(_index(docs, buckets, frequent, longest, spread))
+    apart = found.where("kind = 2").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    members = found.where("kind = 1").select("a", "b", "n", "place").union(apart)
+    pairs = settle(found.where("kind = 0").select("a", "b").union(_with_heads(apart)).groupBy("a", "b").agg(F.count("*").alias("hits")))
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("b")).distinct()
     texts = docs.groupBy("node").agg(F.any_value("text").alias("text")).join(involved, "node", "left_semi")
     texts = settle(texts)
@@ -346,9 +373,7 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> tuple[
     labels = components(known)
     # then the pairs of long lists that are still open
     rooted = members.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n", "place", F.coalesce("root", "b").alias("root"))
-    rooted = settle(rooted)
-    split = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    open_ = settle(rooted.join(split, "a", "left_semi").groupBy("a").applyInArrow(_across, "a long, b long").distinct())
+    open_ = settle(_across(settle(rooted)))
     if not open_.isEmpty():
         more = settle(compare(open_.join(pairs, ["a", "b"], "left_anti"), texts))
         labels = components(known.union(more))
@@ -356,7 +381,7 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> tuple[
     return sizes, labels
 
 
-def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -> DataFrame:
+def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
 
     component_id is the least doc_id that links reach. Null and empty texts and texts without a word have the
@@ -365,7 +390,7 @@ def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST) -
     doc_id counts for a component only where it has no other.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sizes, labels = links(texts.select("node", "text"), often, longest)
+    sizes, labels = links(texts.select("node", "text"), often, longest, spread)
     rows = texts.select("doc_id", "node").join(sizes, "node").join(labels, "node", "left")
     rows = settle(rows.select("doc_id", "n", F.coalesce("root", "node").alias("root")))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

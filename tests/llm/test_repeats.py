@@ -93,8 +93,8 @@ def test_jaccard_join_on_edges(docs, edges, nothing, groups):
     assert Counter(repr(r["doc_id"]) for r in kept.collect()) == Counter(repr(r[0]) for r in edges if repr(r[0]) in heads)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_with_long_lists(spark, groups, seed):
+@pytest.mark.parametrize(("seed", "spread"), [(1, 30), (2, 3)])
+def test_jaccard_join_with_long_lists(spark, groups, seed, spread):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     texts = []
@@ -109,7 +109,7 @@ def test_jaccard_join_with_long_lists(spark, groups, seed):
     texts += [passage + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))) for _ in range(40)]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    got = jaccard_join.components_of(spark.createDataFrame(rows, "doc_id long, text string"), often=3, longest=4)
+    got = jaccard_join.components_of(spark.createDataFrame(rows, "doc_id long, text string"), often=3, longest=4, spread=spread)
     assert answered(got) == classes(rows, groups)
 
 
