@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Python step works on at once.
 BATCH_BYTES = 12 << 20
+#: Rows of a batch that settled steps hand to Python, which bounds what is held outside the heap.
+BATCH_ROWS = 4000
 #: A word as the contracts count it: a run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Ends the bytes of a document where documents are laid end to end.
-INT64 = pa.int64()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +50,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         df.select("*").write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +102,3 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or not bounds[-1]:
         return np.zeros(0, np.uint8), bounds
     return np.frombuffer(data, np.uint8)[start : start + int(bounds[-1])], bounds
-
-
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())

@@ -35,7 +35,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 20
 LIST = 64
 #: Lists of shingles in 2 to this power of sets are never in one task: their members are spread, and joined with their heads.
 SPREAD = 14
-CHUNK_BYTES, PART_BYTES = 12 << 20, 2 << 20
+CHUNK_BYTES, PART_BYTES = 12 << 20, 1 << 20
 COUNTED = "bucket int, tokens binary, many binary, times binary, nodes binary, sizes binary"
 INDEXED = "bucket int, width int, tokens binary, docs binary, places binary, nodes binary, sizes binary"
 

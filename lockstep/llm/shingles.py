@@ -54,7 +54,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     end = ~blank
     end[:-1] &= blank[1:] | edge[1:n]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _powers(max(21, int(n).bit_length()))
+    up, down = _powers(max(20, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * up[:n], out=sums[1:])
     return mixed((sums[stop] - sums[start]) * down[start]), np.searchsorted(start, bounds)
