@@ -31,14 +31,10 @@ def crc_bucket(key: str, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The setting of the session is used as it is; only where it is unset (tests on
-    one machine) a folder next to the warehouse is set.
+    The setting of the session is used as it is; only where it is unset, a folder beside the warehouse is taken,
+    which a cluster shares too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        base = f"{warehouse}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -79,7 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = batch.schema.get_field_index(column)
         text = batch.column(at)
         if text.null_count:
-            batch = batch.set_column(at, batch.schema.field(at), pc.fill_null(text, "" if pa.types.is_string(text.type) else b""))
+            batch = batch.set_column(at, batch.schema.field(at), pc.fill_null(text, b"" if pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type) else ""))
             text = batch.column(at)
         ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
         start = 0
