@@ -7,7 +7,8 @@ per vector, counting a pair in the first leaf that both share, and emits one lin
 group in the leaf.
 
 The splits are fitted on SAMPLE vectors at most, taken by a hash of the id; every vector is
-indexed. Equal vectors of a label enter once, with their number.
+indexed. Equal vectors of a label enter once, with their number. A label's leaf of more than GROUP vectors is
+cut into blocks, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LEAF, SAMPLE, LEAST = 4096, 65_536, 16
 SPILL = 0.6
 ROWS = "label int, dim int, code long, id long, copies long, vector binary, codes binary"
 BLOCK = 1024
+#: Vectors of a leaf and label that one task compares.
+GROUP = 20_000
 
 
 class Forest:
@@ -76,7 +79,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _leaf(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
-    """Within a leaf: kind 0, (a: id, n: linked vectors first met here); kind 1, (a: id, b: least id of its group)."""
+    """Within a leaf, or between two blocks of it: kind 0, (a: id, n: linked vectors first met here); kind 1, (a: id, b: least id of its group)."""
     code, n = key[2].as_py(), len(table)
     order = np.argsort(table["id"].to_numpy())
     table = table.take(pa.array(order))
@@ -86,12 +89,16 @@ def _leaf(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
     other = np.full((n, max(map(len, lists))), -1, np.int64)
     for k, own in enumerate(lists):
         other[k, : len(own)] = own
+    block = table["block"].to_numpy()
+    across = key[3].as_py() != key[4].as_py()
     links, root = np.zeros(n, np.int64), np.arange(n)
     lefts, rights = [], []
     for at in range(0, n, BLOCK):
         near = x[at : at + BLOCK] @ x[at:].T
         i, j = np.nonzero(near >= cosine)
         i, j = i[j > i] + at, j[j > i] + at
+        if across:
+            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
         # the first leaf that both share counts the pair
         earlier = np.zeros(len(i), bool)
         for c in range(other.shape[1]):
@@ -114,7 +121,20 @@ def _leaf(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
     return pa.table({"kind": kind, "a": ids[np.concatenate([some, moved])], "b": np.concatenate([links[some], ids[root[moved]]])})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def _dealt(placed: DataFrame, reps: DataFrame, group: int) -> DataFrame:
+    """placed with block, and i and j: the pair of blocks that the row is compared in, a row for each such pair."""
+    most = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    if most <= group:  # no leaf of a label is larger than the label
+        return placed.select("*", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    leaves = placed.groupBy("label", "dim", "code").count().where(F.col("count") > group)
+    leaves = leaves.select("label", "dim", "code", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
+    both = placed.join(leaves, ["label", "dim", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    both = both.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks").cast("long")).cast("int"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("blocks", "other")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their vectors equally long and their cosine at
@@ -158,7 +178,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
         return _leaf(key, table, cosine)
 
     placed = reps.select(F.col("label").cast("int"), "dim", "id", "copies", "embedding").mapInArrow(route, ROWS)
-    found = settle(placed.groupBy("label", "dim", "code").applyInArrow(compared, "kind int, a long, b long"))
+    dealt = _dealt(placed, reps, group).groupBy("label", "dim", "code", "i", "j")
+    found = settle(dealt.applyInArrow(compared, "kind int, a long, b long"))
     labels = components(found.where("kind = 1"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     ids = reps.select("label", "h1", "h2", "id", "copies").join(links, "id", "left").join(labels, F.col("id") == F.col("node"), "left")

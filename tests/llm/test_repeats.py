@@ -126,8 +126,8 @@ def test_shingle_sets(texts):
     assert len(set(known.values())) == len(known)
 
 
-@pytest.mark.parametrize(("leaf", "trees"), [(4096, 6), (40, 12)])
-def test_embeddings(spark, groups, leaf, trees):
+@pytest.mark.parametrize(("leaf", "trees", "group"), [(4096, 6, 10**6), (40, 12, 7)])
+def test_embeddings(spark, groups, leaf, trees, group):
     rng = np.random.default_rng(4)
     vectors = []
     for k in range(60):
@@ -139,7 +139,7 @@ def test_embeddings(spark, groups, leaf, trees):
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [1e-30] * 16, [1e30] * 16]
     vectors += [(n + k, v, 1) for k, v in enumerate(odd)] + [(n + 20, vectors[0][1], None), (n + 21, vectors[0][1], None), (None, vectors[0][1], 0), (None, None, None)]
     frame = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, label int, code string")
-    got = embedding_dedup.near_duplicates(frame, leaf=leaf, trees=trees).collect()
+    got = embedding_dedup.near_duplicates(frame, leaf=leaf, trees=trees, group=group).collect()
     fine = []
     for d, v, label in vectors:
         x = None if not v or label is None or d is None or any(c is None for c in v) else np.array(v, np.float32).astype(np.float64)
