@@ -189,3 +189,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     out = rows.select("vec_id", "fine", keys, "h1", "h2").join(ids, ["label", "h1", "h2"], "left")
     component = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: Every pair of a label is looked at: for small tables, where the forest finds every link.
+ORACLE = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT reached.d, links.y FROM reached JOIN links ON reached.r = links.x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d AS vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(r) AS component_id, d = min(r) AS kept FROM reached LEFT JOIN counted ON x = d GROUP BY d
+"""

@@ -74,5 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_pii": pii.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
