@@ -191,14 +191,17 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 def _cover_sample(docs: DataFrame, length: int, order: int, buckets: int) -> DataFrame:
     v, residues = difference_cover(order)
-    depth, cover = length - v + 1, np.zeros(v, bool)
-    cover[list(residues)] = True
+    depth, residues = length - v + 1, np.array(residues)
+
+    def sampled(size: int) -> np.ndarray:
+        at = (np.arange(0, size - depth + 1, v)[:, None] + residues).ravel()
+        return at[: np.searchsorted(at, size - depth + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for part in slices(batches, limit=CHUNK_BYTES):
             data, bounds = text_bytes(part.column(1))
-            at = [np.arange(max(0, b - a - depth + 1))[cover[np.arange(max(0, b - a - depth + 1)) % v]] + a for a, b in zip(bounds, bounds[1:]) if b - a >= length]
+            at = [sampled(int(b - a)) + a for a, b in zip(bounds, bounds[1:]) if b - a >= length]
             at = np.concatenate(at) if at else np.zeros(0, np.int64)
             fp = fingerprints(data, at, depth)
             yield from send(chunk, _keys(part.column(0)), bounds, at, fp, _pick(fp, buckets), buckets)
