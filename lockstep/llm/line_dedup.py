@@ -41,9 +41,10 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marks = later_windows(docs, window).select(F.col("doc_id").alias("id"), "at")
     out = docs.select(F.struct(*docs.columns).alias("doc")).join(marks, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left")
     out = out.withColumn("split", F.split("doc.text", "\n", -1))
-    # line i is covered when a window begins at one of i - window + 1 .. i
-    covered = " OR ".join(f"array_contains(at, i - {k})" for k in range(window))
-    out = out.withColumn("kept", F.when(F.col("at").isNull(), F.col("split")).otherwise(F.expr(f"filter(split, (x, i) -> NOT ({covered}))")))
+    # a window covers the lines from where it begins; numbers are taken away by hash, in time linear in the lines
+    left = F.expr(f"array_except(sequence(0, size(split) - 1), flatten(transform(at, p -> sequence(p, p + {window - 1}))))")
+    out = out.withColumn("left", F.when(F.col("at").isNotNull(), left))
+    out = out.withColumn("kept", F.when(F.col("at").isNull(), F.col("split")).otherwise(F.expr("transform(left, i -> split[i])")))
     text = F.when(F.col("at").isNull(), F.col("doc.text")).otherwise(F.array_join("kept", "\n"))
     return out.select(
         "doc", text.alias("text"), F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("split")).cast("long").alias("n_lines"),
