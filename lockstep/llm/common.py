@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 12 << 20
 #: Rows of a batch that settled steps hand to Python, which bounds what is held outside the heap.
 BATCH_ROWS = 4000
+#: Text bytes that one bucket of a shuffle of whole texts stands for at most, on average.
+BUCKET_BYTES = 256 << 20
 #: A word as the contracts count it: a run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +30,16 @@ def crc_bucket(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets that a shuffle of all texts of docs (column text) is dealt to.
+
+    As many as the session's shuffle partitions, and more where a bucket would else stand for over
+    BUCKET_BYTES of text: what a task holds does not grow with the table.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle, slices, text_bytes
+from .common import buckets_for, forget, settle, slices, text_bytes
 from .components import components, some_roots
 from .shingles import shingle_sets
 
@@ -351,7 +351,7 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: i
     root is the least node of a component; often, longest and spread are FREQUENT, LIST and SPREAD. Links inside a component that others imply are not all listed.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs)
     counts = settle(_count(docs, buckets, often))
     frequent = spark.sparkContext.broadcast(_frequent(counts))
     sizes = counts.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))

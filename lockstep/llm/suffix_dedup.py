@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle, slices, text_bytes
+from .common import buckets_for, forget, settle, slices, text_bytes
 
 LENGTH = 400
 #: Order of the projective plane behind the cover: V = ORDER^2 + ORDER + 1 residues, ORDER + 1 of them sampled.
@@ -279,9 +279,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, order: int = ORDER, keep_text:
     v, _ = difference_cover(order)
     if length <= v:
         raise ValueError(f"length must be above {v} for a cover of order {order}")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     long = keyed.where(F.octet_length("text") >= length)
+    buckets = buckets_for(long)
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     copies = settle(long.groupBy("key").agg(F.count("*").alias("n"), F.min(id_).alias("one")).where("n > 1"))
     marks = repeated(_cover_sample(long, length, order, buckets), buckets, lambda at, size: at.astype(np.uint32).tobytes())
