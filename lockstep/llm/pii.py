@@ -59,14 +59,18 @@ KINDS = (
 )
 BASE = tuple(k for k in KINDS if k.base)
 RAISE, LOWERED = 20, 15
+#: Matches of a run and characters of a piece, so that work on a long text is not quadratic in its size.
+RUN, PIECE = 256, 512
 
 
 def _near(words: str) -> str:
     return f"(^|[^a-z])({words})([^a-z]|$)"
 
 
-def _quoted(pattern: str) -> str:
-    return "r'" + pattern + "'"
+def _look(at: str, size: str) -> str:
+    """SQL of `size` characters (at most PIECE) of the text from `at`, by its pieces."""
+    part = [f"coalesce(get(__pieces, int(({at}) div {PIECE}) + {k}), '')" for k in (0, 1)]
+    return f"substring(concat({part[0]}, {part[1]}), int(({at}) % {PIECE}) + 1, {size})"
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -85,21 +89,41 @@ def spans(docs: DataFrame) -> DataFrame:
     out = out.withColumns(found)
     between = {f"__p_{k.name}": F.when(F.size(f"__m_{k.name}") > 0, F.split("__text", k.fast, -1)) for k in KINDS}
     out = out.withColumns(between)
+    items = {
+        f"__i_{k.name}": F.expr(f"zip_with(__m_{k.name}, slice(__p_{k.name}, 1, size(__m_{k.name})), (m, p) -> struct(m, length(m) AS n, length(p) AS p))")
+        for k in KINDS
+    }
+    out = out.withColumns(items)
+    # positions are sums over what came before: first of whole runs of matches, then inside each run
+    runs = {
+        f"__r_{k.name}": F.expr(f"""
+            aggregate(sequence(1, size(__i_{k.name}), {RUN}), struct(0 AS at, CAST(array() AS array<int>) AS got),
+              (a, i) -> struct(a.at + aggregate(slice(__i_{k.name}, i, {RUN}), 0, (t, x) -> t + x.p + x.n) AS at, concat(a.got, array(a.at)) AS got), a -> a.got)""")
+        for k in KINDS
+    }
+    out = out.withColumns({c: F.when(F.size(c.replace("__r_", "__i_")) > 0, r) for c, r in runs.items()})
     placed = {}
     for k in KINDS:
         placed[f"__s_{k.name}"] = F.expr(f"""
-            coalesce(aggregate(zip_with(__m_{k.name}, slice(__p_{k.name}, 1, size(__m_{k.name})), (m, p) -> struct(m, length(p) AS p)),
-              struct(0 AS at, CAST(array() AS array<struct<s:int,e:int,m:string>>) AS got),
-              (a, x) -> struct(a.at + x.p + length(x.m) AS at, concat(a.got, array(struct(a.at + x.p AS s, a.at + x.p + length(x.m) AS e, x.m AS m))) AS got),
-              a -> a.got), CAST(array() AS array<struct<s:int,e:int,m:string>>))""")
+            coalesce(flatten(transform(__r_{k.name}, (start, r) -> aggregate(slice(__i_{k.name}, r * {RUN} + 1, {RUN}),
+              struct(start AS at, CAST(array() AS array<struct<s:int,e:int,m:string>>) AS got),
+              (a, x) -> struct(a.at + x.p + x.n AS at, concat(a.got, array(struct(a.at + x.p AS s, a.at + x.p + x.n AS e, x.m AS m))) AS got),
+              a -> a.got))), CAST(array() AS array<struct<s:int,e:int,m:string>>))""")
     out = out.withColumns(placed)
+    confirmed = {}
+    for k in KINDS:
+        valid = f"exists(array(x.m), m -> {k.valid})" if k.valid else "true"
+        confirmed[f"__v_{k.name}"] = F.expr(f"filter(__s_{k.name}, x -> {valid})")
+    out = out.withColumns(confirmed)
+    # context is read from short pieces: a look into a long text counts its characters from the first
+    some = F.expr(" + ".join(f"size(__v_{k.name})" for k in KINDS) + " > 0")
+    out = out.withColumn("__pieces", F.when(some, F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
     scored = {}
     for k in KINDS:
-        near = f"concat(substring(__text, greatest(x.s - {BEFORE}, 0) + 1, least(x.s, {BEFORE})), ' ', substring(__text, x.e + 1, {AFTER}))"
+        near = f"concat({_look(f'greatest(x.s - {BEFORE}, 0)', f'least(x.s, {BEFORE})')}, ' ', {_look('x.e', str(AFTER))})"
         near = f"translate({near}, '{UPPER}', '{LOWER}')"
         score = f"{k.score} + if({near} RLIKE '{_near(k.context)}', {RAISE}, 0) - if({near} RLIKE '{_near(k.against)}', {LOWERED}, 0)"
-        valid = f"exists(array(x.m), m -> {k.valid})" if k.valid else "true"
-        scored[f"__{k.name}"] = F.expr(f"transform(filter(__s_{k.name}, x -> {valid}), x -> struct(x.s AS s, x.e AS e, {score} AS score))")
+        scored[f"__{k.name}"] = F.expr(f"transform(__v_{k.name}, x -> struct(x.s AS s, x.e AS e, {score} AS score))")
     out = out.withColumns(scored)
     for k in KINDS:
         if not k.base:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from lockstep.llm import queries
+from lockstep.llm import common, queries
 from lockstep.llm.common import forget, settle, shared_dir, slices, text_bytes
 
 
@@ -55,3 +55,11 @@ def test_slices_and_bytes(kind):
     assert got == [v or b"" for v in values[1:]]
     assert not list(slices(iter([batch.slice(0, 0)])))
     assert isinstance(text_bytes(pa.array([], kind))[1], np.ndarray)
+
+
+def test_buckets_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("éé",), (None,), ("abcdef",)], "text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.buckets_for(docs) == least == common.buckets_for(docs.limit(0))
+    monkeypatch.setattr(common, "BUCKET_BYTES", 1)
+    assert common.buckets_for(docs) == 10

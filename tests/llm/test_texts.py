@@ -165,6 +165,22 @@ def test_context_and_checksums_add_spans(spark):
     assert "iban:28:55:90" in rows[n + 1]["scored_spans"]
 
 
+def test_long_texts_with_many_matches(spark):
+    """Sums of positions over several runs, context across pieces: as one pass over the text gives them."""
+    words = ["mail a.b@c.org", "😀 é", "12 34 5", "+1 213 555 5044", "call", "version 1.2.3.4", "ssn 123-45-6789", "card 4111 1111 1111 1111", "x" * 37]
+    texts = ["  ".join(words[(i * i + i // 7) % len(words)] for i in range(n)) for n in (0, 1, 700, 3000)]
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kinds = {k.name: k for k in pii.KINDS}
+    for k, text in enumerate(texts):
+        spans = [s for s in rows[k]["spans"].split(",") if s]
+        assert [s for s in spans if s.split(":")[0] in BASE] == base_spans(text)
+        for kind, start, end, score in (x.split(":") for x in rows[k]["scored_spans"].split(",") if x):
+            near = (text[max(int(start) - pii.BEFORE, 0) : int(start)] + " " + text[int(end) : int(end) + pii.AFTER]).lower()
+            have = [bool(re.search(pii._near(w), near)) for w in (kinds[kind].context, kinds[kind].against)]
+            assert int(score) == kinds[kind].score + pii.RAISE * have[0] - pii.LOWERED * have[1]
+    assert rows[3]["n_email"] > pii.RUN and rows[3]["n_ssn"] > 100
+
+
 def test_pii_sql(docs, edges, nothing):
     columns, want = sql(pii.ORACLE, edges)
     same(pii.find(docs).collect(), columns, want)
@@ -230,3 +246,10 @@ def test_line_dedup_of_repeated_rows(spark, docs, edges):
     assert len(once) == 1 and all(r["text"] is None for r in rows if r["doc_id"] == 12)
     repeated = spark.createDataFrame([(5, "a\na\na\na\na"), (5, "a\na\na\na\na")], "doc_id long, text string")
     assert [r["text"] for r in line_dedup.report(repeated).collect()] == ["a", "a"]
+
+
+def test_long_runs_of_repeated_lines(spark):
+    lines = [f"line {i}" for i in range(3000)]
+    frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:1000], "own", *lines[1000:], "end"]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.report(frame).collect()}
+    assert got == {1: (0, "\n".join(lines)), 2: (3000, "own\nend")}
