@@ -165,6 +165,20 @@ def test_context_and_checksums_add_spans(spark):
     assert "iban:28:55:90" in rows[n + 1]["scored_spans"]
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    """What follows a blank after an IBAN, or fails before it, takes nothing from it."""
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = [f"{gb} The holder", f"{de} BIC COBADEFF", f"{gb} 17 times", f"pay {no} 2024 or {de} Now", f"LT12 3456 {gb} X", f"{gb} {de} {no}", f"IBAN{de}and", "é" * 600 + f" {gb} A"]
+    want = [[gb], [de], [gb], [no, de], [gb], [gb, de, no], [de], [gb]]
+    bad = ["GB82 WEST 1234 5698 7654 33 The", f"{de}7 Now", f"{de}X", "QQ89370400440532013000"]
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts + bad)), "doc_id long, text string")).collect()}
+    for k, (text, own) in enumerate(zip(texts + bad, want + [[]] * len(bad))):
+        got = [s.split(":") for s in rows[k]["spans"].split(",") if s.startswith("iban:")]
+        assert [text[int(s) : int(e)] for _, s, e in got] == own and rows[k]["n_iban"] == len(own)
+    frame = spark.createDataFrame([(1, f"to {gb} The holder")], "doc_id int, text string")
+    assert [r["text"] for r in pii.redact(frame).collect()] == ["to [PII] The holder"]
+
+
 def test_long_texts_with_many_matches(spark):
     """Sums of positions over several runs, context across pieces: as one pass over the text gives them."""
     words = ["mail a.b@c.org", "😀 é", "12 34 5", "+1 213 555 5044", "call", "version 1.2.3.4", "ssn 123-45-6789", "card 4111 1111 1111 1111", "x" * 37]
