@@ -1,14 +1,14 @@
 """Line dedup by overlapping three-line windows, with built-in functions only.
 
 Every run of WINDOW consecutive lines is named by a 128-bit hash. Names that occur more than once keep
-their first occurrence, by doc_id and then position; every later one marks its lines, marks are
+their first occurrence, by doc_id, then a 128-bit hash of the text, then position; every later one marks its lines, marks are
 merged, and marked lines go. Only names and positions are shuffled to find repeats; sums are made
 before the shuffle, and a name that is everywhere is one row per task there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -16,30 +16,35 @@ from .common import settle
 WINDOW = 3
 
 
+def text_hash(text: str) -> list[Column]:
+    """128 bits that stand for a text, as th and tg: rows with a null or repeated doc_id are told apart by them."""
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(WINDOW), text).alias("tg")]
+
+
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at): by document, the ascending line numbers (from 0) where a window begins that occurred before."""
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).where(F.size("lines") >= window)
+    """(doc_id, th, tg, at): by doc_id and text, the ascending line numbers (from 0) where a window begins that occurred before."""
+    lines = docs.select("doc_id", *text_hash("text"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).where(F.size("lines") >= window)
     parts = ", ".join(f"lines[i + {k}]" for k in range(window))
     name = F.expr(f"transform(sequence(0, size(lines) - {window}), i -> struct(xxhash64({parts}) AS h, xxhash64({window}, {parts}) AS g))")
-    windows = settle(lines.select("doc_id", F.posexplode(name).alias("at", "w")).select("doc_id", "at", "w.h", "w.g"))
+    windows = settle(lines.select("doc_id", "th", "tg", F.posexplode(name).alias("at", "w")).select("doc_id", "th", "tg", "at", "w.h", "w.g"))
     # a null doc_id comes after all others
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("at"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "tg", "at")
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    firsts = firsts.select("h", "g", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"))
-    later = windows.join(firsts, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    later = windows.join(firsts.select("h", "g", "first"), ["h", "g"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "th", "tg").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, text, n_lines, n_removed): each row of docs as a struct, and its text without the lines that go.
 
     A line goes if a later occurrence of a window covers it. Lines end at newlines; blank lines are lines. Texts
-    of fewer lines than a window stay as they are, null texts null with 0 lines. Rows that share a doc_id
-    count as one document seen twice: what is first in one is first in the other, and both lose the
-    same lines. An empty table stays empty; whatever columns docs has stay in the struct.
+    of fewer lines than a window stay as they are, null texts null with 0 lines. Rows equal in
+    doc_id (nulls too) and text count as one document seen twice: what is first in one is first in the other, and
+    both lose the same lines. Different texts under a null or repeated doc_id are documents of their own. An empty table stays empty; whatever columns docs has stay in the struct.
     """
-    marks = later_windows(docs, window).select(F.col("doc_id").alias("id"), "at")
-    out = docs.select(F.struct(*docs.columns).alias("doc")).join(marks, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left")
+    marks = later_windows(docs, window).select(F.col("doc_id").alias("id"), F.col("th").alias("id_th"), F.col("tg").alias("id_tg"), "at")
+    own = docs.select(F.struct(*docs.columns).alias("doc"), *text_hash("text"))
+    out = own.join(marks, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("id_th")) & (F.col("tg") == F.col("id_tg")), "left")
     out = out.withColumn("split", F.split("doc.text", "\n", -1))
     # a window covers the lines from where it begins; numbers are taken away by hash, in time linear in the lines
     left = F.expr(f"array_except(sequence(0, size(split) - 1), flatten(transform(at, p -> sequence(p, p + {window - 1}))))")

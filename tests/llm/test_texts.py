@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import duckdb
 import numpy as np
@@ -262,6 +263,35 @@ def test_line_dedup_of_repeated_rows(spark, docs, edges):
     assert [r["text"] for r in line_dedup.report(repeated).collect()] == ["a", "a"]
 
 
+def without_later_windows(texts):
+    """What is left of each text, in the order given, by brute force."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone = text.split("\n"), set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            gone |= {k, k + 1, k + 2} if w in seen else set()
+            seen.add(w)
+        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("own", [None, 7])
+def test_line_dedup_of_different_texts_under_one_id(spark, own):
+    """Marks touch the text they were found in only, and a passage at one place in two texts is first in one of them."""
+    first = "p\nq\nr"
+    texts = ["a0\na1\np\nq\nr", "b0\nb1\nb2\nb3\nb4\nb5", "x\ny\nz\nc", "x\ny\nz\nd\nx\ny\nz"]
+    frame = spark.createDataFrame([(1, first), *[(own, t) for t in texts], (own, None), (own, "")], "doc_id long, text string")
+    rows = line_dedup.report(frame.repartition(3)).collect()
+    got = Counter((r["n_lines"], r["n_removed"], r["text"]) for r in rows)
+    # which of the texts under one id comes first is up to their hashes
+    want = []
+    for order in permutations(texts):
+        left = without_later_windows([first, *order])
+        want.append(Counter([(0, 0, None), (1, 0, ""), *[(t.count("\n") + 1, t.count("\n") + 1 - (x.count("\n") + 1 if x else 0), x) for t, x in zip([first, *order], left)]]))
+    assert got in want and got[(5, 3, "a0\na1")] == got[(6, 0, texts[1])] == 1
+
+
 def test_long_runs_of_repeated_lines(spark):
     lines = [f"line {i}" for i in range(3000)]
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:1000], "own", *lines[1000:], "end"]))], "doc_id long, text string")
