@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, forget, settle, slices, text_bytes
+from .common import WORD_PATTERN, buckets_for, forget, settle, slices, text_bytes
 from .components import components, some_roots
 from .shingles import shingle_sets
 
@@ -381,6 +381,14 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: i
     return sizes, labels
 
 
+def _rooted(docs: DataFrame, often: int, longest: int, spread: int) -> DataFrame:
+    """(doc_id, node, n, root) for each row of docs: its text's name and number of shingles, and the least node of its component."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    sizes, labels = links(texts.select("node", "text"), often, longest, spread)
+    rows = texts.select("doc_id", "node").join(sizes, "node").join(labels, "node", "left")
+    return settle(rows.select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")))
+
+
 def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
 
@@ -389,10 +397,7 @@ def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, s
     give a row each. An empty table gives no rows. Columns other than doc_id and text are ignored. A null
     doc_id counts for a component only where it has no other.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sizes, labels = links(texts.select("node", "text"), often, longest, spread)
-    rows = texts.select("doc_id", "node").join(sizes, "node").join(labels, "node", "left")
-    rows = settle(rows.select("doc_id", "n", F.coalesce("root", "node").alias("root")))
+    rows = _rooted(docs, often, longest, spread)
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -408,6 +413,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
+def one_row_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, whatever its ids; all rows whose texts have no word stay.
+
+    The row of the least doc_id stays, nulls last; among texts of one doc_id that of the least hash; and of rows equal
+    in doc_id and text the least by all columns. An empty table stays empty.
+    """
+    key = lambda node: F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), node.alias("node"))
+    rows = _rooted(docs, FREQUENT, LIST, SPREAD).where("n > 0")
+    kept = rows.groupBy("root").agg(F.min(key(F.col("node"))).alias("__key")).select("__key")
+    word = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    keyed = docs.where(word).select(F.struct(*docs.columns).alias("doc"), key(F.xxhash64("text")).alias("__key"))
+    # dealt by the key once, for the join and for equal rows
+    found = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(F.min("doc").alias("doc"))
+    return found.select("doc.*").union(docs.where(~word))
+
+
 #: Every pair that shares a shingle is looked at: for small tables.
 ORACLE = r"""
 WITH RECURSIVE words AS (

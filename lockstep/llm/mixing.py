@@ -64,11 +64,12 @@ def draw(key: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, seed: str = SEED, by_text: bool = False) -> DataFrame:
     """(doc, size, source_size, target, copies, taken): each row of docs as a struct, and what the mix takes of it.
 
     Null text has size 0; a null source is a source of its own, ranked last. Rows that share a doc_id
-    share their draw. If no document has a word, targets and copies are 0. An empty table stays empty.
+    share their draw, null ones too as the SQL has it; by_text, rows with a null doc_id share it only where their texts are
+    equal. If no document has a word, targets and copies are 0. An empty table stays empty.
     Whatever columns docs has stay in the struct.
     """
     sized = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"), F.col("source").alias("__source"))
@@ -80,15 +81,18 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     out = sized.join(targets, F.col("__source").eqNullSafe(F.col("__name")))
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(CAP)))).otherwise(0.0)
     out = out.withColumn("rate", rate)
-    copies = F.floor("rate") + (draw("doc.doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long")
+    if by_text:
+        name = F.concat(F.lit("text:"), F.xxhash64("doc.text").cast("string"), F.lit(":"), F.xxhash64(F.lit(1), "doc.text").cast("string"))
+        out = out.withColumn("__draw_key", F.coalesce(F.col("doc.doc_id").cast("string"), name))
+    copies = F.floor("rate") + (draw("__draw_key" if by_text else "doc.doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long")
     out = out.select("doc", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, by_text: bool = False) -> DataFrame:
     """The mixed corpus: every row as often as its copies say, with the columns of docs."""
     copies = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
-    return plan(docs, seed).select("doc", F.explode(copies)).select("doc.*")
+    return plan(docs, seed, by_text).select("doc", F.explode(copies)).select("doc.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:

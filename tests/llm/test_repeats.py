@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from lockstep.llm import embedding_dedup, jaccard_join, shingles, suffix_dedup
 from lockstep.llm.components import components, some_roots
 
@@ -93,6 +94,22 @@ def test_jaccard_join_on_edges(docs, edges, nothing, groups):
     assert Counter(repr(r["doc_id"]) for r in kept.collect()) == Counter(repr(r[0]) for r in edges if repr(r[0]) in heads)
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark, docs, nothing):
+    """Null and repeated ids decide nothing for rows of other components."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{name}{rng.randrange(1000)}" for _ in range(60)) for name in "abcd")
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b + " more"), (None, b), (None, c), (2, d), (2, d + " more"), (3, d), (2, "alone here"), (2, "alone here"), (None, None), (None, None), (4, "")]
+    frame = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    kept = corpus_pipeline.join_near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    families = [[(1, a)], [(None, b), (None, b + " more")], [(None, c)], [(2, d), (2, d + " more")], [(2, "alone here")]]
+    assert len(got) == 8 and all(sum(x in f for x in got) == 1 for f in families)
+    assert sorted(map(repr, (x for x in got if not x[1]))) == sorted(map(repr, [(None, None), (None, None), (4, "")]))
+    assert corpus_pipeline.join_near_duplicates(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.join_near_duplicates(spark, nothing, "").count() == 0
+
+
 @pytest.mark.parametrize(("seed", "spread"), [(1, 30), (2, 3)])
 def test_jaccard_join_with_long_lists(spark, groups, seed, spread):
     rng = random.Random(seed)

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lockstep.llm import line_dedup, mixing, packing, pii
 from lockstep.llm.queries import TOKENIZERS
 
@@ -263,6 +264,15 @@ def test_line_dedup_of_repeated_rows(spark, docs, edges):
     assert [r["text"] for r in line_dedup.report(repeated).collect()] == ["a", "a"]
 
 
+def test_pipeline_draws_null_ids_by_text(spark):
+    frame = spark.range(6000).selectExpr("CAST(null AS long) AS doc_id", "concat('w', id, repeat(' w', int(id % 37))) AS text", "concat('s', least(id % 8, 3)) AS source")
+    want = {r["source"]: r for r in mixing.plan(frame).select("doc.source", "source_size", "target").distinct().collect()}
+    mixed = corpus_pipeline.mix_sources(spark, frame, "")
+    assert mixed.columns == frame.columns
+    got = {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()}
+    assert len(want) == 4 and all(abs(got[s] - r["target"]) < 0.1 * r["target"] for s, r in want.items())
+
+
 def without_later_windows(texts):
     """What is left of each text, in the order given, by brute force."""
     seen, out = set(), []
