@@ -35,23 +35,70 @@ def test_every_difference_is_covered(order):
     assert {(a - b) % v for a in residues for b in residues} == set(range(v)) and len(residues) == order + 1
 
 
-@pytest.mark.parametrize(("length", "order", "block"), [(20, 3, 10**6), (20, 3, 60), (400, 13, 10**6)])
-def test_suffix_dedup(spark, docs, edges, nothing, monkeypatch, length, order, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_SUFFIXES", block)
-    want = cut([(r[1] or "").encode() for r in edges], length)
-    got = suffix_dedup.dedup(docs, length, order, keep_text=True).collect()
-    have = sorted((repr(r["doc_id"]), *tuple(r)[1:5], bytes(r["kept"])) for r in got)
-    assert have == sorted((repr(e[0]), *w) for e, w in zip(edges, want))
-    if block > 100:
-        assert suffix_dedup.dedup(nothing, length, order).count() == 0
-
-
-def test_suffix_dedup_of_random_texts(spark):
+def repeated_bytes(texts, passage):
+    return [w[1] for w in cut(texts, passage)]
+
+
+@pytest.mark.parametrize(("length", "passage", "order", "bucket"), [(20, None, 3, 10**6), (30, 17, 3, 200), (400, None, 11, 10**6), (400, 320, 13, 1000)])
+def test_suffix_dedup(spark, docs, edges, nothing, monkeypatch, length, passage, order, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_NAMES", bucket)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", bucket)
+    texts = [(r[1] or "").encode() for r in edges]
+    want, more = cut(texts, length), repeated_bytes(texts, passage or min(length, suffix_dedup.PASSAGE))
+    got = suffix_dedup.dedup(docs, length, passage, order, keep_text=True).collect()
+    have = sorted((repr(r["doc_id"]), *tuple(r)[1:5], bytes(r["kept"]), r["n_repeated"]) for r in got)
+    assert have == sorted((repr(e[0]), *w, n) for e, w, n in zip(edges, want, more))
+    if bucket > 1000:
+        assert suffix_dedup.dedup(nothing, length, order=order).count() == 0
+
+
+@pytest.mark.parametrize(("partitions", "names"), [(1, 5), (4, 40), (29, 5)])
+def test_suffix_dedup_of_random_texts(spark, monkeypatch, partitions, names):
+    """Names of few bits send unequal strings to the sort, where bytes tell them apart."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 300)
+    if names < 40:
+        monkeypatch.setattr(suffix_dedup, "fingerprints", lambda data, at, length: np.array([data[p] % names for p in at], np.uint64))
     rng = random.Random(8)
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(10, 60))).decode() for _ in range(12)]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(60)]
-    got = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16, 3).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == [w[:4] for w in cut([t.encode() for t in texts], 16)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    raw = [t.encode() for t in texts]
+    got = suffix_dedup.dedup(frame, 32, 16, 3).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in got] == [(*w[:4], n) for w, n in zip(cut(raw, 32), repeated_bytes(raw, 16))]
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Reported where they repeat, and left where no 400 bytes do; a run that begins or ends inside a word has one less."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shared, fewer, copy = words(51), words(50), words(60)
+    texts = [f"{words(30)} {shared} {words(30)}", f"{shared} {words(9)}", f"{words(9)} {fewer} {words(9)}", f"{fewer}zz {words(4)}", copy, copy, words(200)]
+    rows = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_passages"] for r in rows] == [1, 1, 0, 0, 1, 1, 0] and not any(r["n_removed"] for r in rows)
+    assert [r["n_repeated"] > 0 for r in rows] == [True] * 6 + [False]
+    assert suffix_dedup.whole_words(b"ab cd ef", 0, 8) == 3 and suffix_dedup.whole_words(b"ab cd ef", 1, 7) == 1 and suffix_dedup.whole_words(b"ab cd ef", 2, 6) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=40, max_size=160), st.integers(15, 30))
+def test_anchors_ranks_and_ties(letters, depth):
+    """Equal strings have equal anchors; ties by ranks are those of the bytes, whatever the anchor's place."""
+    data = np.array(letters, np.uint8)
+    words = suffix_dedup._word(data)
+    at = np.arange(len(data) - depth + 1)
+    anchor = suffix_dedup.anchors(words, at, depth) - at
+    same = {}
+    for p, a in zip(at, anchor):
+        assert 0 <= a <= depth - 8 and same.setdefault(data[p : p + depth].tobytes(), a) == a
+    for first in range(8):
+        cover = np.arange(first, len(data), 8)
+        ranks = suffix_dedup.cover_ranks(words, cover, np.full(len(cover), len(data)), [suffix_dedup.blocks(depth)])[0]
+        # aligned suffixes only: the same shift to the cover
+        shift = (first - at) % 8
+        fine = at + shift + 8 * suffix_dedup.blocks(depth) <= len(data)
+        own, mine = at[fine], shift[fine]
+        seen = Counter((data[p : p + depth].tobytes(), int(s)) for p, s in zip(own, mine))
+        assert list(suffix_dedup.ties(words, own, mine, ranks, depth)) == [seen[data[p : p + depth].tobytes(), int(s)] > 1 for p, s in zip(own, mine)]
 
 
 def words_of(text):
