@@ -6,8 +6,9 @@ sum over levels of N(h)^2 least, N(h) being the number of open windows filled to
 N is the level array; a stack per level names the windows. There is no shuffle, and a
 task that is run again reads the same split and so makes the same sequences.
 
-When a task ends (or MAX_OPEN windows are open, which bounds its memory) the open
-windows are closed out: the emptiest windows are cut up to fill the gaps of the
+However many windows are open, none is touched but by that rule until the task ends: open windows
+hold their ids in two bytes each where the vocabulary allows it, which is less than the text of the task's own split.
+Then the open windows are closed out: the emptiest windows are cut up to fill the gaps of the
 fullest. What is left of the task's last window is cut into sequences whose sizes
 are powers of two, which need no padding.
 """
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 WINDOW = 2048
-MAX_OPEN = 4096
 END_ID = 1
 #: Memoised words of a worker; the older half goes when they are reached.
 MEMO_WORDS = 400_000
@@ -107,8 +107,8 @@ class WordIds:
 class Packer:
     """The windows of one task; pieces leave as (doc_id, start, ids, doc_tokens, sequence, offset)."""
 
-    def __init__(self, window: int, first: int):
-        self.window, self.next = window, first
+    def __init__(self, window: int, first: int, kind: str = "<u4"):
+        self.window, self.next, self.kind = window, first, kind
         self.levels = np.zeros(window + 1, np.int64)
         self.stacks: list[list[int]] = [[] for _ in range(window + 1)]
         self.open: dict[int, list[tuple]] = {}
@@ -124,7 +124,7 @@ class Packer:
         for at in range(0, full, c):
             self.done.append((doc_id, at, ids[at : at + c], n, self.fresh(), 0))
         if n > full:
-            self.place((doc_id, full, ids[full:], n))
+            self.place((doc_id, full, ids[full:].astype(self.kind), n))  # a copy: the full windows' ids go
 
     def place(self, piece: tuple) -> None:
         levels, c, size = self.levels, self.window, len(piece[2])
@@ -145,11 +145,9 @@ class Packer:
         else:
             levels[level + size] += 1
             self.stacks[level + size].append(sequence)
-        if len(self.open) >= MAX_OPEN:
-            self.close_out()
 
     def close_out(self) -> None:
-        """Fill the fullest open windows with the cut-up contents of the emptiest; one is left at most."""
+        """At the end, fill the fullest open windows with the cut-up contents of the emptiest; one is left at most."""
         fill = sorted((sum(len(p[2]) for p in pieces), s) for s, pieces in self.open.items())
         low, high = 0, len(fill) - 1
         spare: list[tuple] = []
@@ -205,7 +203,7 @@ class Packer:
     def drain(self) -> pa.RecordBatch:
         rows, self.done = self.done, []
         cols = [
-            [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [zlib.crc32(r[2].tobytes()) for r in rows],
+            [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows],
             [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows],
         ]
         names = [x.split()[0] for x in PIECES.split(", ")]
@@ -221,7 +219,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordIds(tokenizer_path), Packer(window, TaskContext.get().partitionId() << 36)
+        encode = WordIds(tokenizer_path)
+        packer = Packer(window, TaskContext.get().partitionId() << 36, "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         for part in slices(batches):
             doc_ids, (ids, bounds) = part.column(0).to_pylist(), encode(part.column(1))
             for k, doc_id in enumerate(doc_ids):

@@ -5,17 +5,19 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, suffix_dedup
 from .common import documents
 
-#: Where the public tokenizer files lie; the setting spark.lockstep.tokenizers of the session overrides it.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:
-    return os.path.join(spark.conf.get("spark.lockstep.tokenizers", TOKENIZERS), name)
+def tokenizer_path(spark: SparkSession, name: str = TOKENIZER) -> str:
+    """Where a public tokenizer's file lies: in the folder that the session's spark.lockstep.tokenizers names, else where its package has it."""
+    folder = spark.conf.get("spark.lockstep.tokenizers", None)
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

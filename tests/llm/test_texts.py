@@ -8,6 +8,7 @@ from itertools import permutations
 import duckdb
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lockstep.llm import line_dedup, mixing, packing, pii
-from lockstep.llm.queries import TOKENIZERS
+from lockstep.llm.queries import TOKENIZER
 
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
+PATH = public_tokenizers.path(TOKENIZER)
 
 
 def sql(query, edges):
@@ -68,17 +69,13 @@ def test_packing_is_the_same_again_and_empty_of_nothing(docs, nothing):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 90), max_size=200), st.integers(3, 40))
-def test_packer(sizes, most):
+@given(st.lists(st.integers(1, 90), max_size=200))
+def test_packer(sizes):
     packer = packing.Packer(32, 100)
-    old, packing.MAX_OPEN = packing.MAX_OPEN, most
-    try:
-        for k, n in enumerate(sizes):
-            packer.add(k, np.arange(n, dtype="<u4"))
-            assert len(packer.open) <= most and packer.levels.sum() == len(packer.open)
-        packer.finish()
-    finally:
-        packing.MAX_OPEN = old
+    for k, n in enumerate(sizes):
+        packer.add(k, np.arange(n, dtype="<u4"))
+        assert packer.levels.sum() == len(packer.open)
+    packer.finish()
     by = defaultdict(list)
     for doc, start, ids, n, sequence, offset in packer.done:
         assert n == sizes[doc] and (ids == np.arange(start, start + len(ids))).all() and len(ids)
@@ -92,6 +89,22 @@ def test_packer(sizes, most):
     assert sum(len(p[2]) for p in packer.done) == sum(sizes)
 
 
+def test_open_windows_stay_uncut_until_the_task_ends():
+    """Documents of 1,100 ids, of which no two fit into a window: however many there are, the rule alone decides."""
+    packer = packing.Packer(2048, 0, "<u2")
+    ids = np.arange(1100, dtype="<u4")
+    for k in range(20_000):
+        packer.add(k, ids)
+    assert len(packer.open) == packer.levels[1100] == 20_000 and not packer.done
+    assert all(len(p) == 1 and p[0][2].dtype == np.dtype("<u2") for p in packer.open.values())
+    packer.finish()
+    size = Counter()
+    for doc, start, own, n, sequence, offset in packer.done:
+        assert (own == ids[start : start + len(own)]).all() and n == 1100
+        size[sequence] += len(own)
+    assert sum(size.values()) == 22_000_000 and sum(n != 2048 for n in size.values()) <= 11
+
+
 def test_packer_takes_the_level_of_least_squares():
     packer = packing.Packer(10, 0)
     levels = np.zeros(11, np.int64)
