@@ -2,12 +2,12 @@
 
 Each tree splits the vectors again and again at the median of a random projection; vectors close to a split
 go to both sides. Vectors that share a leaf of a tree are compared, links verified by cosine in
-double precision, and linked vectors joined by union. No pair leaves its leaf's task: a task sums links
-per vector, counting a pair in the first leaf that both share, and emits one link per vector to its
+double precision, and linked vectors joined by union. No pair leaves its leaf's task, and none is kept: a task sums links
+per vector block by block, counting a pair in the first leaf that both share, and emits one link per vector to its
 group in the leaf.
 
 The splits are fitted on SAMPLE vectors at most, taken by a hash of the id; every vector is
-indexed. Equal vectors of a label enter once, with their number. A label's leaf of more than GROUP vectors is
+indexed. Equal vectors of a label enter once, with their number. A label's leaf of more than GROUP vectors, or GROUP_BYTES of them, is
 cut into blocks, and each pair of blocks is a task of its own.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, settle
-from .components import components
+from .components import components, roots
 
 COSINE = 0.98
 TREES = 6
@@ -29,10 +29,13 @@ TREES = 6
 LEAF, SAMPLE, LEAST = 4096, 65_536, 16
 #: Half the width of the overlap, as a multiple of a linked pair's usual distance along a random direction.
 SPILL = 0.6
-ROWS = "label int, dim int, code long, id long, copies long, vector binary, codes binary"
-BLOCK = 1024
-#: Vectors of a leaf and label that one task compares.
-GROUP = 20_000
+ROWS = "label int, dim int, code int, id long, copies long, vector binary, codes binary"
+#: Products of vectors that a task holds at once, and linked pairs.
+PRODUCTS, PAIRS = 1 << 22, 1 << 18
+#: Vectors of a leaf and label that one task compares, and bytes of them as doubles; bytes of the sample.
+GROUP, GROUP_BYTES, SAMPLE_BYTES = 20_000, 32 << 20, 128 << 20
+#: Bits of a leaf's number below those of its tree.
+NODE = 20
 
 
 class Forest:
@@ -66,56 +69,67 @@ class Forest:
                 low, high = off < self.margin, off >= -self.margin
                 row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
             rows.append(row)
-            codes.append((np.int64(t) << 32) | node)
+            codes.append((t << NODE | node).astype(np.int32))
         row, code = np.concatenate(rows), np.concatenate(codes)
         order = np.lexsort((code, row))
         return row[order], code[order]
 
 
+def _numbers(raw: list[bytes], dim: int) -> np.ndarray:
+    """(n, dim) of vectors sent as they came, in single or double precision."""
+    return np.frombuffer(b"".join(raw), np.float32 if len(raw[0]) == 4 * dim else np.float64).reshape(len(raw), dim).astype(np.float64)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     # scaled by the largest part first: squares of very large or small numbers leave the doubles' range
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def shared_before(lists: list[np.ndarray], code: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern of each row, table): whether rows of two patterns share a leaf before this one is in the table, by pairs asked for.
+
+    Rows with the same earlier leaves are one pattern; the table has the patterns' leaves, -1 where there are none.
+    """
+    own = [c[c < code].tobytes() for c in lists]
+    number = {c: k for k, c in enumerate(dict.fromkeys(own))}
+    table = np.full((len(number), max(1, max(len(c) // 4 for c in number))), -1, np.int32)
+    for c, k in number.items():
+        table[k, : len(c) // 4] = np.frombuffer(c, np.int32)
+    return np.array([number[c] for c in own]), table
+
+
 def _leaf(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
     """Within a leaf, or between two blocks of it: kind 0, (a: id, n: linked vectors first met here); kind 1, (a: id, b: least id of its group)."""
-    code, n = key[2].as_py(), len(table)
+    code, n, dim = key[2].as_py(), len(table), key[1].as_py()
     order = np.argsort(table["id"].to_numpy())
     table = table.take(pa.array(order))
     ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-    x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(n, -1)
-    lists = [np.frombuffer(c, np.int64) for c in table["codes"].to_pylist()]
-    other = np.full((n, max(map(len, lists))), -1, np.int64)
-    for k, own in enumerate(lists):
-        other[k, : len(own)] = own
+    x = _unit(_numbers(table["vector"].to_pylist(), dim))
+    pattern, leaves = shared_before([np.frombuffer(c, np.int32) for c in table["codes"].to_pylist()], code)
     block = table["block"].to_numpy()
     across = key[3].as_py() != key[4].as_py()
     links, root = np.zeros(n, np.int64), np.arange(n)
-    lefts, rights = [], []
-    for at in range(0, n, BLOCK):
-        near = x[at : at + BLOCK] @ x[at:].T
-        i, j = np.nonzero(near >= cosine)
-        i, j = i[j > i] + at, j[j > i] + at
+    step = max(1, PRODUCTS // n)
+    for at in range(0, n, step):
+        near = x[at : at + step] @ x[at:].T >= cosine
+        near &= np.arange(near.shape[1]) > np.arange(near.shape[0])[:, None]
         if across:
-            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
-        # the first leaf that both share counts the pair
-        earlier = np.zeros(len(i), bool)
-        for c in range(other.shape[1]):
-            mine = other[i, c]
-            earlier |= (mine >= 0) & (mine < code) & (other[j] == mine[:, None]).any(axis=1)
-        np.add.at(links, i[~earlier], copies[j[~earlier]])
-        np.add.at(links, j[~earlier], copies[i[~earlier]])
-        lefts.append(i)
-        rights.append(j)
-    i, j = np.concatenate(lefts), np.concatenate(rights)
-    while len(i):
-        before = root.copy()
-        np.minimum.at(root, j, root[i])
-        np.minimum.at(root, i, root[j])
-        root = root[root]
-        if (before == root).all():
-            break
+            near &= block[at : at + step, None] != block[at:]
+        flat = np.flatnonzero(near)
+        for k in range(0, len(flat), PAIRS):
+            i, j = np.divmod(flat[k : k + PAIRS], near.shape[1])
+            i, j = i + at, j + at
+            root = roots(i, j, n, root)
+            # the first leaf that both share counts the pair
+            kinds, which = np.unique(pattern[i] * len(leaves) + pattern[j], return_inverse=True)
+            p, q = np.divmod(kinds, len(leaves))
+            earlier = np.zeros(len(kinds), bool)
+            for c in range(leaves.shape[1]):
+                mine = leaves[p, c]
+                earlier |= (mine >= 0) & (leaves[q] == mine[:, None]).any(axis=1)
+            new = ~earlier[which]
+            links += np.bincount(i[new], copies[j[new]], n).astype(np.int64) + np.bincount(j[new], copies[i[new]], n).astype(np.int64)
     some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(n))
     kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(moved)])
     return pa.table({"kind": kind, "a": ids[np.concatenate([some, moved])], "b": np.concatenate([links[some], ids[root[moved]]])})
@@ -123,11 +137,11 @@ def _leaf(key: tuple, table: pa.Table, cosine: float = COSINE) -> pa.Table:
 
 def _dealt(placed: DataFrame, reps: DataFrame, group: int) -> DataFrame:
     """placed with block, and i and j: the pair of blocks that the row is compared in, a row for each such pair."""
-    most = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    if most <= group:  # no leaf of a label is larger than the label
+    limit = F.least(F.lit(float(group)), F.greatest(F.lit(1.0), F.lit(float(GROUP_BYTES)) / (8 * F.col("dim"))))
+    if reps.groupBy("label", "dim").count().where(F.col("count") > limit).isEmpty():  # no leaf of a label is larger than the label
         return placed.select("*", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    leaves = placed.groupBy("label", "dim", "code").count().where(F.col("count") > group)
-    leaves = leaves.select("label", "dim", "code", F.ceil(F.col("count") / group).cast("int").alias("blocks"))
+    leaves = placed.groupBy("label", "dim", "code").count().where(F.col("count") > limit)
+    leaves = leaves.select("label", "dim", "code", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
     both = placed.join(leaves, ["label", "dim", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     both = both.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks").cast("long")).cast("int"))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -155,6 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     reps = settle(reps.withColumn("dim", F.size("embedding")))
     dims = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     main, total = (dims[0]["dim"], dims[0]["count"]) if dims else (0, 0)
+    sample = min(sample, max(SAMPLE_BYTES // (8 * max(main, 1)), 1))
     taken = reps.where(F.col("dim") == main).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).select("embedding").toArrow()
     depth = max(0, min(int(np.ceil(np.log2(max(total, 1) / leaf))), int(np.log2(max(len(taken), 1) / LEAST))))
     fit = np.array(taken["embedding"].combine_chunks().flatten(), np.float64).reshape(len(taken), -1) if len(taken) else np.zeros((0, main))
@@ -165,11 +180,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
             size = batch.column("dim").to_numpy()
             for dim in np.unique(size):
                 part = batch.filter(pa.array(size == dim))
-                x = _unit(np.array(part.column("embedding").flatten(), np.float64).reshape(part.num_rows, int(dim)))
+                given = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                given = given.astype(given.dtype if given.dtype in (np.float32, np.float64) else np.float64).reshape(part.num_rows, int(dim))
+                x = _unit(given.astype(np.float64))
                 # other lengths are rare: one leaf each
-                row, code = forest.value.leaves(x) if dim == main else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                row, code = forest.value.leaves(x) if dim == main else (np.arange(len(x)), np.zeros(len(x), np.int32))
                 cuts = np.searchsorted(row, np.arange(len(x) + 1))
-                raw, codes = [v.tobytes() for v in x], [code[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                raw, codes = [v.tobytes() for v in given], [code[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 take = lambda c: part.column(c).take(pa.array(row))
                 columns = [take("label"), take("dim"), pa.array(code), take("id"), take("copies"), pa.array([raw[r] for r in row], pa.binary()), pa.array([codes[r] for r in row], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROWS.split(", ")])
@@ -180,11 +197,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, trees: int = TRE
     placed = reps.select(F.col("label").cast("int"), "dim", "id", "copies", "embedding").mapInArrow(route, ROWS)
     dealt = _dealt(placed, reps, group).groupBy("label", "dim", "code", "i", "j")
     found = settle(dealt.applyInArrow(compared, "kind int, a long, b long"))
-    labels = components(found.where("kind = 1"))
+    labels = components(found.where("kind = 1").select("a", "b"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     ids = reps.select("label", "h1", "h2", "id", "copies").join(links, "id", "left").join(labels, F.col("id") == F.col("node"), "left")
     ids = settle(ids.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "id").alias("root")))
-    forget(reps)
+    forget(reps, found, labels)
     keys = F.when(F.col("fine"), F.col("label")).alias("label")
     out = rows.select("vec_id", "fine", keys, "h1", "h2").join(ids, ["label", "h1", "h2"], "left")
     component = F.coalesce("root", "vec_id")
