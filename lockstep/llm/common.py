@@ -17,6 +17,8 @@ BATCH_BYTES = 12 << 20
 BATCH_ROWS = 4000
 #: Text bytes that one bucket of a shuffle of whole texts stands for at most, on average.
 BUCKET_BYTES = 256 << 20
+#: Rows, of some numbers each, of a table that is broadcast at most.
+BROADCAST_ROWS = 200_000
 #: A word as the contracts count it: a run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -70,6 +72,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(table: DataFrame) -> DataFrame:
+    """A settled table of few narrow columns for a join: broadcast where its rows are few, else left to be shuffled.
+
+    A plain shuffle of a settled table is one that adaptive execution can split where a key is hot.
+    """
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete settled tables that no later step reads."""
     for df in frames:

@@ -3,15 +3,16 @@
 1. Shingles are counted over all documents; those in many of them go to the end of the global order,
    so that a document's prefix holds its rare shingles.
 2. Two linked sets share a shingle in their prefixes. The index is one list per prefix shingle, sorted by
-   set size; a list is walked in blocks that end where sizes leave the range that can link, and
-   entries are skipped by their position in the prefix (what is left of both sets is too little).
+   set size. An entry's position in its prefix says how large a set it can link with at most (reach): the block of the
+   list behind that size is skipped as a whole, and single entries before it by their own position.
 3. Answers are derived, not recomputed. A set is first compared with the one that shares most lists with
    it. Then only pairs are compared that no chain of answers has put together already: a set
-   inherits what is known of a highly similar set. In lists of more than LIST sets each is compared
+   inherits what is known of a highly similar set. Where a set is compared with several similar ones, only the first overlap is counted in
+   full; the others follow from it by the few shingles in which they differ (overlaps). In lists of more than LIST sets each is compared
    with the heads of the near size classes first, and pairs are looked at only where they are still apart after that.
 
-Equal texts are one node from the start. Nodes are 64-bit hashes of texts; of n different texts, two share
-a node with probability n^2 / 2^65.
+Equal texts are one node from the start. Nodes are 64-bit hashes of texts; where a second hash tells two texts of one
+node apart, all but one get a node of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, buckets_for, forget, settle, slices, text_bytes
+from .common import WORD_PATTERN, buckets_for, forget, looked_up, settle, slices, text_bytes
 from .components import components, some_roots
 from .shingles import shingle_sets
 
@@ -204,6 +205,12 @@ def can_link(size: np.ndarray, other: np.ndarray, place: np.ndarray | int = 0, p
     return (other * t <= size * h) & (most * (t + h) >= t * (size + other))
 
 
+def reach(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set that a set of this size, as the smaller one, can link with if their first common shingle is at its place."""
+    t, h = PER_CENT
+    return ((size - place) * (t + h) - t * size) // t
+
+
 def _entries(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, node, size, place) of index rows."""
     token, node, size, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -240,12 +247,13 @@ def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
     length = np.diff(np.concatenate([start, [n]]))
     long = length[group] > longest
     left, right = [], []
-    i, step = np.flatnonzero(~long), 1
+    most = reach(size, place)
+    i, step = np.flatnonzero(~long & (most >= size)), 1
     while len(i):
         i = i[i + step < n]
         j = i + step
-        inside = (group[j] == group[i]) & (size[j] * PER_CENT[0] <= size[i] * PER_CENT[1])
-        i, j = i[inside], j[inside]  # sizes ascend: behind the first that is too large, a list's rest is skipped
+        inside = (group[j] == group[i]) & (size[j] <= most[i])
+        i, j = i[inside], j[inside]  # sizes ascend: behind the first that is out of reach, a list's rest is skipped
         ok = can_link(size[i], size[j], place[i], place[j])
         left.append(node[i[ok]])
         right.append(node[j[ok]])
@@ -279,6 +287,31 @@ def listed(rows: list[tuple], longest: int = LIST) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lists), pa.array(np.concatenate([b, node[member], apart[1]])), pa.array(sizes), pa.array(places)], ["kind", "a", "b", "n", "place"])
 
 
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The size of the intersection of sets x[k] and y[k] for each k.
+
+    For each y the first x is counted in full, and what it holds of y is kept; a later x that differs from it in few
+    shingles gets its answer from that one's by the difference, which is made once for all y.
+    """
+    out = np.zeros(len(x), np.int64)
+    order, apart, base, own = np.argsort(y, kind="stable"), {}, -1, None
+    for k in order.tolist():
+        a, b = int(x[k]), int(y[k])
+        if b != own:
+            own, base, held = b, a, np.isin(sets[a], sets[b], assume_unique=True)
+            out[k] = full = int(held.sum())
+            continue
+        if (base, a) not in apart:
+            shared = np.isin(sets[base], sets[a], assume_unique=True)
+            few = (~shared).sum() * 2 < len(sets[a]) and (len(sets[a]) - shared.sum()) * 2 < len(sets[a])
+            apart[base, a] = (np.flatnonzero(~shared), np.setdiff1d(sets[a], sets[base], assume_unique=True)) if few else None
+        if (differ := apart[base, a]) is None:
+            out[k] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        else:
+            out[k] = full - int(held[differ[0]].sum()) + int(np.isin(differ[1], sets[b], assume_unique=True).sum())
+    return out
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text of a, text of b) whose sets link; in a batch each text's set is made once."""
     for batch in batches:
@@ -291,7 +324,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, at = shingle_sets(data, bounds)
             sets = [names[x:y] for x, y in zip(at, at[1:])]
             x, y = inside[: len(a)], inside[len(a) :]
-            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
+            common = overlaps(sets, x, y)
             size = np.diff(at)
             union = size[x] + size[y] - common
             ok = (common * PER_CENT[1] >= union * PER_CENT[0]) & (common > 0)
@@ -335,26 +368,28 @@ def _with_heads(members: DataFrame) -> DataFrame:
 def _across(rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of a list's members that lie in different components and can link; rooted: members with their root.
 
-    Of each list, all that lie outside its largest component meet the list; pairs that cannot link don't leave the join.
+    Of each list, all that lie outside its largest component meet the list, by the size classes that can link: a list is
+    as many keys as it has classes. Pairs that cannot link don't leave the join.
     """
+    t, h = PER_CENT
+    rooted = rooted.withColumn("class", F.expr(f"int(ln(n) / ln({h} / {t}))"))
     sizes = rooted.groupBy("a", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("a").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("a", F.col("m.root").alias("largest"))
     split = rooted.join(largest, "a")
-    rest = split.where("root <> largest")
-    both = rest.alias("x").join(rooted.alias("y"), F.expr(f"x.a = y.a AND x.root <> y.root AND {_can('x', 'y')}"))
+    rest = split.where("root <> largest").withColumn("near", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    both = rest.alias("x").join(split.alias("y"), F.expr(f"x.a = y.a AND x.near = y.class AND x.root <> y.root AND {_can('x', 'y')}"))
     return both.select(F.expr("least(x.b, y.b)").alias("a"), F.expr("greatest(x.b, y.b)").alias("b")).distinct()
 
 
-def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
-    """(node, n) of all texts and (node, root) of those that link with another; docs: node, text.
+def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> DataFrame:
+    """(node, n, root), settled, of all texts; docs: node, text.
 
-    root is the least node of a component; often, longest and spread are FREQUENT, LIST and SPREAD. Links inside a component that others imply are not all listed.
+    n is the number of shingles, root the least node of the component, which may be the node itself; often, longest and spread are FREQUENT, LIST and SPREAD.
     """
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     counts = settle(_count(docs, buckets, often))
     frequent = spark.sparkContext.broadcast(_frequent(counts))
-    sizes = counts.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))
     found = settle(_index(docs, buckets, frequent, longest, spread))
     apart = found.where("kind = 2").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("place").alias("place"))
     members = found.where("kind = 1").select("a", "b", "n", "place").union(apart)
@@ -366,27 +401,43 @@ def links(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: i
     both = pairs.select("a", "b", "hits").union(pairs.select("b", "a", "hits"))
     nearest = both.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = settle(compare(nearest, texts))
+    first = settle(compare(nearest, texts))
     # then the pairs that those answers leave open
-    open_ = _apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), some_roots(known))
-    known = known.union(settle(compare(open_, texts)))
-    labels = components(known)
+    known = some_roots(first)
+    rest = settle(compare(_apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), known), texts))
+    labels = components(first.union(rest))
     # then the pairs of long lists that are still open
-    rooted = members.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n", "place", F.coalesce("root", "b").alias("root"))
-    open_ = settle(_across(settle(rooted)))
+    rooted = settle(members.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", "n", "place", F.coalesce("root", "b").alias("root")))
+    open_ = settle(_across(rooted))
+    done = [found, pairs, texts, first, known, rest, rooted, open_]
     if not open_.isEmpty():
         more = settle(compare(open_.join(pairs, ["a", "b"], "left_anti"), texts))
-        labels = components(known.union(more))
-    forget(found, pairs, texts)
-    return sizes, labels
+        done += [labels, more]
+        labels = components(first.union(rest).union(more))
+    sizes = counts.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("n").alias("n"))
+    out = settle(sizes.join(labels, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    forget(counts, labels, *done)
+    return out
+
+
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """docs (with a text that is not null) with node, a number for each different text."""
+    texts = docs.withColumn("node", F.xxhash64("text")).withColumn("__other", F.xxhash64(F.lit(1), "text"))
+    shared = texts.groupBy("node").agg(F.min("__other").alias("__least"), F.max("__other").alias("__most")).where("__least <> __most")
+    shared = settle(shared.select(F.col("node").alias("__shared"), "__least"))
+    own = texts.join(looked_up(shared), F.col("node") == F.col("__shared"), "left")
+    node = F.when(F.col("__other") != F.col("__least"), F.xxhash64(F.lit(2), "text")).otherwise(F.col("node"))
+    return own.withColumn("node", node).drop("__other", "__shared", "__least")
 
 
 def _rooted(docs: DataFrame, often: int, longest: int, spread: int) -> DataFrame:
-    """(doc_id, node, n, root) for each row of docs: its text's name and number of shingles, and the least node of its component."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    sizes, labels = links(texts.select("node", "text"), often, longest, spread)
-    rows = texts.select("doc_id", "node").join(sizes, "node").join(labels, "node", "left")
-    return settle(rows.select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")))
+    """(doc_id, node, n, root), settled, for each row of docs: its text's node and number of shingles, and the least node of its component."""
+    texts = with_nodes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    found = links(texts.select("node", "text"), often, longest, spread)
+    # both sides are plain shuffles: many rows of one text are split
+    out = settle(texts.select("doc_id", "node").join(found, "node"))
+    forget(found)
+    return out
 
 
 def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> DataFrame:
@@ -398,8 +449,8 @@ def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, s
     doc_id counts for a component only where it has no other.
     """
     rows = _rooted(docs, often, longest, spread)
-    least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "root", "left")
+    least = settle(rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
+    out = rows.join(looked_up(least), "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -423,7 +474,8 @@ def one_row_of_each(docs: DataFrame) -> DataFrame:
     rows = _rooted(docs, FREQUENT, LIST, SPREAD).where("n > 0")
     kept = rows.groupBy("root").agg(F.min(key(F.col("node"))).alias("__key")).select("__key")
     word = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
-    keyed = docs.where(word).select(F.struct(*docs.columns).alias("doc"), key(F.xxhash64("text")).alias("__key"))
+    keyed = with_nodes(docs.where(word).select(F.struct(*docs.columns).alias("doc"), "doc_id", "text"))
+    keyed = keyed.select("doc", key(F.col("node")).alias("__key"))
     # dealt by the key once, for the join and for equal rows
     found = keyed.join(kept, "__key", "left_semi").groupBy("__key").agg(F.min("doc").alias("doc"))
     return found.select("doc.*").union(docs.where(~word))

@@ -2,8 +2,8 @@
 
 Every run of WINDOW consecutive lines is named by a 128-bit hash. Names that occur more than once keep
 their first occurrence, by doc_id, then a 128-bit hash of the text, then position; every later one marks its lines, marks are
-merged, and marked lines go. Only names and positions are shuffled to find repeats; sums are made
-before the shuffle, and a name that is everywhere is one row per task there.
+merged, and marked lines go. Only names and positions are shuffled to find repeats. For the first occurrences, sums are made
+before the shuffle, so that a name that is everywhere is one row per task; the join that finds the later ones is split there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 WINDOW = 3
 
@@ -30,8 +30,12 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # a null doc_id comes after all others
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "tg", "at")
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = windows.join(firsts.select("h", "g", "first"), ["h", "g"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "th", "tg").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # a table of its own: a plain join of two shuffles, of which adaptive execution splits those of a window that is everywhere
+    firsts = settle(firsts.select("h", "g", "first"))
+    later = windows.join(firsts, ["h", "g"]).where(place != F.col("first"))
+    out = settle(later.groupBy("doc_id", "th", "tg").agg(F.array_sort(F.collect_set("at")).alias("at")))
+    forget(windows, firsts)
+    return out
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
