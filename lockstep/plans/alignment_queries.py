@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import align, manifest
 from ..operators.registry import FPS, registry
+from ..sources import frames as frame_files
 from . import extract
 
 #: Stand-ins: event types with the offsets of the three views; the one with offset 0 is the reference.
@@ -25,19 +26,23 @@ def _views(spark: SparkSession) -> DataFrame:
     return registry(spark, STAND_INS)
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     # renamed below the window, so that filters on the view reach the scan
-    frames = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("view"), "event_id", "ts")
-    return align.number_frames(frames, ["ts", "event_id"]).drop("ts")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("view"), "event_id", "ts")
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.number_frames(_frames(spark, sf_dir), ["ts", "event_id"]).drop("ts")
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     # views that aren't registered are dropped before numbering, which is per view
-    return align.trim(_numbered(spark, sf_dir).where(F.col("view").isin([v[0] for v in STAND_INS])), _views(spark))
+    own = _frames(spark, sf_dir).where(F.col("view").isin([v[0] for v in STAND_INS]))
+    return align.trim(align.number_frames(own, ["ts", "event_id"]).drop("ts"), _views(spark))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.frame_counts(_kept(spark, sf_dir), _views(spark))
+    return align.kept_counts(_frames(spark, sf_dir), _views(spark))
 
 
 def frame_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +100,27 @@ def extract_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.actions(counts, F.col("offset") != 1).select("view", "action")
 
 
+def probe_last_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # blanks around the whole, lines of every kind of end, lines without a value, and keys that come twice
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    probe = F.format_string(" \t\r\ncodec_name=%s\r\nwidth=%d\nheight=1\rnb_frames\nheight=%d\nwidth=%d=x \n ", "p_type", "p_size", "p_size", "p_partkey")
+    return manifest.parse_probe(parts.select("p_partkey", probe.alias("text"))).select("p_partkey", "codec_name", "width", "height", "nb_frames")
+
+
+def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each part a view with a size of its own: the reference's is on every row
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("view"), F.col("p_size").cast("string").alias("width"), F.lit("288").alias("height"))
+    return parts.select("view").crossJoin(F.broadcast(manifest.reference_resolution(parts, "7")))
+
+
+def frame_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # names as a listing gives them, in folders of views: what counts as a frame, and its number
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("frameX"), F.col("turn"), F.lit(".jpg"))).otherwise(text.frame_name(F.col("turn")))
+    listed = frame_files.listed(turns.select(F.concat(F.lit("file:/data/view"), F.col("conv_id"), F.lit("/"), name).alias("path"), F.length("text").cast("long").alias("length")))
+    return listed.select("view", "file_name", text.frame_number(F.col("file_name")).alias("n"), "length")
+
+
 def group_offset_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
     return align.trim_groups(turns, "conv_id", "turn", F.col("conv_id") % 4).select("conv_id", "turn", "frame_idx")
@@ -120,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         frame_numbering, offset_trim, frame_reindex, frame_file_name, frame_count, time_offset, alignment_note, resolution, alignment_manifest,
         inspection_manifest, existing_frame_count, extract_action, group_offset_trim, aligned_views, aligned_views_full, manifest_consistency,
+        probe_last_key, reference_resolution, frame_listing,
     )
 }
 
@@ -156,6 +183,16 @@ ORACLES: dict[str, str] = {
         SELECT v.view, count(f.name) AS frame_count FROM views v LEFT JOIN files f ON v.view = f.view AND f.name LIKE 'frame\_%.jpg' ESCAPE '\' GROUP BY v.view""",
     "extract_action": f"{_CTES} SELECT view, CASE WHEN frame_count > 1990 THEN 'skip' WHEN off = 1 THEN 'error_missing_source' ELSE 'extract' END AS action FROM counts",
     "group_offset_trim": "SELECT conv_id, turn, CAST(turn - conv_id % 4 AS BIGINT) AS frame_idx FROM conversations WHERE turn >= conv_id % 4",
+    "probe_last_key": r"""
+        WITH probe AS (
+          SELECT p_partkey, ' ' || chr(9) || chr(13) || chr(10) || 'codec_name=' || p_type || chr(13) || chr(10) || 'width=' || p_size || chr(10) || 'height=1' || chr(13) || 'nb_frames' || chr(10)
+            || 'height=' || p_size || chr(10) || 'width=' || p_partkey || '=x ' || chr(10) || ' ' AS t FROM part),
+        split AS (SELECT p_partkey, string_split_regex(trim(t, ' ' || chr(9) || chr(10) || chr(13)), '\r\n|[\n\r]') AS l FROM probe),
+        last AS (SELECT p_partkey, k, list_filter(l, lambda x: x = k OR starts_with(x, k || '='))[-1] AS line FROM split, unnest(['codec_name', 'width', 'height', 'nb_frames']) u(k))
+        SELECT p_partkey, max(CASE WHEN k = 'codec_name' THEN substr(line, 12) END) AS codec_name, max(CASE WHEN k = 'width' THEN substr(line, 7) END) AS width,
+          max(CASE WHEN k = 'height' THEN substr(line, 8) END) AS height, max(CASE WHEN k = 'nb_frames' THEN substr(line, 11) END) AS nb_frames FROM last GROUP BY p_partkey""",
+    "reference_resolution": "SELECT CAST(p_partkey AS VARCHAR) AS view, (SELECT CAST(p_size AS VARCHAR) || 'x288' FROM part WHERE p_partkey = 7) AS resolution FROM part",
+    "frame_listing": r"""SELECT 'view' || conv_id AS view, printf('frame_%04d.jpg', turn) AS file_name, turn AS n, CAST(length(text) AS BIGINT) AS length FROM conversations WHERE turn % 3 <> 0""",
     "aligned_views": f"{_CTES} SELECT c.frame_idx, c.event_id AS click_id, e.event_id AS error_id, p.event_id AS purchase_id FROM kept c JOIN kept e ON c.frame_idx = e.frame_idx AND e.view = 'error' JOIN kept p ON c.frame_idx = p.frame_idx AND p.view = 'purchase' WHERE c.view = 'click'",
     "aligned_views_full": f"{_CTES} SELECT frame_idx, {_PICKS} FROM kept GROUP BY frame_idx",
     "manifest_consistency": f"{_CTES}, nb AS (SELECT event_type AS view, count(*) AS nb_frames FROM events GROUP BY event_type) SELECT c.view, nb.nb_frames, c.off AS frame_offset, c.frame_count, nb.nb_frames - c.off = c.frame_count AS consistent FROM counts c JOIN nb ON c.view = nb.view",

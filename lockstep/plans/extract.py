@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import argparse
 import logging
-from collections.abc import Callable, Iterator
+import shlex
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +25,22 @@ from ..sources.config import Roots, roots
 log = logging.getLogger("lockstep")
 
 
-def actions(counts: DataFrame, sources_present, force: bool = False) -> DataFrame:
+def actions(counts: DataFrame, sources_present, force: bool = False, broken: Sequence[str] = ()) -> DataFrame:
     """counts (view, frame_count, ...) with action: skip, extract, or error_missing_source. Skipping is tested first.
 
-    sources_present: a column that says whether a view's source is there.
+    sources_present: a column that says whether a view's source is there; broken: views that are not skipped.
     """
-    skip = (F.col("frame_count") > 0) & ~F.lit(force)
+    skip = (F.col("frame_count") > 0) & ~F.lit(force) & ~F.col("view").isin(*broken, "")
     return counts.withColumn("action", F.when(skip, "skip").when(~sources_present, "error_missing_source").otherwise("extract"))
 
 
+def unfinished(spark: SparkSession, at: Roots, views: DataFrame, counts: DataFrame) -> list[str]:
+    """The views whose frames are not as many as their headers and offsets say."""
+    own = counts.join(views.select("view"), "view", "left_semi")
+    checked = manifest.consistency(manifest.inspection(video.headers(spark, views, at.raw_videos), views), own)
+    return [r["view"] for r in checked.where("NOT coalesce(consistent, false)").collect()]  # a row per view at most
+
+
 def inspect(spark: SparkSession, at: Roots, views: DataFrame, to: str) -> DataFrame:
     """Header fields of all sources, written as the inspection manifest."""
     found = manifest.inspection(video.headers(spark, views, at.raw_videos), views)
@@ -41,8 +49,12 @@ def inspect(spark: SparkSession, at: Roots, views: DataFrame, to: str) -> DataFr
 
 
 def extract(spark: SparkSession, at: Roots, views: DataFrame, to: str, reference: str = REFERENCE, force: bool = False,
-            metadata_only: bool = False, decode: Callable[[bytes], Iterator[bytes]] = video.read_frames) -> DataFrame:
-    """Extract what has to be, count what is there, and write the alignment manifest; returns it as read back."""
+            metadata_only: bool = False, decode: video.Decoder = video.read_frames, complete: bool = False) -> DataFrame:
+    """Extract what has to be, count what is there, and write the alignment manifest; returns it as read back.
+
+    With complete, a view is skipped only if it has as many frames as its header and its offset say, so that an extraction that broke
+    off is made anew; without, any frame will do.
+    """
     for folder in (at.logs, at.data):
         frame_files.make_folder(spark, folder)
     rows = views.collect()  # a row per view
@@ -54,7 +66,8 @@ def extract(spark: SparkSession, at: Roots, views: DataFrame, to: str, reference
         have = align.frame_counts(frame_files.list_frames(spark, at.data), views)
         present = {r["view"]: frame_files.exists(spark, at.source(r["source"])) for r in rows}
         there = F.col("view").isin([v for v, yes in present.items() if yes] or [""])
-        todo = {r["view"]: (r["action"], r["frame_count"]) for r in actions(have, there, force).collect()}
+        broken = unfinished(spark, at, views.where(there), have) if complete else []
+        todo = {r["view"]: (r["action"], r["frame_count"]) for r in actions(have, there, force, broken).collect()}
         missing = [v for v, (what, _) in todo.items() if what == "error_missing_source"]
         if missing:
             raise FileNotFoundError(f"no source video for {', '.join(missing)}")
@@ -88,6 +101,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--manifests", default="data_manifests")
     parser.add_argument("--force", action="store_true", help="extract again where frames are present")
     parser.add_argument("--metadata-only", action="store_true", help="count frames and write the manifest, nothing else")
+    parser.add_argument("--complete", action="store_true", help="skip only views that have all the frames their headers promise")
+    parser.add_argument("--decoder", help="a command on the executors that reads a video and writes its frames as JPEG images, for codecs other than Motion JPEG: ffmpeg -i pipe:0 -f image2pipe -c:v mjpeg -vsync 0 pipe:1")
     given = parser.parse_args(args)
     logging.basicConfig(level=logging.INFO, format="[%(levelname)s] %(message)s")
     spark = SparkSession.builder.appName("lockstep").getOrCreate()
@@ -95,7 +110,8 @@ def main(args: list[str] | None = None) -> None:
     if given.program == "probe":
         done = inspect(spark, at, views, f"{given.manifests}/video_inspection")
     else:
-        done = extract(spark, at, views, f"{given.manifests}/metadata", force=given.force, metadata_only=given.metadata_only)
+        decode = video.external_decoder(shlex.split(given.decoder)) if given.decoder else video.read_frames
+        done = extract(spark, at, views, f"{given.manifests}/metadata", force=given.force, metadata_only=given.metadata_only, decode=decode, complete=given.complete)
     done.show(truncate=False)
     if given.program == "extract" and not given.metadata_only:
         log.info("done; check by eye that frames of one number show one instant in all views")

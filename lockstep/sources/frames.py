@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ def list_frames(spark: SparkSession, data: str) -> DataFrame:
     if not exists(spark, data):
         return spark.createDataFrame([], LISTED)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "frame_*.jpg").load(data)
+    return listed(files.select("path", "length"))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """(view, file_name, length) of those of files (path, length) that are frames; a frame's folder is its view."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     return files.select(F.element_at(parts, -2).alias("view"), name.alias("file_name"), "length").where(is_frame_name(F.col("file_name")))
@@ -39,20 +46,51 @@ def write_frame_table(frames: DataFrame, path: str) -> None:
     frames.withColumn("file_name", frame_name(F.col("frame_idx"))).write.mode("overwrite").partitionBy("view").parquet(path)
 
 
+#: Stores that a task opens by path; plain paths are local or mounted.
+STORES = ("", "file", "hdfs", "s3", "s3a", "gs")
+
+
+def openable(path: str) -> bool:
+    return (path.partition("://")[0] if "://" in path else "file" if path.startswith("file:") else "") in STORES
+
+
+def _store(path: str):
+    """(file system, path in it) of a path that Spark would take."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(f"s3{path[3:]}" if path.startswith("s3a:") else path)
+
+
+def opened(path: str) -> BinaryIO:
+    """A file opened for reading at any place."""
+    store, at = _store(path)
+    return store.open_input_file(at)
+
+
 def write_frame_files(frames: DataFrame, folder: str) -> None:
     """Each image as folder/<view>/frame_<number>.jpg, file by file over what is there.
 
-    The folder must be one that all executors share. A file appears under its name only when it is whole, so a
-    task that is run again, or twice at a time, leaves whole files.
+    The folder must be one that all executors share: a mounted one, or a store that tasks can open by path. A file appears under its name only when it is whole, so a
+    task that is run again, or twice at a time, leaves whole files. Every image must be a JPEG.
     """
+    if not openable(folder):
+        raise ValueError(f"tasks can't write to {folder}; write_frame_table can")
 
     def write(rows: Iterator[Row]) -> None:
+        store, home = _store(folder)
+        made = set()
         for row in rows:
-            home = os.path.join(folder, row["view"])
-            os.makedirs(home, exist_ok=True)
-            part = os.path.join(home, f".{row['file_name']}.{os.getpid()}")
-            with open(part, "wb") as out:
-                out.write(row["image"])
-            os.replace(part, os.path.join(home, row["file_name"]))
+            image = bytes(row["image"])
+            if not image.startswith(b"\xff\xd8"):
+                raise ValueError(f"{row['view']}/{row['file_name']} would not be a JPEG image")
+            if row["view"] not in made:
+                store.create_dir(f"{home}/{row['view']}", recursive=True)
+                made.add(row["view"])
+            part = f"{home}/{row['view']}/.{row['file_name']}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(image)
+            store.move(part, f"{home}/{row['view']}/{row['file_name']}")
 
     frames.select("view", frame_name(F.col("frame_idx")).alias("file_name"), "image").foreachPartition(write)

@@ -1,114 +1,245 @@
-"""Video files as tables: headers, and frames of streams that hold whole images.
+"""Video files as tables: headers, and frames as JPEG images.
 
 AVI containers are read here without an outside tool: header fields of the first video stream, and its frame chunks.
-Motion JPEG chunks are JPEG images; frames of other codecs need a decoder, given as a function on bytes.
-Files come through Spark's binaryFile reader, so any store that Spark reads will do; a file has to fit
-into one row (2 GB), and a task holds one file at a time.
+Motion JPEG chunks are JPEG images; frames of other codecs need a decoder, given as a function on an open file.
+A file is opened by the task that reads it, at its own path, and read a piece at a time: a header probe takes the first bytes
+only, and a file may be of any size. Stores that cannot be opened so come through Spark's binaryFile reader,
+whole, one file in a row.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.align import small
-from .frames import exists
+from .frames import exists, openable, opened
 
 HEADERS = "view string, filename string, codec_name string, width string, height string, r_frame_rate string, duration_sec string, nb_frames string"
 FRAMES = "view string, n long, image binary"
 #: Names of codecs by their four-character codes.
 CODECS = {"MJPG": "mjpeg", "FMP4": "mpeg4", "XVID": "mpeg4", "DIVX": "mpeg4", "DX50": "mpeg4", "MP4V": "mpeg4", "H264": "h264", "AVC1": "h264"}
+#: The codec whose frames are images as they stand, and how a JPEG image begins and ends.
+IMAGES, BEGIN, END = "mjpeg", b"\xff\xd8", b"\xff\xd9"
+#: Bytes of a file that are searched for its header, and bytes that a decoder's output is read by.
+HEAD, PIECE = 1 << 20, 1 << 16
+BATCH = 8 << 20
 
+Decoder = Callable[[BinaryIO], Iterator[bytes]]
 
-def chunks(data: memoryview, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
-    """(name, start, stop) of RIFF chunks, lists opened; a chunk cut off by the end is left out."""
+
+def chunks(file: BinaryIO, start: int = 0, stop: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, stop) of the chunks of an open RIFF file, lists opened; a chunk cut off by the end is left out."""
+    stop = file.seek(0, io.SEEK_END) if stop is None else stop
     while start + 8 <= stop:
-        name, size = bytes(data[start : start + 4]), struct.unpack_from("<I", data, start + 4)[0]
+        file.seek(start)
+        name, size = struct.unpack("<4sI", file.read(8))
         body, end = start + 8, start + 8 + size
         if name in (b"RIFF", b"LIST"):
-            yield from chunks(data, body + 4, min(end, stop))
+            yield from chunks(file, body + 4, min(end, stop))
         elif end <= stop:
             yield name, body, end
         start = end + size % 2
 
 
-def read_header(content: bytes) -> dict[str, str]:
-    """Fields of the first video stream as text; {} if there is none."""
-    data, fields, kind, stream = memoryview(content), {}, None, -1
-    if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
+def _part(file: BinaryIO, a: int, b: int) -> bytes:
+    file.seek(a)
+    return file.read(b - a)
+
+
+def header_of(file: BinaryIO) -> dict[str, str]:
+    """Fields of the first video stream of an open file as text; {} if there is none. Frames are not read."""
+    fields, kind, stream = {}, None, -1
+    if _part(file, 0, 4) != b"RIFF" or _part(file, 8, 12) != b"AVI ":
         return fields
-    for name, a, b in chunks(data, 0, len(data)):
+    for name, a, b in chunks(file):
         if name == b"strh" and b - a >= 36:
             stream += 1
-            kind = bytes(data[a : a + 4])
+            body = _part(file, a, a + 36)
+            kind = body[:4]
             if kind == b"vids" and not fields:
-                code = bytes(data[a + 4 : a + 8]).decode("latin-1").upper()
-                scale, rate, _, length = struct.unpack_from("<IIII", data, a + 20)
+                scale, rate, _, length = struct.unpack_from("<IIII", body, 20)
                 per_second = Fraction(rate, scale) if scale and rate else Fraction(0)
                 duration = f"{float(length / per_second):.6f}" if per_second else ""
-                fields = {"code": code, "stream": str(stream), "r_frame_rate": f"{per_second.numerator}/{per_second.denominator}", "duration_sec": duration, "nb_frames": str(length)}
+                fields = {"code": body[4:8].decode("latin-1").upper(), "stream": str(stream), "r_frame_rate": f"{per_second.numerator}/{per_second.denominator}", "duration_sec": duration, "nb_frames": str(length)}
         elif name == b"strf" and kind == b"vids" and "width" not in fields and b - a >= 20:
-            _, width, height, _, _, coded = struct.unpack_from("<IiiHH4s", data, a)
+            _, width, height, _, _, coded = struct.unpack("<IiiHH4s", _part(file, a, a + 20))
             coded = coded.decode("latin-1").upper()
             fields |= {"width": str(width), "height": str(abs(height)), "codec_name": CODECS.get(coded, CODECS.get(fields["code"], coded.strip("\0 ").lower()))}
+        elif name[2:] in (b"dc", b"db", b"wb") or {"width", "code"} <= set(fields):
+            break
     return fields
 
 
-def read_frames(content: bytes) -> Iterator[bytes]:
-    """The frame chunks of the first video stream in order."""
-    stream = int(read_header(content).get("stream", -1))
-    wanted = {f"{stream:02d}dc".encode(), f"{stream:02d}db".encode()} if stream >= 0 else set()
-    data = memoryview(content)
-    for name, a, b in chunks(data, 0, len(data)):
-        if name in wanted:
-            yield bytes(data[a:b])
+def read_header(content: bytes) -> dict[str, str]:
+    """header_of a file's first bytes."""
+    return header_of(io.BytesIO(content))
+
+
+def read_frames(file: BinaryIO | bytes) -> Iterator[bytes]:
+    """The images of the first video stream in order, for streams whose chunks are JPEG images.
+
+    An empty chunk, which stands for no change of the picture, is no frame. ValueError for other codecs, and for a chunk that
+    is not a JPEG image: without a decoder such frames would be files that no viewer opens.
+    """
+    file = io.BytesIO(file) if isinstance(file, bytes) else file
+    found = header_of(file)
+    if not found:
+        return
+    if found.get("codec_name") != IMAGES:
+        raise ValueError(f"frames of codec {found.get('codec_name') or 'unknown'} need a decoder")
+    stream = int(found["stream"])
+    wanted = {f"{stream:02d}dc".encode(), f"{stream:02d}db".encode()}
+    for name, a, b in chunks(file):
+        if name in wanted and b > a:
+            image = _part(file, a, b)
+            if not image.startswith(BEGIN):
+                raise ValueError(f"the chunk at byte {a} is not a JPEG image")
+            yield image
+
+
+def jpegs(pipe: BinaryIO) -> Iterator[bytes]:
+    """The JPEG images that come out of a pipe one after another, each as it ends.
+
+    Segments are passed over by their sizes, so that a thumbnail inside one neither begins nor ends an image; of what
+    follows a start of scan, only a marker that is no restart and no stuffed byte ends it.
+    """
+    have, ended = bytearray(), False
+
+    def want(n: int) -> bool:
+        nonlocal ended
+        while len(have) < n and not ended:
+            got = pipe.read(PIECE)
+            ended = not got
+            have.extend(got)
+        return len(have) >= n
+
+    while want(2):
+        if have[:2] != BEGIN:
+            raise ValueError("the decoder's output is not a row of JPEG images")
+        at, scan = 2, False
+        while True:
+            if scan:
+                at = have.find(b"\xff", at)
+                while at < 0 or not want(at + 2):
+                    if ended:
+                        raise ValueError("the decoder's output ends inside an image")
+                    before = max(len(have) - 1, 2)
+                    want(len(have) + 1)
+                    at = have.find(b"\xff", before)
+            elif not want(at + 2):
+                raise ValueError("the decoder's output ends inside an image")
+            mark = have[at + 1]
+            if mark == 0xD9:
+                yield bytes(have[: at + 2])
+                del have[: at + 2]
+                break
+            if scan and (mark == 0 or 0xD0 <= mark <= 0xD7):
+                at += 2
+            elif mark == 0xFF:
+                at += 1
+            elif have[at] != 0xFF or not want(at + 4):
+                raise ValueError("the decoder's output has a broken image")
+            else:
+                scan = mark == 0xDA
+                at += 2 + int.from_bytes(have[at + 2 : at + 4], "big")
+
+
+def external_decoder(command: list[str]) -> Decoder:
+    """A decoder that pipes a file through a command which writes JPEG images one after another; neither is held whole.
+
+    For instance ffmpeg -i pipe:0 -f image2pipe -c:v mjpeg -vsync 0 pipe:1, where that is installed on the executors.
+    """
+
+    def decode(file: BinaryIO) -> Iterator[bytes]:
+        import subprocess
+        import threading
+
+        def feed() -> None:
+            try:
+                file.seek(0)
+                while piece := file.read(PIECE):
+                    run.stdin.write(piece)
+                run.stdin.close()
+            except BrokenPipeError:  # the command has what it needs, or has failed, which its exit code says
+                pass
+
+        run = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        try:
+            yield from jpegs(run.stdout)
+        finally:
+            run.stdout.close()
+            if (code := run.wait()) > 0:
+                raise subprocess.CalledProcessError(code, command)
+
+    return decode
 
 
 def _files(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame:
-    """(view, filename, content) of the registered files; fails for one that is missing."""
-    names = [r["source"] for r in views.select("source").collect()]  # a row per view
-    missing = [n for n in names if not exists(spark, f"{raw_videos}/{n}")]
+    """(view, filename, path, content) of the registered files, a task for each; content only where a path can't be opened. Fails for one that is missing."""
+    rows = [(r["view"], r["source"]) for r in views.select("view", "source").collect()]  # a row per view
+    missing = [n for _, n in rows if not exists(spark, f"{raw_videos}/{n}")]
     if missing:
         raise FileNotFoundError(f"no source video: {', '.join(missing)} in {raw_videos}")
-    found = spark.read.format("binaryFile").load([f"{raw_videos}/{n}" for n in sorted(set(names))])
-    found = found.select(F.element_at(F.split("path", "/"), -1).alias("source"), "content")
-    return found.join(small(views.select("view", "source")), "source").select("view", F.col("source").alias("filename"), "content")
+    named = spark.createDataFrame([(v, n, f"{raw_videos}/{n}") for v, n in rows], "view string, filename string, path string")
+    if openable(raw_videos):
+        return named.repartition(max(len(rows), 1), "view").withColumn("content", F.lit(None).cast("binary"))
+    found = spark.read.format("binaryFile").load(sorted({f"{raw_videos}/{n}" for _, n in rows}))
+    found = found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    return found.join(F.broadcast(named), "filename").select("view", "filename", "path", "content")
+
+
+def _open(path: str, content: bytes | None) -> BinaryIO:
+    return opened(path) if content is None else io.BytesIO(content)
 
 
 def headers(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame:
-    """Header fields of each view's file as text; a file that isn't read has empty ones."""
+    """Header fields of each view's file as text, from its first bytes; a file that isn't read has empty ones."""
+
+    def fields_of(path: str, content: bytes | None) -> dict[str, str]:
+        with _open(path, content) as file:
+            size = HEAD
+            while True:  # nearly always once
+                found = read_header(_part(file, 0, size))
+                if "width" in found or file.seek(0, io.SEEK_END) <= size:
+                    return found
+                size *= 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in HEADERS.split(", ")]
         for batch in batches:
-            fields = [read_header(c) for c in batch.column(2).to_pylist()]
+            fields = [fields_of(p, c) for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             rest = [pa.array([f.get(n, "") for f in fields], pa.string()) for n in names[2:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], names)
 
     return _files(spark, views, raw_videos).mapInArrow(run, HEADERS)
 
 
-def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Callable[[bytes], Iterator[bytes]] = read_frames) -> DataFrame:
-    """(view, n, image) of each view's file; decode makes a file's images from its bytes, in order.
+def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decoder = read_frames) -> DataFrame:
+    """(view, n, image) of each view's file; decode makes a file's images from the open file, in order.
 
-    Frames leave in batches as they are decoded. By default a frame is its chunk as it stands.
+    Frames leave in batches as they are decoded. By default they are the chunks of a Motion JPEG stream; other codecs fail.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for view, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for view, path, content in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 first, images, size = 0, [], 0
-                for n, image in enumerate(decode(content)):
-                    images.append(image)
-                    size += len(image)
-                    if size >= 8 << 20:
-                        yield _rows(view, first, images)
-                        first, images, size = n + 1, [], 0
+                with _open(path, content) as file:
+                    for n, image in enumerate(decode(file)):
+                        images.append(image)
+                        size += len(image)
+                        if size >= BATCH:
+                            yield _rows(view, first, images)
+                            first, images, size = n + 1, [], 0
                 if images:
                     yield _rows(view, first, images)
 
@@ -118,22 +249,3 @@ def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Calla
 def _rows(view: str, first: int, images: list[bytes]) -> pa.RecordBatch:
     n = pa.array(range(first, first + len(images)), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array([view] * len(images)), n, pa.array(images, pa.binary())], ["view", "n", "image"])
-
-
-def external_decoder(command: list[str]) -> Callable[[bytes], Iterator[bytes]]:
-    """A decode function that pipes a file through a command which writes JPEG images one after another.
-
-    For instance ffmpeg -i pipe:0 -f image2pipe -c:v mjpeg -vsync 0 pipe:1, where that is installed on the executors.
-    """
-
-    def decode(content: bytes) -> Iterator[bytes]:
-        import subprocess
-
-        out = subprocess.run(command, input=content, stdout=subprocess.PIPE, check=True).stdout
-        at = out.find(b"\xff\xd8")
-        while at >= 0:
-            after = out.find(b"\xff\xd8", at + 2)
-            yield out[at : after if after >= 0 else len(out)]
-            at = after
-
-    return decode

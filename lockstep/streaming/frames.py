@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.align import small
+
 
 def trim_stream(frames: DataFrame, views: DataFrame) -> DataFrame:
     """A stream (view, n, ...) joined with the registry: frames at or past their view's offset, with frame_idx."""
-    kept = frames.join(F.broadcast(views.select("view", "offset")), "view").where(F.col("n") >= F.col("offset"))
+    kept = frames.join(small(views.select("view", "offset")), "view").where(F.col("n") >= F.col("offset"))
     return kept.withColumn("frame_idx", (F.col("n") - F.col("offset")).cast("long")).drop("offset")
 
 

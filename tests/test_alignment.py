@@ -1,8 +1,10 @@
+import datetime
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lockstep.functions import text
@@ -73,11 +75,38 @@ def test_numbering_trimming_and_order(spark):
     assert [(r["view"], r["frame_count"]) for r in rows] == [("b", 0), ("a", 3)]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 64, None])
+def test_numbers_do_not_depend_on_the_ranges(spark, parts):
+    """Ties, nulls, one value that is everywhere, and columns of several types; a null view is a view."""
+    rows = [(["a", "a", "b", None][k % 4], None if k % 11 == 0 else (7 if k % 3 else k % 50), datetime.datetime(2024, 3, 31, 1, 0) + datetime.timedelta(minutes=k * 37 % 400), k) for k in range(1500)]
+    frame = spark.createDataFrame(rows, "view string, a int, t timestamp_ntz, k long").repartition(5).withColumn("z", F.col("t").cast("timestamp")).withColumn("b", F.encode(F.col("view"), "utf-8"))
+    for order in (["a", "t", "k"], ["z", "k"], ["b", "a", "k"]):
+        want = frame.withColumn("n", (F.row_number().over(Window.partitionBy("view").orderBy(*order)) - 1).cast("long"))
+        got = align.number_frames(frame, order, parts)
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and got.count() == 1500
+
+
+def test_a_view_is_numbered_by_several_tasks(spark):
+    frame = spark.range(8000).selectExpr("'a' AS view", "id AS ts")
+    numbered = align.number_frames(frame, ["ts"], 16)
+    assert numbered.where("n <> ts").isEmpty()
+    sizes = [r["c"] for r in frame.withColumn("p", align.ranges(frame, ["ts"], 16)).groupBy("p").agg(F.count("*").alias("c")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1000
+    assert align.number_frames(frame.limit(0), ["ts"]).count() == 0
+
+
+def test_counts_without_numbering(spark):
+    frame = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [("z",)], "view string")
+    views = registry(spark, [("a", "a.avi", 3), ("b", "b.avi", 4), ("c", "c.avi", 0)])
+    assert {r["view"]: r["frame_count"] for r in align.kept_counts(frame, views).collect()} == {"a": 2, "b": 0, "c": 0}
+
+
 def test_plan_trims_with_a_broadcast_and_one_window(spark):
     frames = spark.range(10).selectExpr("concat('a', id % 2) AS view", "id AS ts")
     kept = align.trim(align.number_frames(frames, ["ts"]), registry(spark, [("a1", "a.avi", 2)]))
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 1 and "BroadcastHashJoin" in plan
+    # one window over frames, by view and range; the other one is over counts
+    assert plan.count("row_number() windowspecdefinition(view") == 1 and "BroadcastHashJoin" in plan and "hashpartitioning(view" in plan and "__part" in plan
 
 
 def test_names(spark):

@@ -1,4 +1,6 @@
+import io
 import struct
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,88 @@ def test_header_of_other_bytes():
     assert list(video.read_frames(whole[:-10])) == [image("a", 0), image("a", 1)]
 
 
+def test_frames_that_are_no_images(spark, project, tmp_path):
+    """Other codecs fail, as do chunks that are no JPEG; empty chunks are no frames; nothing is written."""
+    coded = movie([b"\0\0\1\xb6" + bytes([k]) for k in range(3)], codec=b"XVID")
+    with pytest.raises(ValueError, match="mpeg4"):
+        list(video.read_frames(coded))
+    with pytest.raises(ValueError, match="not a JPEG"):
+        list(video.read_frames(movie([image("a", 0), b"\0\0\1\xb6"])))
+    assert list(video.read_frames(movie([image("a", 0), b"", image("a", 1)]))) == [image("a", 0), image("a", 1)]
+    assert list(video.read_frames(b"")) == []
+    (tmp_path / "raw_videos" / "view1.avi").write_bytes(coded)
+    views = registry(spark, VIEWS)
+    with pytest.raises(Exception, match="need a decoder"):
+        extract.extract(spark, project, views, f"{project.root}/metadata")
+    assert not (tmp_path / "metadata").exists() and not list((tmp_path / "data").glob("view1/*"))
+    # with a decoder, here one that makes an image of each chunk
+    one = [str(tmp_path / "decoder.py"), tmp_path / "decoder.py"]
+    one[1].write_text("import sys\nraw = sys.stdin.buffer.read()\nfor k in range(raw.count(b'00dc') + raw.count(b'01dc')): sys.stdout.buffer.write(b'\\xff\\xd8' + b'\\xff\\xda\\0\\2' + bytes([k]) + b'\\xff\\xd9')\n")
+    rows = extract.extract(spark, project, views, f"{project.root}/metadata", decode=video.external_decoder(["python", one[0]])).collect()
+    assert [(r["view"], r["frame_count"]) for r in rows] == [("view1", 0), ("view2", 6), ("view3", 5)]
+
+
+def test_write_only_images(spark, tmp_path):
+    for bad in (b"", b"\0\0\1\xb6"):
+        with pytest.raises(Exception, match="JPEG"):
+            frames.write_frame_files(spark.createDataFrame([("a", 0, bad)], "view string, frame_idx long, image binary"), str(tmp_path / "x"))
+    frames.write_frame_files(spark.createDataFrame([("a", 0, image("a", 0))], "view string, frame_idx long, image binary"), f"file://{tmp_path}/y")
+    assert (tmp_path / "y/a/frame_0000.jpg").read_bytes() == image("a", 0) and len(list((tmp_path / "y/a").iterdir())) <= 2
+    with pytest.raises(ValueError, match="can't write"):
+        frames.write_frame_files(spark.createDataFrame([("a", 0, image("a", 0))], "view string, frame_idx long, image binary"), "viewfs://x/y")
+
+
+def picture(seed, thumbnail=b""):
+    """The shape of a JPEG: a segment that may hold a thumbnail, a scan with stuffed bytes and restarts."""
+    body = bytes((seed * k) % 255 for k in range(seed * 7 % 90))
+    app = b"\xff\xd8" + thumbnail + b"\xff\xd9" if thumbnail else b"x"
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xda\0\2" + body + b"\xff\0\xff\xd3" + body + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1 << 16])
+def test_images_of_a_pipe(monkeypatch, piece):
+    monkeypatch.setattr(video, "PIECE", piece)
+    want = [picture(k, picture(k + 1) if k % 2 else b"") for k in range(1, 9)]
+    assert list(video.jpegs(io.BytesIO(b"".join(want)))) == want and list(video.jpegs(io.BytesIO(b""))) == []
+    for bad in (want[0][:-1], want[0][:5], b"abcd", want[1] + b"\xff\xd8\xff"):
+        with pytest.raises(ValueError):
+            list(video.jpegs(io.BytesIO(bad)))
+
+
+def test_failing_decoder_is_not_taken_for_no_frames():
+    with pytest.raises(subprocess.CalledProcessError):
+        list(video.external_decoder(["python", "-c", "import sys; sys.exit(3)"])(io.BytesIO(b"x" * (1 << 20))))
+
+
+def test_headers_read_the_first_bytes_only(spark, tmp_path):
+    """A long file is not read for its header; one whose header comes late is."""
+    late = movie([image("a", 0)])
+    at = late.index(b"LIST", 12)
+    late = chunk(b"RIFF", late[8:at] + chunk(b"JUNK", b"\0" * (video.HEAD + 10)) + late[at:])
+    (tmp_path / "late.avi").write_bytes(late)
+    with open(tmp_path / "long.avi", "wb") as out:
+        out.write(movie([image("a", k) for k in range(4)]))
+        out.truncate(3 << 30)
+    views = registry(spark, [("l", "late.avi", 0), ("g", "long.avi", 0)])
+    rows = {r["view"]: r for r in video.headers(spark, views, str(tmp_path)).collect()}
+    assert (rows["l"]["width"], rows["l"]["nb_frames"], rows["g"]["width"], rows["g"]["nb_frames"]) == ("36", "1", "36", "4")
+    assert len(list(video.read_frames(open(tmp_path / "long.avi", "rb")))) == 4
+
+
+def test_paths_that_only_spark_reads(spark, project, monkeypatch):
+    monkeypatch.setattr(video, "openable", lambda path: False)
+    views = registry(spark, VIEWS)
+    assert video.frames(spark, views, project.raw_videos).count() == 18 and {r["nb_frames"] for r in video.headers(spark, views, project.raw_videos).collect()} == {"6"}
+
+
+def test_broken_extraction_is_made_anew_when_asked(spark, project, tmp_path):
+    views, to = registry(spark, VIEWS), f"{project.root}/metadata"
+    extract.extract(spark, project, views, to)
+    (tmp_path / "data/view1/frame_0002.jpg").unlink()
+    assert [r["frame_count"] for r in extract.extract(spark, project, views, to).collect()] == [2, 6, 5]
+    assert [r["frame_count"] for r in extract.extract(spark, project, views, to, complete=True).collect()] == [3, 6, 5]
+
+
 def test_extract_skip_force_and_metadata_only(spark, project, tmp_path):
     views, to = registry(spark, VIEWS), f"{project.root}/metadata"
     assert frames.list_frames(spark, project.data).count() == 0
@@ -108,8 +192,8 @@ def test_frame_table_and_decoder(spark, project, tmp_path):
     kept = align.trim(video.frames(spark, views, project.raw_videos), views)
     frames.write_frame_table(kept.select("view", "frame_idx", "image"), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).where("view = 'view1'").count() == 3
-    joined = b"".join(image("a", k) for k in range(3))
-    assert list(video.external_decoder(["cat"])(joined)) == [image("a", k) for k in range(3)]
+    joined = b"".join(picture(k) for k in range(3))
+    assert list(video.external_decoder(["cat"])(io.BytesIO(joined))) == [picture(k) for k in range(3)]
 
 
 def test_inspection_keeps_every_view(spark):
