@@ -304,7 +304,8 @@ def _pieces(candidates: DataFrame, passage: int, length: int, buckets: int) -> D
             first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])])) if len(at) else at
             last = np.concatenate([first[1:] - 1, [len(at) - 1]]) if len(at) else at
             begin, stop, anchor = at[first], at[last], anchor[first]
-            end = np.minimum(stop + length, bounds[np.searchsorted(bounds, stop, side="right")])
+            # a longer string repeats only as far as all its starts go on: what is behind them would only tell equal pieces apart
+            end = np.minimum(stop + length, np.repeat(runs[:, 1] - 1 + passage, size)[first])
             named = words[anchor] * np.uint64(0x9E3779B97F4A7C15)
             bucket, raw = _pick(named ^ named >> np.uint64(31), buckets), data.tobytes()
             by: dict[int, dict] = {}
