@@ -45,10 +45,14 @@ def buckets_for(docs: DataFrame) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The setting of the session is used as it is; only where it is unset, a folder beside the warehouse is taken,
-    which a cluster shares too.
+    The setting of the session is used as it is. Where it is unset, a session on one machine takes a folder beside its warehouse; on a
+    cluster, where that may be a folder of the driver alone, it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -89,8 +93,8 @@ def forget(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows whose texts are about `limit` bytes together; null texts become empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of at most `rows` rows whose texts are about `limit` bytes together; null texts become empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,7 +107,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, forget, settle, slices, text_bytes
+from .common import crc_bucket, forget, looked_up, settle, slices, text_bytes
 
 DIMS = 4096
 #: Labelled texts of a language that the model is fitted on, about and at most (twice this); and centroids of a language.
@@ -27,7 +27,7 @@ SAMPLE, CENTROIDS = 1500, 4
 REJECT, LOWEST = 0.5, 0.005
 #: Texts of fewer different trigrams can only come so close: their threshold shrinks with the square root of the number.
 FULL = 200
-PART_BYTES = 1 << 20
+PART_BYTES, PART_ROWS, STEP = 1 << 20, 1 << 10, 1 << 20
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -42,20 +42,25 @@ def _classes() -> np.ndarray:
 
 
 def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, dimension, times) of the trigrams of each text."""
+    """(text, dimension, times) of the trigrams of each text, which are counted in windows: a long text takes no more than a short one."""
     data, bounds = text_bytes(pc.utf8_lower(texts))
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
-    byte = _classes()[data].astype(np.int64)
-    before, after = np.concatenate([[32], byte[:-1]]), np.concatenate([byte[1:], [32]])
-    first, last = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0] - 1
-    before[first], after[last] = 32, 32
-    gram = before << 16 | byte << 8 | after
-    # a trigram that begins or ends a run of blanks says nothing
-    use = (byte != 32) | ((before != 32) & (after != 32))
-    dim = (gram * 0x9E3779B1 >> 15) & (DIMS - 1)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    times = np.bincount((text * DIMS + dim)[use], minlength=(len(bounds) - 1) * DIMS)
+    edges = np.unique(bounds)
+    times = np.zeros((len(bounds) - 1) * DIMS, np.int64)
+    for a in range(0, len(data), STEP):
+        b = min(a + STEP, len(data))
+        byte = _classes()[data[a:b]].astype(np.int64)
+        beside = _classes()[data[[max(a - 1, 0), min(b, len(data) - 1)]]]
+        before, after = np.concatenate([beside[:1], byte[:-1]]), np.concatenate([byte[1:], beside[1:]])
+        lo, hi = np.searchsorted(edges, (a, b + 1))
+        begin, end = edges[lo:hi], edges[lo:hi] - 1
+        before[begin[begin < b] - a], after[end[end >= a] - a] = 32, 32
+        gram = before << 16 | byte << 8 | after
+        # a trigram that begins or ends a run of blanks says nothing
+        use = (byte != 32) | ((before != 32) & (after != 32))
+        dim = (gram * 0x9E3779B1 >> 15) & (DIMS - 1)
+        text = np.searchsorted(bounds, np.arange(a, b), side="right") - 1 if len(begin) else np.searchsorted(bounds, a, side="right") - 1
+        at, n = np.unique((text * DIMS + dim)[use], return_counts=True)
+        times[at] += n
     at = np.flatnonzero(times)
     return at // DIMS, at % DIMS, times[at]
 
@@ -107,18 +112,18 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """A model from docs' text and lang; rows with a null in either are not used.
 
-    Of each language about `sample` texts are used, whole, chosen by a hash of doc_id and text.
+    Document frequencies are of all these rows. For the centroids, about `sample` whole texts of each language are used, chosen by a hash of doc_id and text.
     """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
-    if not totals:
+    totals = settle(labelled.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    many = totals.agg(F.sum("n")).first()[0]
+    if not many:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["n"]))) for r in totals])
-    chosen = labelled.where(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
+    chosen = labelled.join(looked_up(totals), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), sample / F.col("n")) * float(1 << 30))
     schema = "lang string, dims binary, times binary"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=PART_BYTES):
+        for part in slices(batches, limit=PART_BYTES, rows=PART_ROWS):
             text, dim, times = counts(part.column(0))
             cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
             pairs = list(zip(cuts, cuts[1:]))
@@ -127,17 +132,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(DIMS, np.int64)
-        for b in batches:
-            for dims in b.column(0).to_pylist():
-                have[np.frombuffer(dims, np.uint16)] += 1
+        for part in slices(batches, limit=PART_BYTES, rows=PART_ROWS):
+            have += np.bincount(counts(part.column(0))[1], minlength=DIMS)
         at = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(have[at], pa.int64())], ["dim", "n"])
 
     rows = settle(chosen.select("text", "lang").mapInArrow(counted, schema))
     idf = np.zeros(DIMS)
-    for r in rows.select("dims").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
+    # of all learning rows, a row per dimension
+    for r in labelled.select("text").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         idf[r["dim"]] = r["n"]
-    idf = np.log((1 + rows.count()) / (1 + idf)) + 0.1
+    idf = np.log((1 + many) / (1 + idf)) + 0.1
 
     def clustered(key: tuple, table: pa.Table) -> pa.Table:
         x = np.zeros((len(table), DIMS), np.float32)
@@ -152,7 +157,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         return pa.table({"lang": [key[0].as_py()] * len(c), "centroid": pa.array([v.tobytes() for v in c], pa.binary()), "least": [least] * len(c)})
 
     found = rows.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary, least double").orderBy("lang").collect()  # a few rows per language
-    forget(rows)
+    forget(rows, totals)
     languages = sorted({r["lang"] for r in found})
     of = np.array([languages.index(r["lang"]) for r in found], int)
     least = np.array([next(r["least"] for r in found if r["lang"] == x) for x in languages])
@@ -180,7 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             doc = batch.column(0)
             # null texts are filled for the vectors only; the rows go out as they came
             keyed = pa.RecordBatch.from_arrays([doc.field("text"), pa.array(np.arange(batch.num_rows))], ["text", "row"])
-            for part in slices(iter([keyed]), limit=PART_BYTES):
+            for part in slices(iter([keyed]), limit=PART_BYTES, rows=PART_ROWS):
                 rows = batch.slice(part.column(1)[0].as_py(), part.num_rows)
                 letter = rows.column(1).to_numpy(zero_copy_only=False)
                 if own.languages:
@@ -203,6 +208,6 @@ def evaluated(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the model, fitted on the same folds of docs, rejects."""
+    """docs without the rows that the model, fitted on the same folds of docs, rejects; where no row has a lang to learn from, that is every row."""
     held_out = F.coalesce(crc_bucket("doc_id", FOLDS) == 0, F.lit(False))
     return predict(docs, fit(docs.where(~held_out))).where("NOT rejected").select("doc.*")

@@ -13,13 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, settle
+from ..operators.align import ranges
+from .common import WORD_PATTERN, forget, settle
 
 #: Weights of the sources by rank, repeating; and the most a source gives, as a multiple of its size.
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: A source table of this many rows and name bytes at most is broadcast; a larger one is joined by shuffling.
+#: A source table of this many rows and name bytes at most is ranked by one task and broadcast; a larger one is dealt by ranges, and joined by shuffling.
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 4 << 20
 
@@ -28,33 +29,48 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def _before(table: DataFrame, order: list[str], sums: dict[str, str], parts: int) -> DataFrame:
+    """table with a sum of a column over all earlier rows for each entry of sums, new name to column.
+
+    Rows are dealt by ranges of the order; each range adds up its own, from what the ranges before it hold in all.
+    """
+    placed = table.withColumn("__part", ranges(table, order, parts))
+    # a row per range
+    totals = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("__part").alias("__own"), *[F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__s_{k}") for k in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumns({f"__l_{k}": F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in sums.items()})
+    both = own.join(F.broadcast(starts), F.col("__part") == F.col("__own"))
+    return both.select(*table.columns, *[(F.col(f"__s_{k}") + F.col(f"__l_{k}")).alias(k) for k in sums])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, parts: int = 1) -> DataFrame:
     """(__source, __source_size) to the same and __target, exact up to one division.
 
     In the order of size / weight, a source stops at its cap as long as its share of what the
     sources before it leave is above the cap; the others share the rest by weight. That is
-    where resharing the excess again and again ends.
+    where resharing the excess again and again ends. parts: ranges that the sources are ranked and added up in; the result is the same for any.
     """
     common = math.lcm(*weights)
     exact = lambda c: c.cast("decimal(38,0)")
-    rank = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    out = sizes.withColumn("__w", weight.cast("long"))
-    steep = exact(F.col("__source_size")) * F.expr(f"{common} div __w")
-    out = out.withColumn("__steep", steep)
-    order = Window.orderBy("__steep", F.col("__source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    out = out.withColumns({
-        "__all": F.sum("__source_size").over(Window.partitionBy()),
-        "__capped_before": F.coalesce(F.sum("__source_size").over(before), F.lit(0)) * cap,
-        "__weight_left": F.sum("__w").over(after),
-    })
-    left = exact(F.col("__all") - F.col("__capped_before"))
-    out = out.withColumn("__full", left * F.col("__w") > exact(F.col("__source_size")) * F.lit(cap) * F.col("__weight_left"))
-    sums = Window.partitionBy()
-    free = F.col("__all") - cap * F.coalesce(F.sum(F.when(F.col("__full"), F.col("__source_size"))).over(sums), F.lit(0))
-    weight_free = F.sum(F.when(~F.col("__full"), F.col("__w"))).over(sums)
-    target = F.when(F.col("__full"), (cap * F.col("__source_size")).cast("double")).otherwise((F.col("__w") * free).cast("double") / weight_free.cast("double"))
+    named = sizes.withColumns({"__last": F.col("__source").isNull(), "__one": F.lit(1)})
+    ranked = _before(named, ["__last", "__source"], {"__rank": "__one"}, parts)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__rank") % len(weights) + 1).cast("int"))
+    out = ranked.withColumn("__w", weight.cast("long"))
+    out = out.withColumn("__steep", exact(F.col("__source_size")) * F.expr(f"{common} div __w"))
+    if parts > 1:  # many sources: their ranks are not made again for each use
+        out = settle(out)
+    out = settle(_before(out, ["__steep", "__last", "__source"], {"__size_before": "__source_size", "__w_before": "__w"}, parts))
+    # sums over all sources are one row
+    out = out.crossJoin(F.broadcast(out.agg(F.sum("__source_size").alias("__all"), F.sum("__w").alias("__w_all"))))
+    left = exact(F.col("__all") - F.col("__size_before") * cap)
+    full = left * F.col("__w") > exact(F.col("__source_size")) * F.lit(cap) * (F.col("__w_all") - F.col("__w_before"))
+    out = out.withColumn("__full", full)
+    free = out.agg(F.sum(F.when(F.col("__full"), F.col("__source_size"))).alias("__size_full"), F.sum(F.when(~F.col("__full"), F.col("__w"))).alias("__w_free"))
+    out = out.crossJoin(F.broadcast(free))
+    rest = F.col("__all") - cap * F.coalesce("__size_full", F.lit(0))
+    target = F.when(F.col("__full"), (cap * F.col("__source_size")).cast("double")).otherwise((F.col("__w") * rest).cast("double") / F.col("__w_free").cast("double"))
     return out.withColumn("__target", target).select("__source", "__source_size", "__target")
 
 
@@ -75,8 +91,12 @@ def plan(docs: DataFrame, seed: str = SEED, by_text: bool = False) -> DataFrame:
     sized = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"), F.col("source").alias("__source"))
     sizes = settle(sized.groupBy("__source").agg(F.sum("size").alias("__source_size")))
     rows, names = sizes.agg(F.count("*"), F.coalesce(F.sum(F.length("__source")), F.lit(0))).first()
-    targets = source_targets(sizes).withColumnRenamed("__source", "__name")
-    if rows <= BROADCAST_ROWS and names * 4 <= BROADCAST_BYTES:
+    few = rows <= BROADCAST_ROWS and names * 4 <= BROADCAST_BYTES
+    parts = 1 if few else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # settled, so that the few rows are made once, and that a join of many is one of two plain shuffles
+    targets = settle(source_targets(sizes, parts=parts).withColumnRenamed("__source", "__name"))
+    forget(sizes)
+    if few:
         targets = F.broadcast(targets)
     out = sized.join(targets, F.col("__source").eqNullSafe(F.col("__name")))
     rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(CAP)))).otherwise(0.0)

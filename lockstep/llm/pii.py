@@ -67,6 +67,8 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}", rf"(?=[A-Z]{{2}}[0-9]{{2}})(?=({IBAN})(?![A-Z0-9]))[A-Z]{{2}}", "", MOD97, 70, "iban|account|bank|konto", "serial", False, 2),
     Kind("local", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "", "", 40, "phone|tel|call|mobile|fax", "order|isbn|serial", False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", "substring(m, 1, 3) NOT IN ('000', '666') AND substring(m, 1, 1) <> '9' AND substring(m, 5, 2) <> '00' AND substring(m, 8, 4) <> '0000'", 40, "ssn|social", "order|isbn|serial", False),
+    Kind("secret", r"[0-9a-f]{32,128}", r"[0-9a-f]{32,128}+", "", "m RLIKE '[0-9]' AND m RLIKE '[a-f]'", 50, "token|secret|key|password|passwd|pwd|auth|bearer|credential", "commit|checksum|digest|revision", False),
+    Kind("key", r"(AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36})", r"AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}", "", "", 70, "token|secret|key|password|auth|bearer|credential", "example", False),
 )
 BASE = tuple(k for k in KINDS if k.base)
 RAISE, LOWERED = 20, 15
@@ -151,11 +153,11 @@ def _joined(kinds: tuple[Kind, ...], scores: bool = False) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, a digest of their spans, all spans and their scores."""
+    """One row per document: counts of all kinds, of all spans, a digest of the base kinds' spans, all spans and their scores."""
     out = spans(docs)
     counts = [F.size(f"__{k.name}").cast("long").alias(f"n_{k.name}") for k in KINDS]
     return out.select(
-        "doc_id", *counts, F.sha2(_joined(BASE), 256).alias("base_sha256"),
+        "doc_id", *counts, F.expr(" + ".join(f"size(__{k.name})" for k in KINDS)).cast("long").alias("n_spans"), F.sha2(_joined(BASE), 256).alias("base_sha256"),
         _joined(KINDS).alias("spans"), _joined(KINDS, True).alias("scored_spans"),
     )
 
@@ -188,7 +190,7 @@ def _oracle() -> str:
         "lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END, CAST(0 AS BIGINT)) = 1"
     )
     checks = {
-        "email": "true", "local": "true", "card": luhn, "iban": mod97,
+        "email": "true", "local": "true", "key": "true", "secret": "regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[a-f]')", "card": luhn, "iban": mod97,
         "ip": f"list_bool_and(list_transform(string_split(x.m, '.'), lambda o: regexp_matches(o, '{OCTET}')))",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "ssn": "substr(x.m, 1, 3) NOT IN ('000', '666') AND substr(x.m, 1, 1) <> '9' AND substr(x.m, 5, 2) <> '00' AND substr(x.m, 8, 4) <> '0000'",
@@ -220,7 +222,7 @@ WITH hits AS (SELECT doc_id, text, {hits} FROM (SELECT doc_id, coalesce(text, ''
 placed AS (SELECT doc_id, text, {placed} FROM hits),
 scored AS (SELECT doc_id, {", ".join(scored)} FROM placed),
 final AS (SELECT doc_id, {final} FROM scored)
-SELECT doc_id, {counts}, sha256({joined(BASE)}) AS base_sha256, {joined(KINDS)} AS spans, {joined(KINDS, True)} AS scored_spans FROM final
+SELECT doc_id, {counts}, CAST({" + ".join(f"len(f_{k.name})" for k in KINDS)} AS BIGINT) AS n_spans, sha256({joined(BASE)}) AS base_sha256, {joined(KINDS)} AS spans, {joined(KINDS, True)} AS scored_spans FROM final
 """
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, forget, settle, slices, text_bytes
-from .shingles import shingle_sets, words
+from .shingles import STEP, groups, sets_of_words, words
 
 FEATURES, RIDGE, SEED = 384, 1.0, 29
 #: Kernel width in standard deviations, by the square root of the number of statistics.
@@ -43,28 +43,48 @@ def _classes() -> np.ndarray:
 STATISTICS = 2 + len(MARKS) + 2 + 9
 
 
+def word_statistics(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(3, n): different words, occurrences of the most frequent one, and words that follow themselves, of each text."""
+    out = np.zeros((3, len(at) - 1))
+    for a, b in groups(at):
+        mine = word[at[a] : at[b]]
+        if b - a == 1:
+            order, own = np.sort(mine), None
+            cut = np.concatenate([[True], order[1:] != order[:-1]]) if len(mine) else np.zeros(0, bool)
+            same = mine[1:] == mine[:-1]
+        else:
+            own = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+            by = np.lexsort((mine, own))
+            order, of = mine[by], own[by]
+            cut = np.concatenate([[True], (order[1:] != order[:-1]) | (of[1:] != of[:-1])]) if len(mine) else np.zeros(0, bool)
+            same = (mine[1:] == mine[:-1]) & (own[1:] == own[:-1])
+        first = np.flatnonzero(cut)
+        times = np.diff(np.append(first, len(mine)))
+        if own is None:
+            out[:, a] = len(first), times.max(initial=0), same.sum()
+        else:
+            out[0, a:b] = np.bincount(of[first], minlength=b - a)
+            np.maximum.at(out[1, a:b], of[first], times)
+            out[2, a:b] = np.bincount(own[1:][same], minlength=b - a)
+    return out
+
+
 def statistics(column: pa.Array) -> np.ndarray:
-    """(n, STATISTICS) of whole texts; an empty text has zeros."""
+    """(n, STATISTICS) of whole texts; an empty text has zeros. Bytes are counted in windows: a long text takes no more beside its words."""
     data, bounds = text_bytes(column)
     n, kinds = len(bounds) - 1, len(MARKS) + 2
     size = np.diff(bounds)
-    text = np.repeat(np.arange(n), size)
-    share = np.bincount(text * kinds + _classes()[data], minlength=n * kinds).reshape(n, kinds) / np.maximum(size, 1)[:, None]
+    marks = np.zeros(n * kinds, np.int64)
+    for a in range(0, len(data), STEP):
+        b = min(a + STEP, len(data))
+        lo, hi = np.searchsorted(bounds, (a, b), side="right")
+        text = np.repeat(np.arange(lo - 1, hi), np.diff(np.clip(bounds[lo - 1 : hi + 1], a, b)))[: b - a] if hi < len(bounds) else np.repeat(np.arange(lo - 1, hi - 1), np.diff(np.clip(bounds[lo - 1 : hi], a, b)))
+        marks += np.bincount(text * kinds + _classes()[data[a:b]], minlength=n * kinds)
+    share = marks.reshape(n, kinds) / np.maximum(size, 1)[:, None]
     word, at = words(data, bounds)
     count = np.diff(at)
-    sets, cuts = shingle_sets(data, bounds)
-    own = np.repeat(np.arange(n), count)
-    order = np.lexsort((word, own))
-    new = np.ones(len(word), bool)
-    new[1:] = (word[order][1:] != word[order][:-1]) | (own[order][1:] != own[order][:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.concatenate([first, [len(word)]]))
-    distinct = np.bincount(own[order][first], minlength=n)
-    most = np.zeros(n)
-    np.maximum.at(most, own[order][first], times)
-    again = np.zeros(n)
-    same = (word[1:] == word[:-1]) & (own[1:] == own[:-1])
-    np.add.at(again, own[1:][same], 1)
+    distinct, most, again = word_statistics(word, at)
+    cuts = sets_of_words(word, at)[1]
     some = np.maximum(count, 1)
     letters = np.maximum(share[:, 0] + share[:, 1] + share[:, -1], 1e-9)
     out = [

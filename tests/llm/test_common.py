@@ -26,7 +26,10 @@ class Session:
 def test_shared_folder():
     own = Session(spark_checkpoint_dir="hdfs://a/b/", spark_sql_warehouse_dir="/w")
     assert shared_dir(own).startswith("hdfs://a/b/") and shared_dir(own) != shared_dir(own)
-    assert shared_dir(Session(spark_sql_warehouse_dir="/w/")).startswith("/w/_checkpoints/")
+    assert shared_dir(Session(spark_sql_warehouse_dir="/w/", spark_master="local[4]")).startswith("/w/_checkpoints/")
+    for master in ("yarn", "spark://a:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(spark_sql_warehouse_dir="/w/", spark_master=master))
 
 
 def test_settled_tables_and_settings(spark):

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,8 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lockstep.llm import flac, language_id, quality
-from lockstep.llm.common import documents, settle
+from lockstep.llm import flac, jaccard_join, language_id, mixing, quality, shingles
+from lockstep.llm.common import documents, settle, text_bytes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -143,6 +144,94 @@ def test_quality(spark, docs, edges, nothing):
     assert quality.evaluated(nothing, labels).count() == 0
 
 
+def test_quality_against_a_plain_computation(spark):
+    """Standardised statistics, cosines, the ridge solution and the isotonic fit (max-min of means), each row by itself."""
+    rng = random.Random(11)
+    rows = [(k, (made_up("aa", rng.randint(3, 60), rng) if k % 2 else "! " * rng.randint(1, 30) + made_up("bb", rng.randint(0, 40), rng)), int((k % 2) ^ (rng.random() < 0.2))) for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    spare = {r["doc_id"]: r["c"] for r in frame.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(quality.CALIBRATE)) == 0).alias("c")).collect()}
+    stats = np.vstack([quality.statistics(pa.array([t])) for _, t, _ in rows])
+    learn = [k for k, _, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    mean, spread = stats[learn].mean(axis=0), stats[learn].std(axis=0)
+    draw = np.random.default_rng(quality.SEED)
+    w = draw.normal(size=(quality.STATISTICS, quality.FEATURES)) / (quality.WIDTH * np.sqrt(quality.STATISTICS))
+    shift = draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    features = np.array([[*(np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / np.where(spread > 1e-9, spread, 1), -8, 8) @ w + shift)), 1.0] for x in stats])
+    y = np.array([q for _, _, q in rows], float)
+    fit, own = [k for k in learn if not spare[k]], [k for k in learn if spare[k]]
+    penalty = np.diag([quality.RIDGE] * quality.FEATURES + [1e-6])
+    raw = features @ np.linalg.solve(features[fit].T @ features[fit] + penalty, features[fit].T @ y[fit])
+    bins = {}
+    for k in own:
+        bins.setdefault(int(np.floor(raw[k] * quality.BINS)), []).append(k)
+    x = np.array([raw[bins[b]].mean() for b in sorted(bins)])
+    n = np.array([len(bins[b]) for b in sorted(bins)], float)
+    s = np.array([y[bins[b]].sum() for b in sorted(bins)])
+    means = lambda a, b: s[a : b + 1].sum() / n[a : b + 1].sum()
+    value = np.array([max(min(means(a, b) for b in range(k, len(x))) for a in range(k + 1)) for k in range(len(x))])
+    levels = sorted(set(np.round(value, 12)))
+    at = [np.average(x[np.isclose(value, v)], weights=n[np.isclose(value, v)]) for v in levels]
+    want = np.interp(raw, at, levels)
+    got = {r["doc_id"]: r["score"] for r in quality.evaluated(frame, frame.select("doc_id", "quality")).collect()}
+    assert np.allclose([got[k] for k, _, _ in rows], want, atol=1e-6) and len(levels) > 5
+
+
+def test_language_against_a_plain_computation(spark):
+    """Trigrams by hand, TF-IDF over all learning rows, cosines with the model's centroids, and its thresholds."""
+    rng = random.Random(12)
+    rows = [(k, made_up(x, rng.randint(1, 50), rng).title() + rng.choice(["", " 12, É!", "  x-y"]), x) for k in range(240) for x in [rng.choice(["aa", "bb", "cc"])]]
+    frame = spark.createDataFrame([*rows, (500, "ᚠᛇᚻ ᛒᛦᚦ " * 30, None)], "doc_id long, text string, lang string")
+    learn = frame.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    model = language_id.fit(learn)
+
+    def grams(text):
+        raw = [32, *(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()), 32]
+        found = [a << 16 | b << 8 | c for a, b, c in zip(raw, raw[1:], raw[2:]) if b != 32 or (a != 32 and c != 32)]
+        return Counter((g * 0x9E3779B1 >> 15) & (language_id.DIMS - 1) for g in found)
+
+    known = [grams(t) for k, t, x in rows if zlib.crc32(str(k).encode()) % 5]
+    seen = Counter(d for g in known for d in g)
+    idf = np.array([np.log((1 + len(known)) / (1 + seen[d])) + 0.1 for d in range(language_id.DIMS)])
+    assert np.allclose(idf, model.idf) and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    assert Counter(model.of.tolist()) == {0: 4, 1: 4, 2: 4}
+    got = {r["doc_id"]: r for r in language_id.predict(frame, model).select("doc.doc_id", "lang", "score", "rejected").collect()}
+    for k, text, _ in [*rows, (500, "ᚠᛇᚻ ᛒᛦᚦ " * 30, None)]:
+        own = grams(text)
+        v = np.zeros(language_id.DIMS)
+        for d, n in own.items():
+            v[d] = (1 + np.log(n)) * idf[d]
+        near = model.centroids @ (v / np.linalg.norm(v))
+        best = int(near.argmax())
+        least = model.least[model.of[best]] * min(1, len(own) / language_id.FULL) ** 0.5
+        assert got[k]["lang"] == model.languages[model.of[best]] and abs(got[k]["score"] - max(near[best], 0)) < 1e-5
+        assert got[k]["rejected"] == bool(near[best] < least) or abs(near[best] - least) < 1e-5
+    assert got[500]["rejected"]
+
+
+def test_windows_and_memory_of_long_texts(monkeypatch, edges):
+    """Statistics, trigrams and sets are the same in whatever windows bytes come, and a long text takes little beside them."""
+    texts = pa.array([r[1] or "" for r in edges if len(r[1] or "") < 6000])
+    whole = quality.statistics(texts), language_id.counts(texts), shingles.shingle_sets(*text_bytes(texts))
+    for step, group in ((7, 3), (64, 50), (1000, 1)):
+        for module in (shingles, quality, language_id):
+            monkeypatch.setattr(module, "STEP", step)
+        monkeypatch.setattr(shingles, "GROUP", group)
+        assert np.allclose(quality.statistics(texts), whole[0])
+        assert all((a == b).all() for a, b in zip(language_id.counts(texts), whole[1]))
+        assert all((a == b).all() for a, b in zip(shingles.shingle_sets(*text_bytes(texts)), whole[2]))
+    monkeypatch.undo()
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, 20 << 20, dtype=np.uint8)
+    letters[::6] = 32
+    long = pa.array([letters.tobytes().decode()])
+    for work, most in ((quality.statistics, 160), (language_id.counts, 100), (lambda t: shingles.shingle_sets(*text_bytes(t)), 130)):
+        tracemalloc.start()
+        work(long)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_held_out_labels_and_columns_do_not_matter(spark):
     rows = [(k, "ab cd. " * (k % 9 + 1) if k % 2 else "!!! " * (k % 9 + 1), k % 2) for k in range(120)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
@@ -179,7 +268,13 @@ def test_pipeline(spark):
         if not gone or left.strip():
             texts[r["doc_id"]] = left
     assert {r["doc_id"]: r["text"] for r in kept[2].collect()} == texts and all(r["n_chars"] == len(r["text"]) for r in kept[2].collect())
-    assert {(r["doc_id"], r["text"]) for r in kept[4].collect()} <= {(r["doc_id"], r["text"]) for r in kept[3].collect()}
+    # one document of each component, the least
+    component = {r["doc_id"]: r for r in jaccard_join.components_of(kept[2]).collect()}
+    assert {r["doc_id"] for r in kept[3].collect()} == {k for k, r in component.items() if r["n_shingles"] == 0 or r["component_id"] == k}
+    assert len(component) > kept[3].count()
+    # each as often as the mix takes it
+    copies = Counter({r["doc_id"]: r["copies"] for r in mixing.taken(kept[3]).collect() if r["copies"]})
+    assert Counter(r["doc_id"] for r in kept[4].collect()) == copies
     pieces = kept[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     times = Counter(r["doc_id"] for r in kept[4].collect())
     assert {r["doc_id"]: r["n"] // r["d"] for r in pieces} == dict(times) and all(r["n"] % r["d"] == 0 for r in pieces)

@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lockstep.llm import embedding_dedup, jaccard_join, shingles, suffix_dedup
@@ -177,6 +180,34 @@ def test_jaccard_join_with_long_lists(spark, groups, seed, spread):
     assert answered(got) == classes(rows, groups)
 
 
+def test_overlaps_by_differences():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64))
+    sets = [np.sort(np.concatenate([np.delete(base, rng.integers(0, len(base), k)), rng.integers(0, 1 << 60, k).astype(np.uint64)])) for k in (0, 3, 9, 150, 390, 20)] + [np.zeros(0, np.uint64)]
+    x, y = (np.array(v) for v in zip(*[(i, j) for i in range(7) for j in range(7) if i != j]))
+    assert list(jaccard_join.overlaps(sets, x, y)) == [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(x, y)]
+
+
+def test_reach_is_where_links_end():
+    for size in range(1, 40):
+        for place in range(size):
+            can = [o for o in range(size, 80) if jaccard_join.can_link(np.array([size]), np.array([o]), np.array([place]), 0)[0]]
+            most = int(jaccard_join.reach(np.array([size]), np.array([place]))[0])
+            assert all(o <= most for o in can) and (most < size or most in can)
+
+
+def test_texts_of_one_hash_are_nodes_of_their_own(spark, monkeypatch):
+    """Where the first hash agrees and the second doesn't, texts are told apart."""
+    real = F.xxhash64
+    monkeypatch.setattr(jaccard_join.F, "xxhash64", lambda *c: F.length(c[0]).cast("long") if len(c) == 1 else real(*c))
+    rows = [(0, "aa"), (1, "bb"), (2, "aa"), (3, "cc"), (4, "dddd"), (5, "dddd")]
+    got = jaccard_join.with_nodes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    nodes = {}
+    for r in got:
+        nodes.setdefault(r["text"], set()).add(r["node"])
+    assert all(len(v) == 1 for v in nodes.values()) and len({next(iter(v)) for v in nodes.values()}) == 4
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text("aAbB \n\té", max_size=30), max_size=8))
 def test_shingle_sets(texts):
@@ -222,6 +253,52 @@ def test_embeddings(spark, groups, leaf, trees, group):
     assert sorted((repr(r["vec_id"]), r["n_links"], repr(r["component_id"]), r["kept"]) for r in got) == sorted(want)
 
 
+def test_forest_at_depth_finds_planted_pairs(spark):
+    """Default trees and overlap, ten levels: pairs at the threshold and above, in doubles, share a leaf."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(24_000, 64)).astype(np.float32)
+    want = {}
+    for k in range(1500):
+        v = x[k].astype(np.float64)
+        c = (0.9801, 0.985, 0.995)[k % 3]
+        side = rng.normal(size=64)
+        side -= side @ v / (v @ v) * v
+        side *= np.linalg.norm(v) / np.linalg.norm(side)
+        x[12_000 + k] = (c * v + (1 - c * c) ** 0.5 * side).astype(np.float32)
+        want[12_000 + k] = k
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(6)
+    assert int(np.ceil(np.log2(24_000 / 16))) >= 10
+    rows = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(frame, leaf=16).where("n_links > 0").collect()}
+    # no two of the others are near each other
+    assert set(rows) <= set(want) | set(want.values()) and all(rows[a]["component_id"] == b for a, b in want.items() if a in rows)
+    assert sum(a in rows and rows[a]["n_links"] == 1 for a in want) >= 0.995 * len(want)
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_leaf_of_near_copies(across):
+    """Every pair links: counts are exact, and no pair is kept, whatever leaves the rows share."""
+    rng = np.random.default_rng(3)
+    n, code = 5000, 1 << embedding_dedup.NODE | 5
+    x = (rng.normal(size=64) + 0.01 * rng.normal(size=(n, 64))).astype(np.float32)
+    first = rng.integers(0, 4, n)
+    codes = [np.array([*([k] if k < 3 else []), code, code + 3], np.int32).tobytes() for k in first]
+    block = rng.integers(0, 2, n) if across else np.zeros(n, int)
+    copies = rng.integers(1, 4, n)
+    table = pa.table({"id": np.arange(n), "copies": copies, "vector": [v.tobytes() for v in x], "codes": codes, "block": block})
+    key = [pa.scalar(v) for v in (0, 64, code, 0, int(across))]
+    tracemalloc.start()
+    got = embedding_dedup._leaf(key, table).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+    links = {a: b for k, a, b in zip(got["kind"], got["a"], got["b"]) if k == 0}
+    weight = np.array([[copies[(first == f) & (block == b)].sum() for b in (0, 1)] for f in range(4)])
+    for k in range(0, n, 97):
+        mine = weight[:, 1 - block[k]] if across else weight.sum(axis=1)
+        assert links[k] == mine.sum() - (mine[first[k]] if first[k] < 3 else 0) - (copies[k] if first[k] == 3 and not across else 0)
+    assert sorted(a for k, a in zip(got["kind"], got["a"]) if k == 1) == list(range(1, n)) and {b for k, b in zip(got["kind"], got["b"]) if k == 1} == {0}
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
