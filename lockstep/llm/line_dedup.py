@@ -32,7 +32,8 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     # a table of its own: a plain join of two shuffles, of which adaptive execution splits those of a window that is everywhere
     firsts = settle(firsts.select("h", "g", "first"))
-    later = windows.join(firsts, ["h", "g"]).where(place != F.col("first"))
+    # merged at every size: a broadcast below some size only would make disk and time jump there
+    later = windows.join(firsts.hint("merge"), ["h", "g"]).where(place != F.col("first"))
     out = settle(later.groupBy("doc_id", "th", "tg").agg(F.array_sort(F.collect_set("at")).alias("at")))
     forget(windows, firsts)
     return out
@@ -48,7 +49,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     marks = later_windows(docs, window).select(F.col("doc_id").alias("id"), F.col("th").alias("id_th"), F.col("tg").alias("id_tg"), "at")
     own = docs.select(F.struct(*docs.columns).alias("doc"), *text_hash("text"))
-    out = own.join(marks, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("id_th")) & (F.col("tg") == F.col("id_tg")), "left")
+    out = own.join(marks.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("id_th")) & (F.col("tg") == F.col("id_tg")), "left")
     out = out.withColumn("split", F.split("doc.text", "\n", -1))
     # a window covers the lines from where it begins; numbers are taken away by hash, in time linear in the lines
     left = F.expr(f"array_except(sequence(0, size(split) - 1), flatten(transform(at, p -> sequence(p, p + {window - 1}))))")
