@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_pii": pii.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,

@@ -532,3 +532,45 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, ord
         F.when(copied, (words > WORDS).cast("long")).otherwise(F.coalesce("passages", F.lit(0))).cast("long").alias("n_passages"),
         *[F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", "text")).alias("kept")][: int(keep_text)],
     )
+
+
+def _oracle(length: int = LENGTH, passage: int = PASSAGE) -> str:
+    """Every string of either size is cut out and counted: for small tables with an id for each row."""
+
+    def runs(size: int) -> str:
+        return f"""
+starts{size} AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 2 * {size})) AS m FROM (SELECT doc_id, x, unnest(range(0, bytes - {size} + 1)) AS p FROM texts))
+  QUALIFY count(*) OVER (PARTITION BY m) > 1),
+runs{size} AS MATERIALIZED (
+  SELECT doc_id, min(p) AS a, max(p) + {size} AS e FROM (
+    SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (
+      SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {size} THEN 1 ELSE 0 END AS new FROM starts{size}))
+  GROUP BY doc_id, k)"""
+
+    return f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents),{runs(length)},{runs(passage)},
+kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * back + 1, 2 * (a - back)), '' ORDER BY a, real DESC) AS h, sum(e - a) FILTER (WHERE e > a AND real) AS n_removed, count(*) FILTER (WHERE real) AS n_spans FROM (
+    SELECT t.doc_id, x, a, e, real, coalesce(lag(e) OVER (PARTITION BY t.doc_id ORDER BY a, real DESC), 0) AS back FROM texts t JOIN (
+      SELECT doc_id, a, e, true AS real FROM runs{length} UNION ALL SELECT doc_id, bytes, bytes, false FROM texts) r ON t.doc_id = r.doc_id)
+  GROUP BY doc_id),
+marks AS MATERIALIZED (
+  SELECT doc_id, p, space, lag(space) OVER w AS before, lead(space) OVER w AS after FROM (
+    SELECT doc_id, p, substr(x, 2 * p + 1, 2) IN ('20', '09', '0A', '0B', '0C', '0D') AS space FROM (SELECT doc_id, x, unnest(range(0, bytes)) AS p FROM texts SEMI JOIN runs{passage} USING (doc_id)))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+words AS (
+  SELECT doc_id, s, p + 1 AS e FROM (
+    SELECT doc_id, p, last, max(CASE WHEN first THEN p END) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM (
+      SELECT doc_id, p, NOT space AND coalesce(before, true) AS first, NOT space AND coalesce(after, true) AS last FROM marks))
+  WHERE last),
+long AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT r.doc_id, a FROM runs{passage} r JOIN words w ON w.doc_id = r.doc_id AND w.s >= r.a AND w.e <= r.e GROUP BY r.doc_id, a HAVING count(*) > {WORDS}) GROUP BY doc_id),
+wide AS (SELECT doc_id, sum(e - a) AS n FROM runs{passage} GROUP BY doc_id)
+SELECT t.doc_id, CAST(bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(h, ''))) AS kept_sha256, CAST(coalesce(wide.n, 0) AS BIGINT) AS n_repeated, CAST(coalesce(long.n, 0) AS BIGINT) AS n_passages
+FROM texts t JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN wide ON wide.doc_id = t.doc_id LEFT JOIN long ON long.doc_id = t.doc_id
+"""
+
+
+ORACLE = _oracle()
