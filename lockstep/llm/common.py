@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 12 << 20
 #: Rows of a batch that settled steps hand to Python, which bounds what is held outside the heap.
 BATCH_ROWS = 4000
+#: Settings of a session while a step is written.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
 #: Text bytes that one bucket of a shuffle of whole texts stands for at most, on average.
 BUCKET_BYTES = 256 << 20
 #: Rows, of some numbers each, of a table that is broadcast at most.
@@ -56,6 +60,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_writing = threading.Lock()
+_before: list[dict] = []
+
+
+@contextmanager
+def _written(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold as long as any thread writes: the first sets them, the last puts back what was there."""
+    with _writing:
+        _before.append({key: spark.conf.get(key, None) for key in SETTINGS} if not _before else {})
+        for key, value in SETTINGS.items() if len(_before) == 1 else ():
+            spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _writing:
+            if len(_before) > 1:
+                _before.pop()
+            else:
+                for key, value in _before.pop().items():
+                    spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing.
 
@@ -64,15 +90,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
-    before = {key: spark.conf.get(key, None) for key in own}
-    for key, value in own.items():
-        spark.conf.set(key, value)
-    try:
+    with _written(spark):
         df.select("*").write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

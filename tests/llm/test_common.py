@@ -3,6 +3,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lockstep.llm import common, queries
@@ -44,6 +45,26 @@ def test_settled_tables_and_settings(spark):
     assert not os.path.exists(folder)
 
 
+def test_settings_of_several_writers(spark):
+    """The session's own settings come back when the last writer is done, in whatever order they end."""
+    before = {k: spark.conf.get(k, None) for k in common.SETTINGS}
+    one, two = common._written(spark), common._written(spark)
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert all(spark.conf.get(k) == v for k, v in common.SETTINGS.items())
+    two.__exit__(None, None, None)
+    assert {k: spark.conf.get(k, None) for k in common.SETTINGS} == before
+
+
+def test_small_tables_are_broadcast(spark, monkeypatch):
+    table = settle(spark.range(5).toDF("k"))
+    plan = lambda: spark.range(10).toDF("x").join(common.looked_up(table), F.col("x") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 4)
+    assert "broadcast" not in plan()
+
+
 @pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary(), pa.large_binary()])
 def test_slices_and_bytes(kind):
     values = [None, b"abc", b"", b"x" * 50, "é".encode(), None, b"z"]
