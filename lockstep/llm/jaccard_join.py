@@ -34,7 +34,7 @@ PER_CENT = (75, 100)
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Lists of up to so many sets are compared pair by pair.
 LIST = 64
-#: Lists of shingles in 2 to this power of sets are never in one task: their members are spread, and joined with their heads.
+#: Lists of shingles in 2 to this power of sets, those among the MOST_FREQUENT, are not in one task: their members are spread, and joined with their heads.
 SPREAD = 14
 CHUNK_BYTES, PART_BYTES = 12 << 20, 1 << 20
 COUNTED = "bucket int, tokens binary, many binary, times binary, nodes binary, sizes binary"
