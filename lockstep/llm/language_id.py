@@ -59,9 +59,9 @@ def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # a trigram that begins or ends a run of blanks says nothing
         use = (byte != 32) | ((before != 32) & (after != 32))
         dim = (gram * 0x9E3779B1 >> 15) & (DIMS - 1)
-        text = np.searchsorted(bounds, np.arange(a, b), side="right") - 1 if len(begin) else np.searchsorted(bounds, a, side="right") - 1
-        at, n = np.unique((text * DIMS + dim)[use], return_counts=True)
-        times[at] += n
+        own, stop = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b)
+        text = np.repeat(np.arange(stop - own), np.diff(np.clip(bounds[own : stop + 1], a, b)))
+        times[own * DIMS : stop * DIMS] += np.bincount((text * DIMS + dim)[use], minlength=(stop - own) * DIMS)
     at = np.flatnonzero(times)
     return at // DIMS, at % DIMS, times[at]
 

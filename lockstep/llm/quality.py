@@ -77,8 +77,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     marks = np.zeros(n * kinds, np.int64)
     for a in range(0, len(data), STEP):
         b = min(a + STEP, len(data))
-        lo, hi = np.searchsorted(bounds, (a, b), side="right")
-        text = np.repeat(np.arange(lo - 1, hi), np.diff(np.clip(bounds[lo - 1 : hi + 1], a, b)))[: b - a] if hi < len(bounds) else np.repeat(np.arange(lo - 1, hi - 1), np.diff(np.clip(bounds[lo - 1 : hi], a, b)))
+        own, stop = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b)
+        text = np.repeat(np.arange(own, stop), np.diff(np.clip(bounds[own : stop + 1], a, b)))
         marks += np.bincount(text * kinds + _classes()[data[a:b]], minlength=n * kinds)
     share = marks.reshape(n, kinds) / np.maximum(size, 1)[:, None]
     word, at = words(data, bounds)
