@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, suffix_dedup
+from . import divergence, embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, neighbours, packing, pii, quality, suffix_dedup
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.evaluated(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op13_neighbours": neighbours.ORACLE,
 }
