@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, neighbours, packing, pii, quality, suffix_dedup
+from . import collocations, divergence, embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, neighbours, packing, pii, quality, suffix_dedup
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,6 +64,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.evaluated(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
     "op13_neighbours": op13_neighbours,
 }
 
@@ -91,5 +96,6 @@ ORACLES: dict[str, str] = {
     "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_neighbours": neighbours.ORACLE,
 }

@@ -12,7 +12,7 @@ from lockstep.llm.common import forget, settle, shared_dir, slices, text_bytes
 
 def test_every_operator_has_its_query():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.ORACLES) <= set(names) and set(names) | {"pipeline"} <= set(entry.queries())
     assert {"op2_pii", "op6_line_dedup", "op10_mixing"} <= set(entry.oracle_sql())
 
