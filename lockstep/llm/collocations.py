@@ -22,12 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, forget, looked_up, settle, slices
+from .common import BATCH_BYTES, BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slices
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are reported.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Bits of the bitmap of frequent phrases, as a power of two: 16 MB. Bits of one of its rows, as Spark's bitmap functions have them.
-BITS, ROW = 27, 32_768
 #: Texts as they are split: A to Z in lower case, what ends a piece as a full stop, tabs as blanks.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 CHUNKS = "chunk long, lang string, words array<string>, counts array<long>, codes binary"
@@ -82,7 +80,7 @@ def joined(first: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def bits(hashed: np.ndarray) -> np.ndarray:
-    return (hashed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (hashed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +95,9 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bits(found))], ["bit"])
 
 
-def bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bitmap of frequent phrases (lang, phrase): rows of it made by aggregation, 16 MB of them in all at most."""
-    found = frequent.select("lang", "phrase").mapInArrow(_set_bits, "bit long")
-    rows = found.groupBy(F.expr(f"bit div {ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(bit % {ROW})").alias("bits")).collect()
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for row in rows:
-        out[row["row"] * (ROW // 8) : (row["row"] + 1) * (ROW // 8)] = np.frombuffer(row["bits"], np.uint8)
-    return out
+def told(frequent: DataFrame) -> np.ndarray:
+    """The bitmap of frequent phrases (lang, phrase)."""
+    return bitmap(frequent.select("lang", "phrase").mapInArrow(_set_bits, "bit long"))
 
 
 def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -119,8 +112,7 @@ def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.
     for j in range(k - 1):
         value = joined(value, word[j : j + n + 1])
         inside &= whole[j : j + n + 1]
-    bit = bits(value)
-    known = inside & (frequent[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+    known = inside & is_set(frequent, bits(value))
     at = np.flatnonzero(known[:-1] & known[1:])
     if not len(at):
         return
@@ -141,17 +133,17 @@ def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.
 
 def level(chunks: DataFrame, last: DataFrame, k: int, least: int) -> DataFrame:
     """(lang, phrase, n): the frequent phrases of k words, from those of k - 1."""
-    told = chunks.sparkSession.sparkContext.broadcast(bitmap(last))
+    frequent = chunks.sparkSession.sparkContext.broadcast(told(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, codes in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("codes")):
-                for found, counts in phrases(lang, words.values, np.frombuffer(codes.as_buffer(), np.int32), k, told.value):
+                for found, counts in phrases(lang, words.values, np.frombuffer(codes.as_buffer(), np.int32), k, frequent.value):
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), found, pa.array(counts)], ["lang", "phrase", "n"])
 
     found = chunks.select("lang", "words", "codes").mapInArrow(run, "lang string, phrase string, n long")
     out = settle(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    told.destroy()
+    frequent.destroy()
     return out
 
 

@@ -23,6 +23,8 @@ SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 BUCKET_BYTES = 256 << 20
 #: Rows, of some numbers each, of a table that is broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Bits of a bitmap that is broadcast, as a power of two, whatever the number of things it stands for: 16 MB. Bits of one of its rows, as Spark's functions have them.
+BITMAP_BITS, BITMAP_ROW = 27, 32_768
 #: A word as the contracts count it: a run of characters other than ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -112,6 +114,19 @@ def forget(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap with the bits that the column `bit` of bits names set: rows of it are made by aggregation, 16 MB of them in all at most."""
+    rows = bits.groupBy(F.expr(f"bit div {BITMAP_ROW}").alias("row")).agg(F.expr(f"bitmap_construct_agg(bit % {BITMAP_ROW})").alias("bits")).collect()
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for row in rows:
+        out[row["row"] * (BITMAP_ROW // 8) : (row["row"] + 1) * (BITMAP_ROW // 8)] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def is_set(bytes_: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bytes_[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of at most `rows` rows whose texts are about `limit` bytes together; null texts become empty."""
     for batch in batches:

@@ -1,9 +1,10 @@
 """Audit of how far the sources of a language diverge, by a vocabulary automaton in two passes.
 
-First pass: texts are packed into chunks, with the distinct terms of each chunk and the number of its documents that hold them; summed over all
-chunks these are exact document frequencies, and decide which terms are kept. Second pass: each chunk of a language meets those
-of its own terms that are kept, an automaton of these terms, padded with blanks, runs over its normalised texts and counts occurrences per source. No
-vocabulary is broadcast: an automaton is as large as its chunk's vocabulary, however many terms the corpus keeps.
+First pass: every task counts, chunk by chunk, the documents that hold a term; summed over all chunks these are exact document frequencies, and
+decide which terms are kept. Second pass: for each chunk and language, an automaton of the kept terms in it, padded with blanks, runs over the
+normalised texts and counts occurrences per source. Which terms are kept is told to the tasks by a bitmap of
+fixed size, a bit for each term's hash: terms that share a bit with a kept one are counted in vain, and left out by a join. No vocabulary is
+broadcast; an automaton is as large as its chunk's vocabulary, however many terms the corpus keeps.
 
 The counts are sparse postings. Sums over all kept terms come from three parts: terms that neither source has are alike; what one
 source has follows from how many of its terms have which share; only terms that both have are looked at in pairs, within a
@@ -12,7 +13,6 @@ term's posting list and added up by task, so that no pair of a term becomes a ro
 
 from __future__ import annotations
 
-import secrets
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -20,52 +20,35 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, forget, looked_up, settle, slices
+from .common import BATCH_BYTES, BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slices
 
 TERM_PATTERN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language that a kept term is in, at least; ranks of terms that are reported; the whole of a share.
 LEAST, TOP, WHOLE = 3, 200, 1_000_000_000
-#: Bytes of a normalised text: letters A to Z in lower case, what no term holds as blanks, the rest as it is; a line end follows each document.
+#: Bytes of a normalised text: letters A to Z in lower case, what no term holds as blanks, the rest as it is.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-CHUNKS = "chunk long, lang string, source string, text binary, terms array<string>, documents array<int>"
 #: Pairs of postings that a task looks at together.
 PAIRS = 1 << 20
 
 
-def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (lang, source, text), texts of one chunk and group in a row; a chunk's terms of a language are in the first of its rows."""
-    held: list[pa.RecordBatch] = []
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, dict[str, list[bytes]]]]:
+    """Normalised texts of about `limit` bytes in all, by language and source."""
+    chunk: dict[str, dict[str, list[bytes]]] = {}
     size = 0
     for part in slices(batches, limit=limit):
         own = pc.sum(pc.binary_length(part.column("text"))).as_py()
-        if held and size + own > limit:
-            yield _chunk(held)
-            held, size = [], 0
-        held.append(part)
-        size += own
-    if held:
-        yield _chunk(held)
-
-
-def _chunk(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    name = secrets.randbits(63)
-    groups: dict[tuple[str, str], list[bytes]] = defaultdict(list)
-    for part in parts:
+        if chunk and size + own > limit:
+            yield chunk
+            chunk, size = {}, 0
         for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), part.column("text")):
-            groups[lang, source].append(text.as_buffer().to_pybytes().translate(NORMAL))
-    texts: dict[str, list[bytes]] = defaultdict(list)
-    for (lang, _), own in groups.items():
-        texts[lang].extend(own)
-    columns: tuple[list, ...] = ([], [], [], [], [], [])
-    for (lang, source), own in groups.items():
-        terms, counts = document_frequencies(texts.pop(lang)) if lang in texts else (None, None)
-        for column, value in zip(columns, (name, lang, source, b"\n".join(own) + b"\n", terms, counts)):
-            column.append(value)
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CHUNKS.split(", ")])
+            chunk.setdefault(lang, {}).setdefault(source, []).append(text.as_buffer().to_pybytes().translate(NORMAL))
+        size += own
+    if chunk:
+        yield chunk
 
 
 def document_frequencies(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
@@ -82,6 +65,12 @@ def document_frequencies(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(full)).cast(pa.string()), counts[full]
 
 
+def vocabulary(texts: Iterable[bytes]) -> pa.Array:
+    """Distinct terms of normalised texts."""
+    terms = pc.unique(pa.concat_arrays([pc.unique(pc.ascii_split_whitespace(pa.array([t], pa.binary()).cast(pa.large_string())).flatten()) for t in texts]))
+    return terms.filter(pc.greater(pc.binary_length(terms), 0)).cast(pa.string())
+
+
 def occurrences(texts: Iterable[bytes], terms: list[str]) -> Iterator[np.ndarray]:
     """How often each term is in each of the normalised texts, as a whole term."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -89,20 +78,36 @@ def occurrences(texts: Iterable[bytes], terms: list[str]) -> Iterator[np.ndarray
         automaton.add_word(f" {term} ", k)
     automaton.make_automaton()
     for text in texts:
-        padded = f" {text.replace(b'\n', b' ').decode()} "
-        yield np.bincount(np.fromiter((k for _, k in automaton.iter(padded)) if terms else (), np.int64), minlength=len(terms))
+        yield np.bincount(np.fromiter((k for _, k in automaton.iter(f" {text.decode()} ")) if terms else (), np.int64), minlength=len(terms))
+
+
+def _bits(lang: str, terms: Iterable[str]) -> np.ndarray:
+    """The bits of a language's terms, as _bit has them."""
+    return np.array([xxhash.xxh64_intdigest(f"{lang}\n{t}", 42) >> 64 - BITMAP_BITS for t in terms], np.int64)
+
+
+def _bit() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.concat("lang", F.lit("\n"), "term")), 64 - BITMAP_BITS)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for chunk in _chunks(batches, limit):
+        for lang, sources in chunk.items():
+            terms, counts = document_frequencies([text for texts in sources.values() for text in texts])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(terms)), terms, pa.array(counts, pa.int64())], ["lang", "term", "documents"])
 
 
-def _counted(key: tuple, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """(lang, source, term, n) of a chunk and language, from its texts by source and its kept terms."""
-    terms = vocabulary["term"].combine_chunks()
-    columns: tuple[list, ...] = ([], [], [])
-    for source, n in zip(texts["source"].to_pylist(), occurrences((t.as_py() for t in texts["text"]), terms.to_pylist())):
-        at = np.flatnonzero(n)
-        for column, value in zip(columns, (pa.repeat(pa.scalar(source, pa.string()), len(at)), terms.take(pa.array(at)), pa.array(n[at]))):
-            column.append(value)
-    sources, found, counts = (pa.chunked_array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64())))
-    return pa.table({"lang": pa.repeat(pa.scalar(key[1].as_py(), pa.string()), len(found)), "source": sources, "term": found, "n": counts})
+def _counted(batches: Iterator[pa.RecordBatch], limit: int, kept: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n) of each chunk, for terms whose bit is set."""
+    for chunk in _chunks(batches, limit):
+        for lang, sources in chunk.items():
+            texts = [b" ".join(own) for own in sources.values()]
+            terms = vocabulary(texts)
+            terms = terms.filter(pa.array(is_set(kept, _bits(lang, terms.to_pylist()))))
+            for source, n in zip(sources, occurrences(texts, terms.to_pylist())):
+                at = np.flatnonzero(n)
+                same = [pa.repeat(pa.scalar(c, pa.string()), len(at)) for c in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*same, terms.take(pa.array(at)), pa.array(n[at], pa.int64())], ["lang", "source", "term", "n"])
 
 
 def share(count: str, total: str, terms: str = "v") -> Column:
@@ -164,18 +169,18 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, limit: int = BATC
     occur, equal values rank by item. An empty table gives no rows; other columns are ignored.
     """
     text = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    chunks = settle(text.mapInArrow(lambda batches: _packed(batches, limit), CHUNKS))
-    in_chunk = chunks.where("terms IS NOT NULL").select("chunk", "lang", F.explode(F.arrays_zip("terms", "documents")).alias("t")).select("chunk", "lang", F.col("t.terms").alias("term"), F.col("t.documents").alias("documents"))
-    kept = settle(in_chunk.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least).select("lang", "term"))
-    vocabulary = in_chunk.join(looked_up(kept), ["lang", "term"]).select(F.col("chunk").alias("own"), F.col("lang").alias("of"), "term")
-    counts = chunks.select("chunk", "lang", "source", "text").groupBy("chunk", "lang").cogroup(vocabulary.groupBy("own", "of")).applyInArrow(_counted, "lang string, source string, term string, n long")
-    postings = settle(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    counted = text.mapInArrow(lambda batches: _frequencies(batches, limit), "lang string, term string, documents long").groupBy("lang", "term").agg(F.sum("documents").alias("documents"))
+    kept = settle(counted.where(F.col("documents") >= least).select("lang", "term"))
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(kept.select(_bit().alias("bit"))))
+    counts = text.mapInArrow(lambda batches: _counted(batches, limit, known.value), "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    postings = settle(counts.join(looked_up(kept), ["lang", "term"]))
+    known.destroy()
 
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"))
     sums = postings.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.count("*").alias("has"))
-    groups = chunks.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["own", "has", "v"])
+    groups = text.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["own", "has", "v"])
     groups = settle(groups.withColumn("absent", share("0", "own")).withColumn("g", F.monotonically_increasing_id()))
-    forget(chunks, kept)
+    forget(kept)
     totals = groups.groupBy("lang").agg(F.sum("own").alias("all"))
     near = looked_up(groups)
     shares = postings.join(near, ["lang", "source"]).select("lang", "term", "g", share("n", "own").alias("p"), "absent", "n", "v")

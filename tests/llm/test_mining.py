@@ -133,7 +133,7 @@ def test_phrases_of_overlaps_and_languages(spark):
 def test_phrases_with_a_crowded_bitmap():
     """Every bit set: more candidates, the same counts."""
     words, codes = collocations.numbered([b"one two three one two. one two four".translate(collocations.NORMAL), b"one two"])
-    full = np.full((1 << collocations.BITS) // 8, 255, np.uint8)
+    full = np.full((1 << collocations.BITMAP_BITS) // 8, 255, np.uint8)
     got = {p: n for found, counts in collocations.phrases("x", words, codes, 2, full) for p, n in zip(found.to_pylist(), counts.tolist())}
     assert got == {"one two": 4, "two three": 1, "three one": 1, "two four": 1}
     assert not list(collocations.phrases("x", words, codes, 2, np.zeros_like(full))) and not list(collocations.phrases("x", words, codes[:1], 2, full))
@@ -141,7 +141,7 @@ def test_phrases_with_a_crowded_bitmap():
 
 def test_only_phrases_of_frequent_phrases_are_counted(spark):
     frequent = spark.createDataFrame([("x", "one two"), ("x", "two three"), ("y", "three one")], "lang string, phrase string")
-    told = collocations.bitmap(frequent)
+    told = collocations.told(frequent)
     assert np.unpackbits(told).sum() == 3
     words, codes = collocations.numbered([b"one two three one two"])
     assert [p for found, _ in collocations.phrases("x", words, codes, 3, told) for p in found.to_pylist()] == ["one two three"]
