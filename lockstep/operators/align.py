@@ -111,6 +111,25 @@ def aligned(kept: DataFrame, views: Sequence[str], value: str, suffix: str) -> D
     return aligned_full(kept, views, value, suffix).dropna(subset=[f"{v}_{suffix}" for v in views])
 
 
+def write_by_frame(kept: DataFrame, table: str, buckets: int) -> DataFrame:
+    """kept as a table with buckets of frame_idx: views are aligned in it, by `aligned` and `aligned_full`, without a shuffle.
+
+    Rows are dealt to the buckets before they are written, so that there is a file for each, sorted. The table is replaced; its files lie in
+    the session's warehouse, which all executors share.
+    """
+    kept.repartition(buckets, "frame_idx").write.bucketBy(buckets, "frame_idx").sortBy("frame_idx", "view").mode("overwrite").format("parquet").saveAsTable(table)
+    return kept.sparkSession.table(table)
+
+
+def aligned_by_frame(table: DataFrame, views: Sequence[str], value: str, suffix: str) -> DataFrame:
+    """`aligned` of a table of `write_by_frame`, as joins of its views: each is a scan of the same buckets, so none is shuffled or sorted anew."""
+    own = [table.where(F.col("view") == v).select("frame_idx", F.col(value).alias(f"{v}_{suffix}")) for v in views]
+    out = own[0]
+    for other in own[1:]:
+        out = out.hint("merge").join(other, "frame_idx")
+    return out
+
+
 def trim_groups(frames: DataFrame, group: str, number: str, offset: Column) -> DataFrame:
     """Frames that carry their number, trimmed by an offset computed per group; no join, no shuffle."""
     return frames.where(F.col(number) >= offset).withColumn("frame_idx", (F.col(number) - offset).cast("long"))

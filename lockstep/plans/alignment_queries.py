@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import align, manifest
+from ..operators import align, manifest, presence
 from ..operators.registry import FPS, registry
 from ..sources import frames as frame_files
 from . import extract
@@ -20,6 +20,7 @@ from . import extract
 #: Stand-ins: event types with the offsets of the three views; the one with offset 0 is the reference.
 STAND_INS = (("click", "click", 3), ("error", "error", 0), ("purchase", "purchase", 1))
 REFERENCE, SIZE = "error", "360x288"
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def _views(spark: SparkSession) -> DataFrame:
@@ -66,11 +67,41 @@ def frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark).select("view", text.time_offset(F.col("offset"), FPS).alias("time_offset_sec"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select("conv_id", "turn", text.time_offset(F.col("turn"), FPS).alias("time_offset_sec"))
 
 
 def alignment_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark).select("view", text.note(F.col("offset"), REFERENCE).alias("notes"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select("conv_id", "turn", text.note(F.col("turn"), REFERENCE).alias("notes"))
+
+
+def _named_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # order keys have gaps, as frames of an extraction that broke off
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderpriority").alias("view"), text.frame_number(text.frame_name(F.col("o_orderkey"))).alias("frame_idx"))
+
+
+def frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _named_orders(spark, sf_dir)
+    return presence.gaps(presence.presence(named), named.groupBy("view").agg((F.max("frame_idx") + 100).alias("frame_count")))
+
+
+def frame_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.runs(presence.presence(_named_orders(spark, sf_dir)))
+
+
+def frames_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged from two listings, of which each has a part of the frames and some are in both."""
+    named = _named_orders(spark, sf_dir)
+    parts = [presence.presence(named.where(c)) for c in ("frame_idx % 3 < 2", "frame_idx % 3 > 0")]
+    return presence.counts(presence.merged(*parts))
+
+
+def frames_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as wanted frames of the order priorities, of which those go that are there."""
+    wanted = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.element_at(F.array(*map(F.lit, PRIORITIES)), (F.col("event_id") % 5 + 1).cast("int")).alias("view"), F.col("event_id").alias("frame_idx"))
+    return presence.missing(wanted, presence.presence(_named_orders(spark, sf_dir)))
 
 
 def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         frame_numbering, offset_trim, frame_reindex, frame_file_name, frame_count, time_offset, alignment_note, resolution, alignment_manifest,
         inspection_manifest, existing_frame_count, extract_action, group_offset_trim, aligned_views, aligned_views_full, manifest_consistency,
-        probe_last_key, reference_resolution, frame_listing,
+        probe_last_key, reference_resolution, frame_listing, frame_gaps, frame_runs, frames_present, frames_missing,
     )
 }
 
@@ -169,8 +200,21 @@ ORACLES: dict[str, str] = {
     "frame_reindex": f"{_CTES} SELECT view, event_id, frame_idx FROM kept",
     "frame_file_name": f"{_CTES} SELECT view, frame_idx, printf('frame_%04d.jpg', frame_idx) AS file_name FROM kept",
     "frame_count": f"{_CTES} SELECT view, frame_count FROM counts",
-    "time_offset": f"{_CTES} SELECT view, {_TIME} FROM views",
-    "alignment_note": f"{_CTES} SELECT view, {_NOTE} FROM views",
+    "time_offset": "SELECT conv_id, turn, round_even(turn / CAST(25.0 AS DOUBLE), 4) AS time_offset_sec FROM conversations",
+    "alignment_note": "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'Reference view' ELSE 'Aligned to error (reference); offset +' || CAST(turn AS VARCHAR) || ' frames' END AS notes FROM conversations",
+    "frame_gaps": """
+        WITH named AS (SELECT DISTINCT o_orderpriority AS view, o_orderkey AS k FROM orders),
+        edges AS (SELECT view, k, false AS past FROM named UNION ALL SELECT view, -1, false FROM named GROUP BY view UNION ALL SELECT view, max(k) + 100, true FROM named GROUP BY view),
+        pairs AS (SELECT view, k, lead(k) OVER (PARTITION BY view ORDER BY k) AS next FROM edges)
+        SELECT view, k + 1 AS first, next - 1 AS last FROM pairs WHERE next > k + 1""",
+    "frame_runs": """
+        WITH named AS (SELECT DISTINCT o_orderpriority AS view, o_orderkey AS k FROM orders),
+        placed AS (SELECT view, k, k - row_number() OVER (PARTITION BY view ORDER BY k) AS run FROM named)
+        SELECT view, min(k) AS first, max(k) AS last FROM placed GROUP BY view, run""",
+    "frames_present": "SELECT o_orderpriority AS view, count(DISTINCT o_orderkey) AS frame_count FROM orders GROUP BY o_orderpriority",
+    "frames_missing": """
+        WITH wanted AS (SELECT (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[CAST(event_id % 5 + 1 AS INT)] AS view, event_id AS frame_idx FROM events)
+        SELECT view, frame_idx FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = w.view AND o.o_orderkey = w.frame_idx)""",
     "resolution": "SELECT p_partkey, CAST(p_size AS VARCHAR) || 'x' || CAST(p_partkey AS VARCHAR) AS resolution FROM part",
     "alignment_manifest": f"{_CTES} SELECT view, CAST(25.0 AS DOUBLE) AS fps, off AS frame_offset, {_TIME}, '{SIZE}' AS resolution, frame_count, {_NOTE} FROM counts",
     "inspection_manifest": r"""

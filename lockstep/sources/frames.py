@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_name, is_frame_name
 
 LISTED = "view string, file_name string, length long"
+#: Names that a listing task hands on at once.
+NAMES = 10_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -27,11 +31,47 @@ def make_folder(spark: SparkSession, path: str) -> None:
 
 
 def list_frames(spark: SparkSession, data: str) -> DataFrame:
-    """(view, file_name, length) of the frames in the folders under data; only names are read. No folder, no rows."""
+    """(view, file_name, length) of the frames in the folders under data; only names are read. No folder, no rows.
+
+    Each folder is listed by a task of its own and its names leave in batches; the driver sees the folders only. A folder whose name begins with a full stop
+    is someone's work in progress. Where tasks can't list, Spark's reader does, on the driver.
+    """
     if not exists(spark, data):
         return spark.createDataFrame([], LISTED)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "frame_*.jpg").load(data)
-    return listed(files.select("path", "length"))
+    if not openable(data):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "frame_*.jpg").load(data)
+        return listed(files.select("path", "length"))
+    folders = [f"{data}/{name}" for name in _folders(data)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for found in _names(folders[k]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64()))], ["path", "length"])
+
+    return listed(spark.range(0, len(folders), 1, max(len(folders), 1)).mapInArrow(run, "path string, length long"))
+
+
+def _folders(data: str) -> list[str]:
+    from pyarrow import fs
+
+    store, home = _store(data)
+    found = store.get_file_info(fs.FileSelector(home))
+    return sorted(x.base_name for x in found if x.type == fs.FileType.Directory and not x.base_name.startswith("."))
+
+
+def _names(folder: str) -> Iterator[list[tuple[str, int]]]:
+    """(path, size) of the files in a folder and those below it, in batches."""
+    from pyarrow import fs
+
+    store, home = _store(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        # a scan that holds no list
+        found = ((f.path, f.stat().st_size) for top, _, _ in os.walk(home) for f in os.scandir(top) if f.is_file())
+    else:
+        found = ((x.path, x.size) for x in store.get_file_info(fs.FileSelector(home, recursive=True)) if x.type == fs.FileType.File)
+    while some := list(itertools.islice(found, NAMES)):
+        yield some
 
 
 def listed(files: DataFrame) -> DataFrame:

@@ -1,107 +1,69 @@
-"""Video files as tables: headers, and frames as JPEG images.
+"""Video files as tables: headers, where frames lie, and frames as JPEG images.
 
-AVI containers are read here without an outside tool: header fields of the first video stream, and its frame chunks.
-Motion JPEG chunks are JPEG images; frames of other codecs need a decoder, given as a function on an open file.
-A file is opened by the task that reads it, at its own path, and read a piece at a time: a header probe takes the first bytes
-only, and a file may be of any size. Stores that cannot be opened so come through Spark's binaryFile reader,
-whole, one file in a row.
+A file's index gives a row per frame (`entries`) without reading one. Whatever is asked of view and number is asked of these rows; the frames that are
+left are dealt to tasks by their bytes, so that several tasks read one file and none reads a frame that trimming drops. Chunks of
+Motion JPEG are images as they stand, uncompressed frames are encoded, and frames of other codecs need a decoder, given as a
+function on an open file: a task decodes a file, or a run of frames from one key frame to another.
+
+Files are opened by the tasks, at their own paths, and read a range at a time. Stores that cannot be opened so come through Spark's binaryFile
+reader, whole, one file in a row.
 """
 
 from __future__ import annotations
 
 import io
-import struct
 from collections.abc import Callable, Iterator
-from fractions import Fraction
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpeg
+from .avi import Frames, excerpt, frames_of, header_of, part, read_header
 from .frames import exists, openable, opened
 
+__all__ = ["entries", "external_decoder", "frames", "headers", "images", "jpegs", "read_frames", "read_header"]
+
 HEADERS = "view string, filename string, codec_name string, width string, height string, r_frame_rate string, duration_sec string, nb_frames string"
 FRAMES = "view string, n long, image binary"
-#: Names of codecs by their four-character codes.
-CODECS = {"MJPG": "mjpeg", "FMP4": "mpeg4", "XVID": "mpeg4", "DIVX": "mpeg4", "DX50": "mpeg4", "MP4V": "mpeg4", "H264": "h264", "AVC1": "h264"}
-#: The codec whose frames are images as they stand, and how a JPEG image begins and ends.
-IMAGES, BEGIN, END = "mjpeg", b"\xff\xd8", b"\xff\xd9"
-#: Bytes of a file that are searched for its header, and bytes that a decoder's output is read by.
-HEAD, PIECE = 1 << 20, 1 << 16
-BATCH = 8 << 20
+ENTRIES = "view string, path string, content binary, n long, at long, size long, key boolean, form string"
+#: Codecs whose frames need no decoder: images as they stand, and uncompressed pictures.
+IMAGES, PICTURES = "mjpeg", "rawvideo"
+#: How a JPEG image begins and ends.
+BEGIN, END = b"\xff\xd8", b"\xff\xd9"
+#: Bytes that a decoder's output is read by, bytes of images in a batch, and bytes of frames that a task reads.
+PIECE, BATCH, SPLIT = 1 << 16, 8 << 20, 128 << 20
 
 Decoder = Callable[[BinaryIO], Iterator[bytes]]
 
 
-def chunks(file: BinaryIO, start: int = 0, stop: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(name, start, stop) of the chunks of an open RIFF file, lists opened; a chunk cut off by the end is left out."""
-    stop = file.seek(0, io.SEEK_END) if stop is None else stop
-    while start + 8 <= stop:
-        file.seek(start)
-        name, size = struct.unpack("<4sI", file.read(8))
-        body, end = start + 8, start + 8 + size
-        if name in (b"RIFF", b"LIST"):
-            yield from chunks(file, body + 4, min(end, stop))
-        elif end <= stop:
-            yield name, body, end
-        start = end + size % 2
-
-
-def _part(file: BinaryIO, a: int, b: int) -> bytes:
-    file.seek(a)
-    return file.read(b - a)
-
-
-def header_of(file: BinaryIO) -> dict[str, str]:
-    """Fields of the first video stream of an open file as text; {} if there is none. Frames are not read."""
-    fields, kind, stream = {}, None, -1
-    if _part(file, 0, 4) != b"RIFF" or _part(file, 8, 12) != b"AVI ":
-        return fields
-    for name, a, b in chunks(file):
-        if name == b"strh" and b - a >= 36:
-            stream += 1
-            body = _part(file, a, a + 36)
-            kind = body[:4]
-            if kind == b"vids" and not fields:
-                scale, rate, _, length = struct.unpack_from("<IIII", body, 20)
-                per_second = Fraction(rate, scale) if scale and rate else Fraction(0)
-                duration = f"{float(length / per_second):.6f}" if per_second else ""
-                fields = {"code": body[4:8].decode("latin-1").upper(), "stream": str(stream), "r_frame_rate": f"{per_second.numerator}/{per_second.denominator}", "duration_sec": duration, "nb_frames": str(length)}
-        elif name == b"strf" and kind == b"vids" and "width" not in fields and b - a >= 20:
-            _, width, height, _, _, coded = struct.unpack("<IiiHH4s", _part(file, a, a + 20))
-            coded = coded.decode("latin-1").upper()
-            fields |= {"width": str(width), "height": str(abs(height)), "codec_name": CODECS.get(coded, CODECS.get(fields["code"], coded.strip("\0 ").lower()))}
-        elif name[2:] in (b"dc", b"db", b"wb") or {"width", "code"} <= set(fields):
-            break
-    return fields
-
-
-def read_header(content: bytes) -> dict[str, str]:
-    """header_of a file's first bytes."""
-    return header_of(io.BytesIO(content))
+def form_of(found: dict[str, str]) -> str:
+    """What it takes to make an image of a frame, as text: the codec, and the measures of an uncompressed picture. ValueError for codecs that need a decoder."""
+    if found.get("codec_name") not in (IMAGES, PICTURES):
+        raise ValueError(f"frames of codec {found.get('codec_name') or 'unknown'} need a decoder")
+    return found["codec_name"] if found["codec_name"] == IMAGES else ":".join(found.get(k, "") for k in ("codec_name", "pixels", "width", "height", "depth", "upside_down"))
 
 
-def read_frames(file: BinaryIO | bytes) -> Iterator[bytes]:
-    """The images of the first video stream in order, for streams whose chunks are JPEG images.
+def image_of(data: bytes, form: str, at: int = 0) -> bytes:
+    """A frame's bytes as a JPEG image; ValueError for a chunk that isn't one, which no viewer would open."""
+    if form == IMAGES:
+        if not data.startswith(BEGIN):
+            raise ValueError(f"the chunk at byte {at} is not a JPEG image")
+        return data
+    _, pixels, width, height, depth, upside_down = form.split(":")
+    return jpeg.encode(jpeg.picture(data, pixels, int(width), abs(int(height)), int(depth), upside_down == "1"))
 
-    An empty chunk, which stands for no change of the picture, is no frame. ValueError for other codecs, and for a chunk that
-    is not a JPEG image: without a decoder such frames would be files that no viewer opens.
-    """
+
+def read_frames(file: BinaryIO | bytes) -> Iterator[bytes]:
+    """The images of the first video stream in order, for streams that need no decoder. An empty chunk is no frame."""
     file = io.BytesIO(file) if isinstance(file, bytes) else file
     found = header_of(file)
-    if not found:
-        return
-    if found.get("codec_name") != IMAGES:
-        raise ValueError(f"frames of codec {found.get('codec_name') or 'unknown'} need a decoder")
-    stream = int(found["stream"])
-    wanted = {f"{stream:02d}dc".encode(), f"{stream:02d}db".encode()}
-    for name, a, b in chunks(file):
-        if name in wanted and b > a:
-            image = _part(file, a, b)
-            if not image.startswith(BEGIN):
-                raise ValueError(f"the chunk at byte {a} is not a JPEG image")
-            yield image
+    if found:
+        form, index = form_of(found), frames_of(file, found)
+        for at, size in zip(index.at.tolist(), index.size.tolist()):
+            yield image_of(part(file, at, size), form, at)
 
 
 def jpegs(pipe: BinaryIO) -> Iterator[bytes]:
@@ -173,11 +135,16 @@ def external_decoder(command: list[str]) -> Decoder:
         run = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
         feeder = threading.Thread(target=feed, daemon=True)
         feeder.start()
+        wanted = True
         try:
             yield from jpegs(run.stdout)
+        except GeneratorExit:  # the caller wants no more: that the pipe closes is no failure of the command
+            wanted = False
+            raise
         finally:
             run.stdout.close()
-            if (code := run.wait()) > 0:
+            # a negative code is a signal, such as that of a command killed for its memory
+            if (code := run.wait()) and wanted:
                 raise subprocess.CalledProcessError(code, command)
 
     return decode
@@ -189,9 +156,11 @@ def _files(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame:
     missing = [n for _, n in rows if not exists(spark, f"{raw_videos}/{n}")]
     if missing:
         raise FileNotFoundError(f"no source video: {', '.join(missing)} in {raw_videos}")
-    named = spark.createDataFrame([(v, n, f"{raw_videos}/{n}") for v, n in rows], "view string, filename string, path string")
+    named = spark.createDataFrame([(k, v, n, f"{raw_videos}/{n}") for k, (v, n) in enumerate(rows)], "id long, view string, filename string, path string")
     if openable(raw_videos):
-        return named.repartition(max(len(rows), 1), "view").withColumn("content", F.lit(None).cast("binary"))
+        # a range of as many parts as rows: a hash could deal two files to one task
+        each = spark.range(0, len(rows), 1, max(len(rows), 1)).join(F.broadcast(named), "id")
+        return each.select("view", "filename", "path", F.lit(None).cast("binary").alias("content"))
     found = spark.read.format("binaryFile").load(sorted({f"{raw_videos}/{n}" for _, n in rows}))
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
     return found.join(F.broadcast(named), "filename").select("view", "filename", "path", "content")
@@ -202,16 +171,11 @@ def _open(path: str, content: bytes | None) -> BinaryIO:
 
 
 def headers(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame:
-    """Header fields of each view's file as text, from its first bytes; a file that isn't read has empty ones."""
+    """Header fields of each view's file as text; no frame is read. A file that isn't read has empty ones."""
 
     def fields_of(path: str, content: bytes | None) -> dict[str, str]:
         with _open(path, content) as file:
-            size = HEAD
-            while True:  # nearly always once
-                found = read_header(_part(file, 0, size))
-                if "width" in found or file.seek(0, io.SEEK_END) <= size:
-                    return found
-                size *= 8
+            return header_of(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in HEADERS.split(", ")]
@@ -223,29 +187,142 @@ def headers(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame
     return _files(spark, views, raw_videos).mapInArrow(run, HEADERS)
 
 
-def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decoder = read_frames) -> DataFrame:
-    """(view, n, image) of each view's file; decode makes a file's images from the open file, in order.
+def entries(spark: SparkSession, views: DataFrame, raw_videos: str) -> DataFrame:
+    """(view, path, content, n, at, size, key, form): a row for each frame of each view's file, from its index; no frame is read.
 
-    Frames leave in batches as they are decoded. By default they are the chunks of a Motion JPEG stream; other codecs fail.
+    Fails for codecs that need a decoder. content is null but where files can't be opened by path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for view, path, content in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                first, images, size = 0, [], 0
                 with _open(path, content) as file:
-                    for n, image in enumerate(decode(file)):
-                        images.append(image)
-                        size += len(image)
-                        if size >= BATCH:
-                            yield _rows(view, first, images)
-                            first, images, size = n + 1, [], 0
-                if images:
-                    yield _rows(view, first, images)
+                    if found := header_of(file):
+                        form, index = form_of(found), frames_of(file, found)
+                        for a in range(0, len(index.at), 1 << 16):
+                            yield _entries(view, path, content, a, Frames(*(c[a : a + (1 << 16)] for c in index)), form)
+
+    return _files(spark, views, raw_videos).mapInArrow(run, ENTRIES)
+
+
+def _entries(view: str, path: str, content: bytes | None, first: int, index: Frames, form: str) -> pa.RecordBatch:
+    n = len(index.at)
+    same = [pa.repeat(pa.scalar(v, k), n) for v, k in ((view, pa.string()), (path, pa.string()), (content if n == 1 else None, pa.binary()))]
+    data = [pa.array(np.arange(first, first + n)), *(pa.array(c) for c in index)]
+    return pa.RecordBatch.from_arrays([*same, *data, pa.repeat(pa.scalar(form), n)], [x.split()[0] for x in ENTRIES.split(", ")])
+
+
+def images(found: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(view, n, image) of some of `entries`, whatever filters and joins left of them: each task reads a range of view and n, of about `split` bytes."""
+    total = found.agg(F.sum("size")).first()[0] or 0
+    dealt = found.repartitionByRange(max(1, -(-total // split)), "view", "n").sortWithinPartitions("view", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, opened_at = None, None
+        try:
+            for batch in batches:
+                held, size = [], 0
+                for row in batch.to_pylist():
+                    if row["path"] != opened_at:
+                        if file:
+                            file.close()
+                        file, opened_at = opened(row["path"]), row["path"]
+                    held.append((row["view"], row["n"], image_of(part(file, row["at"], row["size"]), row["form"], row["at"])))
+                    size += len(held[-1][2])
+                    if size >= BATCH:
+                        yield _rows(held)
+                        held, size = [], 0
+                if held:
+                    yield _rows(held)
+        finally:
+            if file:
+                file.close()
 
-    return _files(spark, views, raw_videos).mapInArrow(run, FRAMES)
+    return dealt.select("view", "path", "n", "at", "size", "form").mapInArrow(run, FRAMES)
 
 
-def _rows(view: str, first: int, images: list[bytes]) -> pa.RecordBatch:
-    n = pa.array(range(first, first + len(images)), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([view] * len(images)), n, pa.array(images, pa.binary())], ["view", "n", "image"])
+def _rows(held: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    view, n, image = zip(*held)
+    return pa.RecordBatch.from_arrays([pa.array(view), pa.array(n, pa.int64()), pa.array(image, pa.binary())], ["view", "n", "image"])
+
+
+class _Excerpt(io.RawIOBase):
+    """Frames from one key frame up to another, as a file that is read once."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.have = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        return 0
+
+    def readinto(self, buffer) -> int:
+        while not self.have and (piece := next(self.pieces, b"")):
+            self.have = piece
+        got, self.have = self.have[: len(buffer)], self.have[len(buffer) :]
+        buffer[: len(got)] = got
+        return len(got)
+
+
+def key_ranges(index: Frames, split: int = SPLIT) -> list[tuple[int, int]]:
+    """(first, last) of runs of frames that begin at key frames and have at least `split` bytes, but for the last. What comes before the first key frame is with the first run."""
+    n, cuts, before = len(index.at), [0], 0
+    total = np.concatenate([[0], np.cumsum(index.size)])
+    for k in np.flatnonzero(index.key).tolist():
+        if k and total[k] - before >= split:
+            cuts.append(k)
+            before = total[k]
+    return list(zip(cuts, [*cuts[1:], n])) if n else []
+
+
+def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decoder = read_frames, split: int = SPLIT, by_key: bool = False, trimmed: bool = False) -> DataFrame:
+    """(view, n, image) of each view's file; n counts from the file's first frame. trimmed: frames before the view's offset are not read, or decoded and dropped.
+
+    By default frames are read by `entries`, several tasks to a file. decode makes a file's images from the open file, in order: a task
+    for each file, or, by_key, for each run of frames that begins at a key frame. That needs a stream whose frames refer to nothing before the last key
+    frame, and fails where a run gives another number of images than it has frames.
+    """
+    first = F.col("offset") if trimmed else F.lit(0)
+    own = F.broadcast(views.select(F.col("view").alias("__view"), first.alias("__first")))  # a row per view
+    if decode is read_frames and openable(raw_videos):
+        found = entries(spark, views, raw_videos).join(own, F.col("view") == F.col("__view")).where(F.col("n") >= F.col("__first"))
+        return images(found, split)
+    files = _files(spark, views, raw_videos).join(own, F.col("view") == F.col("__view")).select("view", "path", "content", "__first")
+    ranges = "view string, path string, content binary, __first int, a long, b long"
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _open(row["path"], row["content"]) as file:
+                    cuts = [(a, b) for a, b in key_ranges(frames_of(file), split) if b > row["__first"]]
+                same = [pa.repeat(pa.scalar(row[k], t), len(cuts)) for k, t in (("view", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("__first", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array([c[k] for c in cuts], pa.int64()) for k in (0, 1))], [x.split()[0] for x in ranges.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held, size, k = [], 0, -1
+                with _open(row["path"], row["content"]) as file:
+                    a, b = row["a"], row["b"]
+                    given = _Excerpt(excerpt(file, frames_of(file), int(header_of(file)["stream"]), a, b)) if by_key else file
+                    for k, image in enumerate(decode(given)):
+                        if a + k < row["__first"]:
+                            continue
+                        held.append((row["view"], a + k, image))
+                        size += len(image)
+                        if size >= BATCH:
+                            yield _rows(held)
+                            held, size = [], 0
+                if by_key and k + 1 != b - a:
+                    raise ValueError(f"{row['path']}: {k + 1} images of {b - a} frames from {a} on")
+                if held:
+                    yield _rows(held)
+
+    if by_key:
+        cut = files.mapInArrow(runs, ranges)
+        dealt = cut.repartitionByRange(max(1, cut.count()), "view", "a")
+    else:
+        dealt = files.select("*", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    return dealt.mapInArrow(run, FRAMES)

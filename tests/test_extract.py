@@ -9,29 +9,7 @@ from lockstep.operators import align, manifest
 from lockstep.operators.registry import registry
 from lockstep.plans import extract
 from lockstep.sources import config, frames, video
-
-VIEWS = (("view1", "view1.avi", 3), ("view2", "view2.avi", 0), ("view3", "view3.avi", 1))
-
-
-def chunk(name, body):
-    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-
-
-def movie(images, width=36, height=28, codec=b"MJPG"):
-    """An AVI with an audio stream before the video stream."""
-    def header(kind, code, scale, rate, n):
-        return kind + code + struct.pack("<IHHIIIIIIII8x", 0, 0, 0, 0, scale, rate, 0, n, 0, 0, 0)
-
-    sound = chunk(b"LIST", b"strl" + chunk(b"strh", header(b"auds", b"\0\0\0\0", 1, 8000, 9)) + chunk(b"strf", b"\0" * 18))
-    size = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, codec, 0, 0, 0, 0, 0)
-    film = chunk(b"LIST", b"strl" + chunk(b"strh", header(b"vids", codec, 1, 25, len(images))) + chunk(b"strf", size))
-    movi = b"movi" + b"".join(chunk(b"00wb", b"zz") + chunk(b"01dc", i) for i in images)
-    return chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"hdrl" + sound + film) + chunk(b"LIST", movi))
-
-
-def image(view, k):
-    return b"\xff\xd8" + f"{view}:{k}".encode() + b"\xff\xd9"
-
+from movies import VIEWS, chunk, image, movie
 
 @pytest.fixture
 def project(tmp_path):
@@ -117,15 +95,21 @@ def test_images_of_a_pipe(monkeypatch, piece):
 
 
 def test_failing_decoder_is_not_taken_for_no_frames():
-    with pytest.raises(subprocess.CalledProcessError):
-        list(video.external_decoder(["python", "-c", "import sys; sys.exit(3)"])(io.BytesIO(b"x" * (1 << 20))))
+    one = "import sys, os, signal; sys.stdout.buffer.write(bytes.fromhex('ffd8ffda0002ffd9')); sys.stdout.flush(); "
+    for end in ("sys.exit(3)", "os.kill(os.getpid(), signal.SIGKILL)"):
+        with pytest.raises(subprocess.CalledProcessError):
+            list(video.external_decoder(["python", "-c", one + end])(io.BytesIO(b"x" * (1 << 20))))
+    # a caller that wants no more is no failure
+    decoder = video.external_decoder(["python", "-c", f"{one}\nwhile True: sys.stdout.buffer.write(bytes.fromhex('ffd8ffda0002ffd9'))"])
+    assert next(images := decoder(io.BytesIO(b"x"))).startswith(video.BEGIN)
+    images.close()
 
 
 def test_headers_read_the_first_bytes_only(spark, tmp_path):
     """A long file is not read for its header; one whose header comes late is."""
     late = movie([image("a", 0)])
     at = late.index(b"LIST", 12)
-    late = chunk(b"RIFF", late[8:at] + chunk(b"JUNK", b"\0" * (video.HEAD + 10)) + late[at:])
+    late = chunk(b"RIFF", late[8:at] + chunk(b"JUNK", b"\0" * (1 << 20)) + late[at:])
     (tmp_path / "late.avi").write_bytes(late)
     with open(tmp_path / "long.avi", "wb") as out:
         out.write(movie([image("a", k) for k in range(4)]))
@@ -147,7 +131,59 @@ def test_broken_extraction_is_made_anew_when_asked(spark, project, tmp_path):
     extract.extract(spark, project, views, to)
     (tmp_path / "data/view1/frame_0002.jpg").unlink()
     assert [r["frame_count"] for r in extract.extract(spark, project, views, to).collect()] == [2, 6, 5]
+    (tmp_path / "data/view2/frame_0099.jpg").write_bytes(b"stale")
+    kept = {v: (tmp_path / f"data/{v}/frame_0000.jpg").stat().st_mtime_ns for v, _, _ in VIEWS}
     assert [r["frame_count"] for r in extract.extract(spark, project, views, to, complete=True).collect()] == [3, 6, 5]
+    assert (tmp_path / "data/view1/frame_0002.jpg").read_bytes() == image("view1", 5) and not (tmp_path / "data/view2/frame_0099.jpg").exists()
+    # only what was missing is made; a view with frames that don't belong to it is made anew
+    again = {v: (tmp_path / f"data/{v}/frame_0000.jpg").stat().st_mtime_ns for v, _, _ in VIEWS}
+    assert [again[v] == kept[v] for v, _, _ in VIEWS] == [True, False, True]
+    # marks say that all is there: no source is read but the reference view's header
+    (tmp_path / "raw_videos/view1.avi").write_bytes(b"broken")
+    assert [r["frame_count"] for r in extract.extract(spark, project, views, to, complete=True).collect()] == [3, 6, 5]
+    # another offset is another set of frames
+    moved = registry(spark, [("view2", "view2.avi", 0), ("view3", "view3.avi", 2)])
+    assert [r["frame_count"] for r in extract.extract(spark, project, moved, to, complete=True).collect()] == [6, 4]
+
+
+def test_failing_forced_extraction_leaves_the_old_frames(spark, project, tmp_path):
+    views, to = registry(spark, VIEWS), f"{project.root}/metadata"
+    extract.extract(spark, project, views, to)
+    before = {p: p.read_bytes() for p in (tmp_path / "data").rglob("*") if p.is_file()}
+
+    def failing(file):
+        yield b"\xff\xd8x\xff\xd9"
+        raise ValueError("half way")
+
+    with pytest.raises(Exception, match="half way"):
+        extract.extract(spark, project, views, to, force=True, decode=failing)
+    assert {p: p.read_bytes() for p in (tmp_path / "data").rglob("*") if p.is_file()} == before
+
+
+def test_decoding_from_key_frame_to_key_frame(spark, tmp_path):
+    """A stand-in decoder, which makes an image of each chunk, gets runs of a video, each a file of its own."""
+    coded = [bytes([k]) * (50 + k) for k in range(1, 31)]
+    (tmp_path / "a.avi").write_bytes(movie(coded, codec=b"XVID", index="idx1", keys={0, 10, 15, 25}))
+    views = registry(spark, [("a", "a.avi", 12)])
+
+    def decode(file):
+        whole = file.read()
+        assert whole[:4] == b"RIFF"
+        at = whole.index(b"movi") + 4
+        while at < len(whole):
+            size = struct.unpack("<I", whole[at + 4 : at + 8])[0]
+            if whole[at : at + 4] == b"01dc":
+                yield b"\xff\xd8" + whole[at + 8 : at + 8 + size]
+            at += 8 + size + size % 2
+
+    want = [(k, b"\xff\xd8" + c) for k, c in enumerate(coded)]
+    whole = video.frames(spark, views, str(tmp_path), lambda f: iter([b"\xff\xd8" + c for c in coded]))
+    assert [(r.n, bytes(r.image)) for r in whole.orderBy("n").collect()] == want
+    parts = video.frames(spark, views, str(tmp_path), decode, split=1, by_key=True)
+    assert [(r.n, bytes(r.image)) for r in parts.orderBy("n").collect()] == want and parts.withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 3
+    assert [r.n for r in video.frames(spark, views, str(tmp_path), decode, split=1, by_key=True, trimmed=True).orderBy("n").collect()] == list(range(12, 30))
+    with pytest.raises(Exception, match="images of"):
+        video.frames(spark, views, str(tmp_path), lambda f: iter([b"\xff\xd8"]), split=1, by_key=True).collect()
 
 
 def test_extract_skip_force_and_metadata_only(spark, project, tmp_path):
