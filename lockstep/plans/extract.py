@@ -107,8 +107,8 @@ def extract(spark: SparkSession, at: Roots, views: DataFrame, to: str, reference
             if own:
                 some = views.where(F.col("view").isin(own))
                 if mode == "append":
-                    kept = presence.missing(align.trim(video.entries(spark, some, at.raw_videos), some), present(spark, at))
-                    kept = align.trim(video.images(kept), some)
+                    gone = presence.missing(align.trim(video.entries(spark, some, at.raw_videos), some), present(spark, at))
+                    kept = align.trim(video.frames(spark, some, at.raw_videos, only=gone.select("view", "n")), some)
                 else:
                     kept = align.trim(video.frames(spark, some, at.raw_videos, decode, trimmed=True, by_key=by_key), some)
                 notes = json.dumps({r["view"]: r["offset"] for r in rows if r["view"] in own})

@@ -99,6 +99,19 @@ def header_of(file: BinaryIO) -> dict[str, str]:
     return fields
 
 
+def extra_of(file: BinaryIO) -> bytes:
+    """What the first video stream's format holds past its fixed part: headers that some codecs keep there."""
+    kind, read = None, _Reader(file)
+    for name, a, b in chunks(file, read=read):
+        if name == b"strh":
+            kind = read(a, 4)
+        elif name == b"strf" and kind == b"vids":
+            return read(a + 40, b - a - 40) if b - a > 40 else b""
+        elif name[2:] in (b"dc", b"db", b"wb"):
+            break
+    return b""
+
+
 def read_header(content: bytes) -> dict[str, str]:
     """header_of a file's first bytes."""
     return header_of(io.BytesIO(content))

@@ -5,8 +5,7 @@
     spark.read.format("avi").schema("view string, n long").load(...)  # no frame is read
     frames.write.format("frame_files").mode("overwrite").save("/data")
 
-Reading is dealt by file and by `split` bytes of it. Conditions on view choose files, and such on n choose frames, before a frame is read; set
-spark.sql.python.filterPushdown.enabled for Spark to hand them down. Writing stages whole views beside the old ones and swaps them in one
+Reading is dealt by file and by `split` bytes of it. Conditions on view choose files, and such on n choose frames, before a frame is read. Writing stages whole views beside the old ones and swaps them in one
 commit, so a job that fails or is killed leaves what was there.
 """
 
@@ -16,6 +15,7 @@ import json
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from . import video
-from .avi import frames_of, header_of, part
+from . import mpeg4, video
+from .avi import Frames, extra_of, frames_of, header_of, part
 from .frames import _names, _store, openable, opened
 
 #: What a finished view's folder holds besides its frames: their number.
@@ -34,6 +34,8 @@ MARK = "_COMPLETE"
 
 
 def register(spark: SparkSession) -> None:
+    """Make the formats known to a session, with the setting that Spark asks for where a source takes conditions."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     for source in (Avi, AviHeaders, FrameFiles):
         spark.dataSource.register(source)
 
@@ -70,7 +72,7 @@ class _Files(DataSource):
 
 
 class Avi(_Files):
-    """Rows (view, n, image) of AVI files whose frames need no decoder; a file's view is its name without the extension."""
+    """Rows (view, n, image) of AVI files whose frames this library makes images of; a file's view is its name without the extension."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,8 +125,12 @@ class AviReader(DataSourceReader):
             if not (found := header_of(file)):
                 return
             form, index = video.form_of(found), frames_of(file, found)
+            last = len(index.at) if self.last is None else self.last
             n = np.flatnonzero((index.at >= share.start) & (index.at < share.stop))
-            n = n[(n >= self.first) & (n <= (len(index.at) if self.last is None else self.last))]
+            if form == video.CODED and "image" in self.names:
+                yield from self._decoded(file, index, n, last, view_of(share.path))
+                return
+            n = n[(n >= self.first) & (n <= last)]
             cuts = np.cumsum(index.size[n]) // video.BATCH if "image" in self.names else np.arange(len(n)) >> 16
             for own in np.split(n, np.flatnonzero(np.diff(cuts)) + 1):
                 columns = {"view": pa.repeat(pa.scalar(view_of(share.path)), len(own)), "n": pa.array(own, pa.int64())}
@@ -133,6 +139,20 @@ class AviReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([columns[k] for k in self.names], self.names)
 
 
+    def _decoded(self, file: BinaryIO, index: Frames, n: np.ndarray, last: int, view: str) -> Iterator[pa.RecordBatch]:
+        """The wanted frames of the runs that begin, at a key frame, among the frames n; each is decoded as far as it is wanted."""
+        for a, b in video.key_ranges(index, 0):
+            if not len(n) or not n[0] <= a <= n[-1] or b <= self.first or a > last:
+                continue
+            decoder = mpeg4.Decoder(extra_of(file))
+            for k in range(a, min(b, last + 1)):
+                if decoder.pictures(part(file, int(index.at[k]), int(index.size[k]))) != 1:
+                    raise ValueError(f"frame {k} of {view} is not one picture")
+                if k >= self.first:
+                    columns = {"view": [view], "n": pa.array([k], pa.int64()), "image": [decoder.image()]}
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in self.names], self.names)
+
+
 class AviHeaders(_Files):
     """A row of header fields, as text, for each AVI file; no frame is read."""
 

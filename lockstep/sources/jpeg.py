@@ -41,15 +41,15 @@ def picture(data: bytes, pixels: str, width: int, height: int, depth: int = 24,
     elif pixels in ("I420", "IYUV") and width % 2 == height % 2 == 0 and len(raw) >= width * height * 3 // 2:
         n = width * height
         planes = [raw[:n].reshape(height, width), *(raw[n + k * n // 4 : n + (k + 1) * n // 4].reshape(half).repeat(2, 0).repeat(2, 1) for k in range(2))]
-        return _full(np.stack(planes, axis=-1))
+        return full_range(np.stack(planes, axis=-1))
     elif pixels == "YUY2" and width % 2 == 0 and len(raw) >= width * height * 2:
         four = raw[: width * height * 2].reshape(height, width // 2, 4)
         planes = [four[..., ::2].reshape(height, width), four[..., 1].repeat(2, 1), four[..., 3].repeat(2, 1)]
-        return _full(np.stack(planes, axis=-1))
+        return full_range(np.stack(planes, axis=-1))
     raise ValueError(f"no frame of {width}x{height} {pixels or 'DIB'} pixels of {depth} bits in {len(data)} bytes")
 
 
-def _full(video: np.ndarray) -> np.ndarray:
+def full_range(video: np.ndarray) -> np.ndarray:
     """Video range (16 to 235, and 240 for colour) as full range."""
     return (video - np.array([16, 128, 128])) * np.array([255 / 219, 255 / 224, 255 / 224]) + np.array([0, 128, 128])
 

@@ -2,8 +2,8 @@
 
 A file's index gives a row per frame (`entries`) without reading one. Whatever is asked of view and number is asked of these rows; the frames that are
 left are dealt to tasks by their bytes, so that several tasks read one file and none reads a frame that trimming drops. Chunks of
-Motion JPEG are images as they stand, uncompressed frames are encoded, and frames of other codecs need a decoder, given as a
-function on an open file: a task decodes a file, or a run of frames from one key frame to another.
+Motion JPEG are images as they stand, uncompressed frames are encoded. MPEG-4 of the simple profile is decoded here, by tasks that each take a run of frames from
+one key frame to another. Frames of other codecs need a decoder, given as a function on an open file, for a whole file or for such runs.
 
 Files are opened by the tasks, at their own paths, and read a range at a time. Stores that cannot be opened so come through Spark's binaryFile
 reader, whole, one file in a row.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg
+from . import jpeg, mpeg4
 from .avi import Frames, excerpt, frames_of, header_of, part, read_header
 from .frames import exists, openable, opened
 
@@ -29,21 +29,21 @@ __all__ = ["entries", "external_decoder", "frames", "headers", "images", "jpegs"
 HEADERS = "view string, filename string, codec_name string, width string, height string, r_frame_rate string, duration_sec string, nb_frames string"
 FRAMES = "view string, n long, image binary"
 ENTRIES = "view string, path string, content binary, n long, at long, size long, key boolean, form string"
-#: Codecs whose frames need no decoder: images as they stand, and uncompressed pictures.
-IMAGES, PICTURES = "mjpeg", "rawvideo"
+#: Codecs of frames that stand alone, as images and as uncompressed pictures; and the one that is decoded here.
+IMAGES, PICTURES, CODED = "mjpeg", "rawvideo", "mpeg4"
 #: How a JPEG image begins and ends.
 BEGIN, END = b"\xff\xd8", b"\xff\xd9"
-#: Bytes that a decoder's output is read by, bytes of images in a batch, and bytes of frames that a task reads.
-PIECE, BATCH, SPLIT = 1 << 16, 8 << 20, 128 << 20
+#: Bytes that a decoder's output is read by, bytes of images in a batch, and bytes of frames that a task reads, or decodes.
+PIECE, BATCH, SPLIT, SPLIT_CODED = 1 << 16, 8 << 20, 128 << 20, 1 << 20
 
 Decoder = Callable[[BinaryIO], Iterator[bytes]]
 
 
 def form_of(found: dict[str, str]) -> str:
     """What it takes to make an image of a frame, as text: the codec, and the measures of an uncompressed picture. ValueError for codecs that need a decoder."""
-    if found.get("codec_name") not in (IMAGES, PICTURES):
+    if found.get("codec_name") not in (IMAGES, PICTURES, CODED):
         raise ValueError(f"frames of codec {found.get('codec_name') or 'unknown'} need a decoder")
-    return found["codec_name"] if found["codec_name"] == IMAGES else ":".join(found.get(k, "") for k in ("codec_name", "pixels", "width", "height", "depth", "upside_down"))
+    return found["codec_name"] if found["codec_name"] != PICTURES else ":".join(found.get(k, "") for k in ("codec_name", "pixels", "width", "height", "depth", "upside_down"))
 
 
 def image_of(data: bytes, form: str, at: int = 0) -> bytes:
@@ -52,6 +52,8 @@ def image_of(data: bytes, form: str, at: int = 0) -> bytes:
         if not data.startswith(BEGIN):
             raise ValueError(f"the chunk at byte {at} is not a JPEG image")
         return data
+    if form == CODED:
+        raise ValueError(f"frames of codec {form} are decoded from key frames on, not each alone")
     _, pixels, width, height, depth, upside_down = form.split(":")
     return jpeg.encode(jpeg.picture(data, pixels, int(width), abs(int(height)), int(depth), upside_down == "1"))
 
@@ -60,7 +62,9 @@ def read_frames(file: BinaryIO | bytes) -> Iterator[bytes]:
     """The images of the first video stream in order, for streams that need no decoder. An empty chunk is no frame."""
     file = io.BytesIO(file) if isinstance(file, bytes) else file
     found = header_of(file)
-    if found:
+    if found and form_of(found) == CODED:
+        yield from mpeg4.images(file)
+    elif found:
         form, index = form_of(found), frames_of(file, found)
         for at, size in zip(index.at.tolist(), index.size.tolist()):
             yield image_of(part(file, at, size), form, at)
@@ -247,18 +251,28 @@ def _rows(held: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 
 
 class _Excerpt(io.RawIOBase):
-    """Frames from one key frame up to another, as a file that is read once."""
+    """Frames from one key frame up to another, as a file: read in order from its start, or, for who goes back and forth, held whole."""
 
     def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.have = pieces, b""
+        self.pieces, self.have, self.whole, self.started = pieces, b"", None, False
 
     def readable(self) -> bool:
         return True
 
-    def seek(self, at: int, whence: int = 0) -> int:
-        return 0
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, at: int, whence: int = io.SEEK_SET) -> int:
+        if self.whole is None and (at or whence or self.started):
+            if self.started:
+                raise io.UnsupportedOperation("what was read is gone")
+            self.whole = io.BytesIO(b"".join(self.pieces))
+        return self.whole.seek(at, whence) if self.whole else 0
 
     def readinto(self, buffer) -> int:
+        if self.whole is not None:
+            return self.whole.readinto(buffer)
+        self.started = True
         while not self.have and (piece := next(self.pieces, b"")):
             self.have = piece
         got, self.have = self.have[: len(buffer)], self.have[len(buffer) :]
@@ -277,28 +291,45 @@ def key_ranges(index: Frames, split: int = SPLIT) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], n])) if n else []
 
 
-def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decoder = read_frames, split: int = SPLIT, by_key: bool = False, trimmed: bool = False) -> DataFrame:
+def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decoder = read_frames, split: int | None = None, by_key: bool = False, trimmed: bool = False,
+           only: DataFrame | None = None) -> DataFrame:
     """(view, n, image) of each view's file; n counts from the file's first frame. trimmed: frames before the view's offset are not read, or decoded and dropped.
 
-    By default frames are read by `entries`, several tasks to a file. decode makes a file's images from the open file, in order: a task
-    for each file, or, by_key, for each run of frames that begins at a key frame. That needs a stream whose frames refer to nothing before the last key
-    frame, and fails where a run gives another number of images than it has frames.
+    By default frames that stand alone are read by `entries`, several tasks to a file, and coded ones decoded from key frame to key frame. decode makes a file's
+    images from the open file, in order: a task for each file, or, by_key, for each run of about `split` bytes that begins at a key frame. That needs a
+    stream whose frames refer to nothing before the last key frame, and fails where a run gives another number of images than it has frames. only: rows (view, n) of
+    the frames that are wanted.
     """
     first = F.col("offset") if trimmed else F.lit(0)
     own = F.broadcast(views.select(F.col("view").alias("__view"), first.alias("__first")))  # a row per view
     if decode is read_frames and openable(raw_videos):
-        found = entries(spark, views, raw_videos).join(own, F.col("view") == F.col("__view")).where(F.col("n") >= F.col("__first"))
-        return images(found, split)
-    files = _files(spark, views, raw_videos).join(own, F.col("view") == F.col("__view")).select("view", "path", "content", "__first")
-    ranges = "view string, path string, content binary, __first int, a long, b long"
+        codecs = {r["view"]: r["codec_name"] for r in headers(spark, views, raw_videos).select("view", "codec_name").collect()}  # a row per view
+        coded = [v for v, codec in codecs.items() if codec == CODED]
+        alone, rest = views.where(~F.col("view").isin([*coded, ""])), views.where(F.col("view").isin([*coded, ""]))
+        parts = []
+        if len(coded) < len(codecs):
+            found = entries(spark, alone, raw_videos).join(own, F.col("view") == F.col("__view")).where(F.col("n") >= F.col("__first"))
+            parts.append(images(found if only is None else found.join(only.select("view", "n"), ["view", "n"], "left_semi"), split or SPLIT))
+        if coded:
+            parts.append(_decoded(spark, rest, own, raw_videos, mpeg4.images, split or SPLIT_CODED, True, only))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _decoded(spark, views, own, raw_videos, decode, split or SPLIT, by_key, only)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                with _open(row["path"], row["content"]) as file:
-                    cuts = [(a, b) for a, b in key_ranges(frames_of(file), split) if b > row["__first"]]
-                same = [pa.repeat(pa.scalar(row[k], t), len(cuts)) for k, t in (("view", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("__first", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array([c[k] for c in cuts], pa.int64()) for k in (0, 1))], [x.split()[0] for x in ranges.split(", ")])
+
+RUNS = "view string, path string, content binary, __first int, a long, b long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            with _open(row["path"], row["content"]) as file:
+                cuts = [(a, b) for a, b in key_ranges(frames_of(file), split) if b > row["__first"]]
+            same = [pa.repeat(pa.scalar(row[k], t), len(cuts)) for k, t in (("view", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("__first", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array([c[k] for c in cuts], pa.int64()) for k in (0, 1))], [x.split()[0] for x in RUNS.split(", ")])
+
+
+def _decoded(spark: SparkSession, views: DataFrame, own: DataFrame, raw_videos: str, decode: Decoder, split: int, by_key: bool, only: DataFrame | None) -> DataFrame:
+    files = _files(spark, views, raw_videos).join(own, F.col("view") == F.col("__view")).select("view", "path", "content", "__first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,8 +352,14 @@ def frames(spark: SparkSession, views: DataFrame, raw_videos: str, decode: Decod
                     yield _rows(held)
 
     if by_key:
-        cut = files.mapInArrow(runs, ranges)
+        cut = files.mapInArrow(lambda batches: _runs(batches, split), RUNS)
+        if only is not None:  # runs are few: a row for some hundred frames
+            place = cut.select(F.col("view").alias("__of"), "a", "b")
+            wanted = only.join(F.broadcast(place), (F.col("view") == F.col("__of")) & (F.col("n") >= F.col("a")) & (F.col("n") < F.col("b"))).select("view", "a", "b").distinct()
+            cut = cut.join(wanted, ["view", "a", "b"], "left_semi")
+        cut = cut.select("view", "path", "content", "__first", "a", "b")
         dealt = cut.repartitionByRange(max(1, cut.count()), "view", "a")
     else:
         dealt = files.select("*", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    return dealt.mapInArrow(run, FRAMES)
+    out = dealt.mapInArrow(run, FRAMES)
+    return out if only is None else out.join(only.select("view", "n"), ["view", "n"], "left_semi")
