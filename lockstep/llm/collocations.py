@@ -22,15 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slices
+from .common import BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slices
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are reported.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Texts as they are split: A to Z in lower case, what ends a piece as a full stop, tabs as blanks.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 CHUNKS = "chunk long, lang string, words array<string>, counts array<long>, codes binary"
+#: Text bytes of a chunk: what a task holds of one at each level is some twenty times as much.
+CHUNK_BYTES = 4 << 20
+#: Chunks in a batch.
+CHUNK_ROWS = 4
 #: Phrases in a batch, and parts that a language's phrases are ranked in before the last ranking.
-PHRASES, PARTS = 1 << 17, 64
+PHRASES, PARTS = 1 << 16, 64
 
 
 def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,7 @@ def level(chunks: DataFrame, last: DataFrame, k: int, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), found, pa.array(counts)], ["lang", "phrase", "n"])
 
     found = chunks.select("lang", "words", "codes").mapInArrow(run, "lang string, phrase string, n long")
-    out = settle(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    out = settle(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), CHUNK_ROWS)
     frequent.destroy()
     return out
 
@@ -153,7 +157,7 @@ def cut_score(a: str, n: str, left: str, right: str) -> Column:
     return F.expr(f"({wide(a)} * {wide(n)} * cast(1000 as decimal(4,0))) div ({wide(left)} * {wide(right)})")
 
 
-def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, limit: int = BATCH_BYTES) -> DataFrame:
+def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, limit: int = CHUNK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the phrases of 2 to `longest` words with the highest scores of each language of docs (text, lang).
 
     Null texts are empty, null languages `und`. Repeated rows count as often as they occur. A language without

@@ -18,7 +18,8 @@ BATCH_BYTES = 12 << 20
 #: Rows of a batch that settled steps hand to Python, which bounds what is held outside the heap.
 BATCH_ROWS = 4000
 #: Settings of a session while a step is written.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCHES: str(BATCH_ROWS)}
 #: Text bytes that one bucket of a shuffle of whole texts stands for at most, on average.
 BUCKET_BYTES = 256 << 20
 #: Rows, of some numbers each, of a table that is broadcast at most.
@@ -84,8 +85,8 @@ def _written(spark: SparkSession) -> Iterator[None]:
                     spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing.
+def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing. batch_rows: rows of a batch that this step hands to Python, where rows are large.
 
     The shuffle files of the writing query are removed as it ends, so what is on disk
     at a time is one step's shuffle and the settled tables.
@@ -93,7 +94,13 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     with _written(spark):
-        df.select("*").write.parquet(path)
+        if batch_rows:
+            spark.conf.set(BATCHES, str(batch_rows))
+        try:
+            df.select("*").write.parquet(path)
+        finally:
+            if batch_rows:
+                spark.conf.set(BATCHES, SETTINGS[BATCHES])
     return spark.read.schema(df.schema).parquet(path)
 
 
