@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -20,7 +23,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", alignment_queries.QUERIES)
 def test_queries_equal_their_sql(spark, name):
     with duckdb.connect() as db:
-        for table in ("events", "part", "conversations"):
+        for table in ("events", "part", "conversations", "orders"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         found = db.execute(alignment_queries.ORACLES[name])
         columns = [d[0] for d in found.description]
@@ -45,6 +48,16 @@ def test_library_does_not_import_the_llm_subpackage():
                     assert "llm" not in open(os.path.join(folder, name)).read()
 
 
+def test_only_a_missing_subpackage_is_passed_over(tmp_path):
+    home = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(home, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "tests"))
+    names = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = lambda: subprocess.run([sys.executable, "-c", names], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(alignment_queries.QUERIES)), str(len(alignment_queries.ORACLES))]
+    (tmp_path / "copy/corpus_pipeline.py").write_text("import some_package_that_is_not_there")
+    assert "some_package" in run().stderr
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("a", k) for k in range(5)] + [("b", 0), ("z", 0)], "view string, n long").write.mode("overwrite").parquet(str(tmp_path / "in"))
