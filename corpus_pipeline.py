@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from lockstep.llm.common import documents, settle
+from lockstep.llm.common import documents, forget, scratch, settle
 from lockstep.llm.queries import tokenizer_path
 
 
@@ -58,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages' rows. At any time the documents of one stage, or of two while one is written, are on disk, and what the stage at work has settled."""
+    docs, last = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            docs = keep(settle(stage(spark, docs, sf_dir)))
+        if last is not None:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

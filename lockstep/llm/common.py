@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -63,6 +63,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that this thread settles inside are deleted as it ends, whether well or not, but for those that are passed to what it gives; these are its surroundings' from then on.
+
+    What leaves a scratch must be settled itself: a plan that still reads a table of it fails.
+    """
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._settled)
+        return df
+
+    outer, own = getattr(_open, "tables", None), {}
+    _open.tables = own
+    try:
+        yield keep
+    finally:
+        _open.tables = outer
+        for path, spark in own.items():
+            if path not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer[path] = spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _writing = threading.Lock()
 _before: list[dict] = []
 
@@ -85,7 +118,7 @@ def _written(spark: SparkSession) -> Iterator[None]:
                     spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+def settle(df: DataFrame, batch_rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors lose nothing. batch_rows: rows of a batch that this step hands to Python, where rows are large.
 
     The shuffle files of the writing query are removed as it ends, so what is on disk
@@ -93,15 +126,19 @@ def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if getattr(_open, "tables", None) is not None:
+        _open.tables[path] = spark
     with _written(spark):
         if batch_rows:
             spark.conf.set(BATCHES, str(batch_rows))
         try:
-            df.select("*").write.parquet(path)
+            df.select("*").write.option("compression", compression).parquet(path)
         finally:
             if batch_rows:
                 spark.conf.set(BATCHES, SETTINGS[BATCHES])
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def looked_up(table: DataFrame) -> DataFrame:
@@ -113,12 +150,9 @@ def looked_up(table: DataFrame) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete settled tables that no later step reads."""
+    """Delete tables, as `settle` gave them, that no later step reads."""
     for df in frames:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df._settled)
 
 
 def bitmap(bits: DataFrame) -> np.ndarray:

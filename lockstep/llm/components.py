@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, settle
+from .common import BROADCAST_ROWS, forget, scratch, settle
 
 #: Links that a task joins at once.
 TASK_LINKS = 1 << 20
@@ -95,6 +95,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes are numbers. Links to a node itself, nulls and repeats do not count; without
     links there are no rows. Rounds are about the logarithm of the longest path, at most.
     """
+    with scratch() as keep:
+        return keep(_components(pairs, a, b))
+
+
+def _components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     now, before = _fewer(pairs.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")), None
     while True:
         after = _sum(now)

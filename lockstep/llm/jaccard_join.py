@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, buckets_for, forget, looked_up, settle, slices, text_bytes
+from .common import WORD_PATTERN, buckets_for, forget, looked_up, scratch, settle, slices, text_bytes
 from .components import components, some_roots
 from .shingles import shingle_sets
 
@@ -432,12 +432,11 @@ def with_nodes(docs: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame, often: int, longest: int, spread: int) -> DataFrame:
     """(doc_id, node, n, root), settled, for each row of docs: its text's node and number of shingles, and the least node of its component."""
-    texts = with_nodes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    found = links(texts.select("node", "text"), often, longest, spread)
-    # both sides are plain shuffles: many rows of one text are split
-    out = settle(texts.select("doc_id", "node").join(found, "node"))
-    forget(found)
-    return out
+    with scratch() as keep:
+        texts = with_nodes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+        found = links(texts.select("node", "text"), often, longest, spread)
+        # both sides are plain shuffles: many rows of one text are split
+        return keep(settle(texts.select("doc_id", "node").join(found, "node")))
 
 
 def components_of(docs: DataFrame, often: int = FREQUENT, longest: int = LIST, spread: int = SPREAD) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.align import ranges
-from .common import WORD_PATTERN, forget, settle
+from .common import WORD_PATTERN, scratch, settle
 
 #: Weights of the sources by rank, repeating; and the most a source gives, as a multiple of its size.
 WEIGHTS = (5, 2, 1)
@@ -89,13 +89,13 @@ def plan(docs: DataFrame, seed: str = SEED, by_text: bool = False) -> DataFrame:
     Whatever columns docs has stay in the struct.
     """
     sized = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"), F.col("source").alias("__source"))
-    sizes = settle(sized.groupBy("__source").agg(F.sum("size").alias("__source_size")))
-    rows, names = sizes.agg(F.count("*"), F.coalesce(F.sum(F.length("__source")), F.lit(0))).first()
-    few = rows <= BROADCAST_ROWS and names * 4 <= BROADCAST_BYTES
-    parts = 1 if few else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # settled, so that the few rows are made once, and that a join of many is one of two plain shuffles
-    targets = settle(source_targets(sizes, parts=parts).withColumnRenamed("__source", "__name"))
-    forget(sizes)
+    with scratch() as keep:
+        sizes = settle(sized.groupBy("__source").agg(F.sum("size").alias("__source_size")))
+        rows, names = sizes.agg(F.count("*"), F.coalesce(F.sum(F.length("__source")), F.lit(0))).first()
+        few = rows <= BROADCAST_ROWS and names * 4 <= BROADCAST_BYTES
+        parts = 1 if few else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # settled, so that the few rows are made once, and that a join of many is one of two plain shuffles
+        targets = keep(settle(source_targets(sizes, parts=parts).withColumnRenamed("__source", "__name")))
     if few:
         targets = F.broadcast(targets)
     out = sized.join(targets, F.col("__source").eqNullSafe(F.col("__name")))

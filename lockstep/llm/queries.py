@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import collocations, divergence, embedding_dedup, flac, jaccard_join, language_id, line_dedup, mixing, neighbours, packing, pii, quality, suffix_dedup
@@ -17,6 +16,8 @@ TOKENIZER = "word_bpe_49k.json"
 def tokenizer_path(spark: SparkSession, name: str = TOKENIZER) -> str:
     """Where a public tokenizer's file lies: in the folder that the session's spark.lockstep.tokenizers names, else where its package has it."""
     folder = spark.conf.get("spark.lockstep.tokenizers", None)
+    if not folder:
+        import public_tokenizers
     return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 

@@ -503,11 +503,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, ord
     bound = F.least(F.octet_length("at") / 4 * (v / (order + 1)), F.octet_length("text").cast("double"))
     many = candidates.agg(F.coalesce(F.sum(bound), F.lit(0.0))).first()[0]
     dealt = max(buckets, int(many // BUCKET_NAMES) + 1)
-    starts = settle(repeated(_names(candidates, passage, v, dealt), dealt, lambda at, size: in_a_row(at).tobytes()))
-    many = starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = settle(repeated(_names(candidates, passage, v, dealt), dealt, lambda at, size: in_a_row(at).tobytes()))
+    many = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dealt = max(buckets, int(many // BUCKET_SUFFIXES) + 1)
-    starts = starts.groupBy("key").agg(F.any_value("at").alias("at"))
+    starts = named.groupBy("key").agg(F.any_value("at").alias("at"))
     left = settle(candidates.select("key", "text").join(starts, "key"))
+    forget(marks, candidates, named)
     pieces = _pieces(left, passage, length, dealt).repartitionById(dealt, "bucket").sortWithinPartitions("bucket")
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
@@ -517,7 +518,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, ord
     once = runs.groupBy("key").agg(F.any_value("runs").alias("runs"), F.any_value("repeated").alias("repeated"))
     cut = left.select("key", "text").join(once, "key").mapInArrow(_cut, CUT)
     cut = settle((cut if keep_text else cut.drop("kept")).dropDuplicates(["key"]))
-    forget(marks, candidates, left, runs)
+    forget(left, runs)
     base = keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("__sha"), "text")
     both = base.join(cut, "key", "left").join(copies.select("key", F.lit(True).alias("__copied")), "key", "left")
     copied = F.col("__copied").isNotNull()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from lockstep.llm import common, queries
 from lockstep.llm.common import forget, settle, shared_dir, slices, text_bytes
 
@@ -45,6 +46,49 @@ def test_settled_tables_and_settings(spark):
     assert not os.path.exists(folder)
 
 
+def _tables(spark):
+    base = shared_dir(spark).rpartition("/")[0].removeprefix("file:")
+    return set(os.listdir(base)) if os.path.isdir(base) else set()
+
+
+def test_scratch_leaves_what_is_kept(spark):
+    before = _tables(spark)
+    with common.scratch() as keep:
+        one = keep(settle(spark.range(3)))
+        with common.scratch() as inner:
+            settle(spark.range(4))
+            two, three = inner(settle(spark.range(5))), inner(settle(spark.range(6)))
+        assert two.count() == 5 and len(_tables(spark) - before) == 3
+        forget(three)
+    assert one.count() == 3 and len(_tables(spark) - before) == 1
+    with pytest.raises(ValueError), common.scratch():
+        settle(spark.range(3))
+        raise ValueError
+    forget(one)
+    assert _tables(spark) == before
+
+
+def test_operators_leave_only_what_their_results_read(spark, docs, monkeypatch):
+    from lockstep.llm import collocations, components, divergence, jaccard_join, mixing, suffix_dedup
+
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 4)  # rounds settle what they would else broadcast
+    for run, most in (
+        (lambda: components.components(pairs), 1), (lambda: jaccard_join.components_of(docs), 2), (lambda: mixing.taken(docs), 1), (lambda: suffix_dedup.dedup(docs), 2),
+        (lambda: divergence.audit(docs), 3), (lambda: collocations.mine(docs, least=3), 6),
+    ):
+        before = _tables(spark)
+        found = run()
+        assert len(_tables(spark) - before) <= most
+        found.count()
+
+
+def test_pipeline_leaves_the_last_stage_only(spark):
+    before = _tables(spark)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert len(_tables(spark) - before) == 1
+
+
 def test_settings_of_several_writers(spark):
     """The session's own settings come back when the last writer is done, in whatever order they end."""
     before = {k: spark.conf.get(k, None) for k in common.SETTINGS}
