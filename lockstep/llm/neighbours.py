@@ -79,6 +79,15 @@ def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     """Of one block: query, row and score of each query's k best, and how many rows were compared."""
     unit, wanted = _unit(x), _unit(queries)
     forest = Forest(unit, trees)
+    repeated = len(np.unique(ids)) < len(ids)
+
+    def kth(rows: np.ndarray, scores: np.ndarray) -> float | None:
+        """The k-th best score, an id counted once; None if there are fewer."""
+        if repeated:
+            order = np.lexsort((-scores, ids[rows]))
+            scores = scores[order][np.diff(ids[rows][order], prepend=ids[rows][order][:1] - 1) != 0]
+        return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
+
     strings = np.stack(forest.strings(wanted))
     n, compared = len(x), 0
     best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in wanted]
@@ -100,12 +109,11 @@ def nearest(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
                 seen[q] = np.packbits(here | old)
                 compared += len(new)
                 rows, scores = np.concatenate([best[q][0], new]), np.concatenate([best[q][1], unit[new] @ wanted[q]])
-                if len(rows) > k:
-                    keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k] - CLOSE
+                if (least := kth(rows, scores)) is not None:
+                    keep = scores >= least - CLOSE
                     rows, scores = rows[keep], scores[keep]
                 best[q] = rows, scores
-            scores = best[q][1]
-            if depth and (len(scores) < k or missed(np.partition(scores, len(scores) - k)[len(scores) - k], depth, trees) > miss):
+            if depth and ((least := kth(*best[q])) is None or missed(least, depth, trees) > miss):
                 going.append(q)
         active = np.array(going, np.int64)
     out: tuple[list, list, list] = ([], [], [])
@@ -124,6 +132,13 @@ def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are equal in id and vector, once."""
+    whole = np.ascontiguousarray(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), x.view(np.uint8).reshape(len(x), -1)], axis=1))
+    first = np.sort(np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True)[1])
+    return ids[first], x[first]
+
+
 def _fine(vector: Column) -> Column:
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     return F.coalesce(whole, F.lit(False))
@@ -141,10 +156,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     sizes = fine(vectors).agg(F.count("*"), F.max(F.size("vector"))).first()
     rows = max(1, min(block, BLOCK_BYTES // (8 * max(sizes[1] or 1, 1))))
     blocks, runs = max(1, -(-sizes[0] // rows)), max(1, -(-asked.count() // run))
-    dealt = lambda df, seed, n: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n)).cast("int")
+    dealt = lambda hashed, n: F.pmod(hashed, F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = fine(vectors).withColumn("i", dealt(None, 5, blocks)).withColumn("j", every(runs)).withColumn("asks", F.lit(False))
-    asking = asked.withColumn("j", dealt(None, 6, runs)).withColumn("i", every(blocks)).withColumn("asks", F.lit(True))
+    # by id and place, so that an id that many rows share fills no block
+    held = fine(vectors).withColumn("i", dealt(F.xxhash64("id", F.monotonically_increasing_id()), blocks)).withColumn("j", every(runs)).withColumn("asks", F.lit(False))
+    asking = asked.withColumn("j", dealt(F.xxhash64("id"), runs)).withColumn("i", every(blocks)).withColumn("asks", F.lit(True))
     both = held.unionByName(asking).withColumn("dim", F.size("vector"))
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
@@ -152,10 +168,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
         x, q = table.filter(pa.compute.invert(asks)), table.filter(asks)
         if not len(x) or not len(q):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found = nearest(_vectors(x["vector"], dim), x["id"].to_numpy(), _vectors(q["vector"], dim), q["id"].to_numpy(), k, trees, miss)
+        ids, given = _once(x["id"].to_numpy(), _vectors(x["vector"], dim))
+        found = nearest(given, ids, _vectors(q["vector"], dim), q["id"].to_numpy(), k, trees, miss)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    found = both.groupBy("i", "j", "dim").applyInArrow(compared, FOUND)
+    found = both.groupBy("i", "j", "dim").applyInArrow(compared, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
