@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +64,26 @@ def consistency(inspected: DataFrame, counts: DataFrame, fps: float = FPS) -> Da
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """One CSV file in the folder at path, in row order; what was there is replaced. A manifest has a row per view."""
-    manifest.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
+    """One CSV file in row order; what was there is replaced. A manifest has a row per view.
+
+    A path that ends in .csv is the file itself, put there when it is whole; any other is a folder with the file in it.
+    """
+    if not path.endswith(".csv"):
+        manifest.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
+        return
+    spark = manifest.sparkSession
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder or '.'}/.{name}.{uuid.uuid4().hex}"
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        manifest.coalesce(1).write.options(**CSV).csv(aside)
+        made = store.globStatus(at(f"{aside}/part-*"))[0].getPath()
+        store.delete(at(path), True)
+        if not store.rename(made, at(path)):
+            raise OSError(f"{path} could not be written")
+    finally:
+        store.delete(at(aside), True)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:

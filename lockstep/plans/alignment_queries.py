@@ -172,12 +172,20 @@ def manifest_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("view", "nb_frames", "frame_offset", "frame_count", "consistent")
 
 
+def manifest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment manifest's lines in the registry's order, here of views by falling offset."""
+    views = registry(spark, sorted(STAND_INS, key=lambda v: -v[2]))
+    counts = align.kept_counts(_frames(spark, sf_dir), views)
+    lines = manifest.alignment(counts, F.lit(SIZE), REFERENCE).coalesce(1)
+    return lines.select((F.monotonically_increasing_id() + 1).alias("line"), "view", "frame_count")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         frame_numbering, offset_trim, frame_reindex, frame_file_name, frame_count, time_offset, alignment_note, resolution, alignment_manifest,
         inspection_manifest, existing_frame_count, extract_action, group_offset_trim, aligned_views, aligned_views_full, manifest_consistency,
-        probe_last_key, reference_resolution, frame_listing, frame_gaps, frame_runs, frames_present, frames_missing,
+        probe_last_key, reference_resolution, frame_listing, frame_gaps, frame_runs, frames_present, frames_missing, manifest_order,
     )
 }
 
@@ -212,6 +220,7 @@ ORACLES: dict[str, str] = {
         placed AS (SELECT view, k, k - row_number() OVER (PARTITION BY view ORDER BY k) AS run FROM named)
         SELECT view, min(k) AS first, max(k) AS last FROM placed GROUP BY view, run""",
     "frames_present": "SELECT o_orderpriority AS view, count(DISTINCT o_orderkey) AS frame_count FROM orders GROUP BY o_orderpriority",
+    "manifest_order": f"{_CTES} SELECT row_number() OVER (ORDER BY off DESC) AS line, view, frame_count FROM counts",
     "frames_missing": """
         WITH wanted AS (SELECT (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[CAST(event_id % 5 + 1 AS INT)] AS view, event_id AS frame_idx FROM events)
         SELECT view, frame_idx FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = w.view AND o.o_orderkey = w.frame_idx)""",

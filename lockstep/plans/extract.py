@@ -133,10 +133,10 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("lockstep").getOrCreate()
     views, at = registry(spark), roots(given.root)
     if given.program == "probe":
-        done = inspect(spark, at, views, f"{given.manifests}/video_inspection")
+        done = inspect(spark, at, views, f"{given.manifests}/video_inspection.csv")
     else:
         decode = video.external_decoder(shlex.split(given.decoder)) if given.decoder else video.read_frames
-        done = extract(spark, at, views, f"{given.manifests}/metadata", force=given.force, metadata_only=given.metadata_only, decode=decode, complete=given.complete, by_key=given.by_key)
+        done = extract(spark, at, views, f"{given.manifests}/metadata.csv", force=given.force, metadata_only=given.metadata_only, decode=decode, complete=given.complete, by_key=given.by_key)
     done.show(truncate=False)
     if given.program == "extract" and not given.metadata_only:
         log.info("done; check by eye that frames of one number show one instant in all views")

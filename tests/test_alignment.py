@@ -163,3 +163,15 @@ def test_manifests_survive_csv(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == rows
     text_ = next((tmp_path / "m").glob("part-*")).read_text().splitlines()
     assert text_[0] == "view,fps,frame_offset,time_offset_sec,resolution,frame_count,notes" and text_[1].endswith('3,"a, ""b"""')
+
+
+def test_manifest_as_one_named_file(spark, tmp_path):
+    rows = [("v1", 25.0, 1, 0.04, "1x2", 3, "x"), ("v0", 25.0, 0, 0.0, "1x2", 0, "")]
+    frame = spark.createDataFrame(rows, manifest.ALIGNMENT)
+    target = tmp_path / "metadata.csv"
+    target.mkdir()  # as an earlier version left it
+    for some in (frame, frame.limit(1), frame.limit(0)):
+        manifest.write_manifest(some, str(target))
+        assert target.is_file() and manifest.read_manifest(spark, str(target), manifest.ALIGNMENT).count() == some.count()
+        assert target.read_text().splitlines()[0] == "view,fps,frame_offset,time_offset_sec,resolution,frame_count,notes"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["metadata.csv"]

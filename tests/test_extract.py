@@ -209,6 +209,17 @@ def test_extract_skip_force_and_metadata_only(spark, project, tmp_path):
     assert (tmp_path / "data/view3/frame_0001.jpg").read_bytes() == image("view3", 5)
 
 
+def test_programs(spark, project, tmp_path):
+    """The two programs as they are called, with the registered views."""
+    manifests = tmp_path / "manifests"
+    extract.main(["probe", "--root", project.root, "--manifests", str(manifests)])
+    extract.main(["extract", "--root", project.root, "--manifests", str(manifests)])
+    extract.main(["extract", "--root", project.root, "--manifests", str(manifests), "--complete", "--metadata-only"])
+    assert (manifests / "video_inspection.csv").read_text().splitlines()[1:] == [f"{v},{n},mjpeg,36,28,25/1,0.240000,6" for v, n, _ in VIEWS]
+    assert [line.split(",")[5] for line in (manifests / "metadata.csv").read_text().splitlines()[1:]] == ["3", "6", "5"]
+    assert len(list((tmp_path / "data").rglob("frame_*.jpg"))) == 14
+
+
 def test_missing_reference_fails_before_any_manifest(spark, project, tmp_path):
     (tmp_path / "raw_videos/view2.avi").unlink()
     with pytest.raises(FileNotFoundError):
