@@ -2,16 +2,15 @@
 
 Texts are packed into chunks of one language: the words of a chunk, numbered, and its running text as these numbers. Level 1
 counts words. Every further level reads the chunks and emits a phrase of k words only where both phrases of k - 1 words that overlap
-in it are frequent; the last level's frequent phrases are told to all tasks as one bitmap of fixed size, a bit for each phrase's hash. A bit that is
-set by another phrase lets a candidate more be counted, and none is lost: counts are by the phrase's text, and exact. So what is broadcast doesn't
-grow with the data.
+in it are frequent; the last level's frequent phrases are told to all tasks as one bitmap of fixed size, a bit for each phrase's hash. What is emitted is first
+counted by hash, then, where that count is high enough, by text: so few texts are shuffled. A bit or hash that belongs to another phrase too lets a candidate more be
+counted, and none is lost: the last count is by the phrase's text, and exact. What is broadcast doesn't grow with the data.
 
 Cuts are scored from the level tables, in decimals: both parts of a frequent phrase are frequent themselves.
 """
 
 from __future__ import annotations
 
-import secrets
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from .common import BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slic
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Texts as they are split: A to Z in lower case, what ends a piece as a full stop, tabs as blanks.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-CHUNKS = "chunk long, lang string, words array<string>, counts array<long>, codes binary"
+CHUNKS = "lang string, words array<string>, counts array<long>, codes binary"
 #: Text bytes of a chunk: what a task holds of one at each level is some twenty times as much.
 CHUNK_BYTES = 4 << 20
 #: Chunks in a batch.
@@ -70,7 +69,22 @@ def _chunk(lang: str, texts: list[bytes]) -> pa.RecordBatch:
     words, codes = numbered(texts)
     counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
     lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts))]
-    return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), pa.array([lang], pa.string()), *lists, pa.array([codes.tobytes()], pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *lists, pa.array([stored(codes)], pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
+
+
+def stored(codes: np.ndarray) -> bytes:
+    """Numbers from -1 on as bytes: their low bytes, then their next ones, up to those that are needed, which leaves little once it is compressed."""
+    planes = (codes.astype("<u4") + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    need = next((k for k in (4, 3, 2) if len(codes) and planes[k - 1].any()), 1)
+    return bytes([need]) + planes[:need].tobytes()
+
+
+def restored(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], np.int32)
+    for k, plane in enumerate(planes):
+        out |= plane.astype(np.int32) << 8 * k
+    return out - 1
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -84,7 +98,8 @@ def joined(first: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def bits(hashed: np.ndarray) -> np.ndarray:
-    return (hashed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    """The bit of each hash: its first bits."""
+    return (hashed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +119,12 @@ def told(frequent: DataFrame) -> np.ndarray:
     return bitmap(frequent.select("lang", "phrase").mapInArrow(_set_bits, "bit long"))
 
 
-def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of k words whose first and last k - 1 words are in the bitmap."""
+def candidates(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of k words begin whose first and last k - 1 words are in the bitmap, and their hashes."""
     n = len(codes) - k + 1
-    if n <= 0:
-        return
-    word = hashes(words.to_pylist())[codes] if len(words) else np.zeros(len(codes), np.uint64)
+    if n <= 0 or not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word = hashes(words.to_pylist())[codes]
     whole = codes >= 0
     value = np.repeat(hashes([lang]), n + 1)
     inside = np.ones(n + 1, bool)
@@ -118,6 +133,11 @@ def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.
         inside &= whole[j : j + n + 1]
     known = inside & is_set(frequent, bits(value))
     at = np.flatnonzero(known[:-1] & known[1:])
+    return at, joined(value[at], word[at + k - 1])
+
+
+def phrases(words: pa.Array, codes: np.ndarray, k: int, at: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of the k words from each place on."""
     if not len(at):
         return
     columns = [codes[at + j].astype(np.int64) for j in range(k)]
@@ -137,17 +157,33 @@ def phrases(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent: np.
 
 def level(chunks: DataFrame, last: DataFrame, k: int, least: int) -> DataFrame:
     """(lang, phrase, n): the frequent phrases of k words, from those of k - 1."""
-    frequent = chunks.sparkSession.sparkContext.broadcast(told(last))
+    context = chunks.sparkSession.sparkContext
+    frequent = context.broadcast(told(last))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for lang, words, codes in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("codes")):
-                for found, counts in phrases(lang, words.values, np.frombuffer(codes.as_buffer(), np.int32), k, frequent.value):
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), found, pa.array(counts)], ["lang", "phrase", "n"])
-
-    found = chunks.select("lang", "words", "codes").mapInArrow(run, "lang string, phrase string, n long")
-    out = settle(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), CHUNK_ROWS)
+            for lang, words, data in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("codes")):
+                codes = restored(data.as_buffer().to_pybytes())
+                yield lang, words.values, codes, *candidates(lang, words.values, codes, k, frequent.value)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, _, value in found(batches):
+            own, counts = np.unique(value, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts)], ["h", "n"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, codes, at, value in found(batches):
+            for text, counts in phrases(words, codes, k, at[is_set(many.value, bits(value))]):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(text)), text, pa.array(counts)], ["lang", "phrase", "n"])
+
+    running = chunks.select("lang", "words", "codes")
+    by_hash = settle(running.mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), CHUNK_ROWS)
+    many = context.broadcast(bitmap(by_hash.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("bit"))))
+    by_text = running.mapInArrow(named, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    out = settle(by_text.where(F.col("n") >= least), CHUNK_ROWS)
     frequent.destroy()
+    many.destroy()
+    forget(by_hash)
     return out
 
 
@@ -164,7 +200,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LON
     candidates has no row, an empty table gives none; equal scores rank by a, then by phrase. Other columns are ignored.
     """
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chunks = settle(text.mapInArrow(lambda batches: _packed(batches, limit), CHUNKS))
+    chunks = settle(text.mapInArrow(lambda batches: _packed(batches, limit), CHUNKS), compression="zstd")
     counted = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("n"))
     counted = settle(counted)
     totals = settle(counted.groupBy("lang").agg(F.sum("n").alias("n")))
@@ -180,11 +216,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LON
     table = table.withColumnRenamed("n", "a")
     words = F.split("phrase", " ")
     part = lambda start, size: F.array_join(F.slice(words, start, size), " ")
-    candidates = table.where("size > 1")
+    several = table.where("size > 1")
     # a phrase is dropped where one that is a word longer is as frequent: of two that are further apart, those between are as frequent too
     inner = F.explode(F.array(part(F.lit(1), F.col("size") - 1), part(F.lit(2), F.col("size") - 1)))
-    longer = candidates.where("size > 2").select("lang", "a", inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("inside"))
-    left = candidates.join(longer, ["lang", "phrase"], "left").where("inside IS NULL OR inside < a").drop("inside")
+    longer = several.where("size > 2").select("lang", "a", inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("inside"))
+    left = several.join(longer, ["lang", "phrase"], "left").where("inside IS NULL OR inside < a").drop("inside")
     cuts = left.join(looked_up(totals), "lang").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "n", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
     parts = table.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l"))

@@ -130,13 +130,17 @@ def test_phrases_of_overlaps_and_languages(spark):
     assert collocations.mine(frame.limit(0)).count() == 0
 
 
+def emitted(lang, words, codes, k, told):
+    at, _ = collocations.candidates(lang, words, codes, k, told)
+    return {p: n for found, counts in collocations.phrases(words, codes, k, at) for p, n in zip(found.to_pylist(), counts.tolist())}
+
+
 def test_phrases_with_a_crowded_bitmap():
     """Every bit set: more candidates, the same counts."""
     words, codes = collocations.numbered([b"one two three one two. one two four".translate(collocations.NORMAL), b"one two"])
     full = np.full((1 << collocations.BITMAP_BITS) // 8, 255, np.uint8)
-    got = {p: n for found, counts in collocations.phrases("x", words, codes, 2, full) for p, n in zip(found.to_pylist(), counts.tolist())}
-    assert got == {"one two": 4, "two three": 1, "three one": 1, "two four": 1}
-    assert not list(collocations.phrases("x", words, codes, 2, np.zeros_like(full))) and not list(collocations.phrases("x", words, codes[:1], 2, full))
+    assert emitted("x", words, codes, 2, full) == {"one two": 4, "two three": 1, "three one": 1, "two four": 1}
+    assert not emitted("x", words, codes, 2, np.zeros_like(full)) and not emitted("x", words, codes[:1], 2, full) and not emitted("x", words[:0], codes[:0], 2, full)
 
 
 def test_only_phrases_of_frequent_phrases_are_counted(spark):
@@ -144,7 +148,16 @@ def test_only_phrases_of_frequent_phrases_are_counted(spark):
     told = collocations.told(frequent)
     assert np.unpackbits(told).sum() == 3
     words, codes = collocations.numbered([b"one two three one two"])
-    assert [p for found, _ in collocations.phrases("x", words, codes, 3, told) for p in found.to_pylist()] == ["one two three"]
+    assert emitted("x", words, codes, 3, told) == {"one two three": 1}
+    # a phrase's hash is the same whether it is made of a text or of its words
+    pair = collocations.candidates("x", words, codes, 2, np.full_like(told, 255))[1][0]
+    assert np.unpackbits(told, bitorder="little")[collocations.bits(np.array([pair]))[0]] == 1
+
+
+@pytest.mark.parametrize("most", [0, 1, 254, 255, 65_534, 65_535, 1 << 24])
+def test_numbers_are_stored_by_bytes(most):
+    codes = np.array([-1, 0, most, -1, most // 2], np.int32)
+    assert (collocations.restored(collocations.stored(codes)) == codes).all() and not len(collocations.restored(collocations.stored(codes[:0])))
 
 
 def test_scores_beyond_64_bits(spark):
@@ -199,6 +212,23 @@ def test_neighbours_of_odd_vectors(spark, block, run):
     assert sorted(map(tuple, got)) == plain_nearest(rows, neighbours.K)
 
 
+@pytest.mark.parametrize("block", [65_536, 100])
+def test_neighbours_of_an_id_that_many_rows_share(spark, block):
+    """Copies of one row, and vectors of its own for each row of an id, push no other out."""
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(60)]
+    near = rows[0][1]
+    rows += [(7001, [x + 1e-3 for x in near])] * 300 + [(7002, [x + 1e-3 * float(rng.normal()) for x in near]) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.search(frame, frame.where("vec_id = 0"), miss=1e-6, block=block).orderBy("rank").collect()]
+    x = {}
+    for d, v in rows:
+        x.setdefault(d, []).append(np.array(v, np.float32).astype(float))
+    q = x[0][0]
+    best = sorted((-max(float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)) for v in own), d) for d, own in x.items() if d)[:5]
+    assert [g[:2] for g in got] == [(k, d) for k, (_, d) in enumerate(best, 1)] and all(abs(g[2] + b[0]) < 1e-12 for g, b in zip(got, best))
+
+
 def test_neighbours_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.evaluated(empty).count() == 0
