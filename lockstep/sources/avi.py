@@ -146,8 +146,8 @@ def _index2(file: BinaryIO, lists: list[tuple[int, int]]) -> Frames:
 def frames_of(file: BinaryIO, found: dict[str, str] | None = None) -> Frames:
     """Where the frames of the first video stream lie: by an index that covers the file, else by a walk over the chunks.
 
-    An empty chunk, which stands for no change of the picture, is no frame; nor is one that the file's end cuts off. A walk knows key frames only
-    of codecs all of whose frames are.
+    An empty chunk, which stands for no change of the picture, is no frame; nor is one that the file's end cuts off. A walk knows key frames
+    of MPEG-4, by their first bytes, and of codecs all of whose frames are.
     """
     found = header_of(file) if found is None else found
     if not found:
@@ -159,7 +159,11 @@ def frames_of(file: BinaryIO, found: dict[str, str] | None = None) -> Frames:
     if index is None:
         walked = [(a, b - a) for name, a, b in chunks(file, read=read) if name in names]
         table = np.array(walked, np.int64).reshape(-1, 2)
-        index = Frames(table[:, 0], table[:, 1], np.full(len(table), found["codec_name"] in ("mjpeg", "rawvideo")))
+        alone = found["codec_name"] in ("mjpeg", "rawvideo")
+        # MPEG-4: an I picture, or headers before one, at the start of a chunk
+        coded = found["codec_name"] == "mpeg4"
+        key = [alone or coded and b - a > 4 and ((head := read(a, 5))[:3] == b"\0\0\1" and (head[3] != 0xB6 or head[4] >> 6 == 0)) for a, b in ((a, a + n) for a, n in walked)]
+        index = Frames(table[:, 0], table[:, 1], np.array(key, bool))
     keep = (index.size > 0) & (index.at + index.size <= read.end)
     return Frames(*(c[keep] for c in index))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lockstep.operators.registry import registry
 from lockstep.plans import extract
-from lockstep.sources import config, datasource, jpeg, mpeg4, video
+from lockstep.sources import avi, config, datasource, jpeg, mpeg4, video
 from mpeg4_streams import Stream, layer
 from movies import chunk, movie
 from test_jpeg import decoded
@@ -104,6 +104,13 @@ def test_video_is_extracted_without_a_command(spark, tmp_path):
     assert [r["frame_count"] for r in extract.extract(spark, at, views, f"{at.root}/metadata", complete=True).collect()] == [9, 12, 7]
 
 
+def test_key_frames_without_an_index():
+    coded, _ = film(36, 20, 7, 3)
+    found = avi.frames_of(io.BytesIO(movie(coded, 36, 20, b"FMP4")))
+    assert np.flatnonzero(found.key).tolist() == [0, 3, 6] and video.key_ranges(found, 0) == [(0, 3), (3, 6), (6, 7)]
+    assert not avi.frames_of(io.BytesIO(movie([b"\0\0\1\xb6\x50", b"x"], 36, 20, b"FMP4"))).key.any()
+
+
 def test_headers_beside_the_stream():
     """A layer's header that is in the format chunk only."""
     coded, _ = film(36, 20, 3, 9)
