@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -78,7 +79,7 @@ def occurrences(texts: Iterable[bytes], terms: list[str]) -> Iterator[np.ndarray
         automaton.add_word(f" {term} ", k)
     automaton.make_automaton()
     for text in texts:
-        yield np.bincount(np.fromiter((k for _, k in automaton.iter(f" {text.decode()} ")) if terms else (), np.int64), minlength=len(terms))
+        yield np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(f" {text.decode()} ")) if terms else (), np.int64), minlength=len(terms))
 
 
 def _bits(lang: str, terms: Iterable[str]) -> np.ndarray:
@@ -203,7 +204,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, limit: int = BATC
     named = looked_up(groups)
     first, second = named.select(F.col("g").alias("a"), "lang", "source"), named.select(F.col("g").alias("b"), F.col("source").alias("item"))
     pair = pairs.join(first, "a").join(second, "b").select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-    found = lists.join(F.broadcast(totals), "lang").withColumn("q", share("n", "all")).select("lang", "term", "q", F.explode("list").alias("e")).select("term", "q", "e.g", "e.p")
+    found = lists.join(looked_up(totals), "lang").withColumn("q", share("n", "all")).select("lang", "term", "q", F.explode("list").alias("e")).select("term", "q", "e.g", "e.p")
     term = found.where("p > q").join(named.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap("p", "q").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
