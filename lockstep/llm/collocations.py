@@ -2,15 +2,18 @@
 
 Texts are packed into chunks of one language: the words of a chunk, numbered, and its running text as these numbers. Level 1
 counts words. Every further level reads the chunks and emits a phrase of k words only where both phrases of k - 1 words that overlap
-in it are frequent; the last level's frequent phrases are told to all tasks as one bitmap of fixed size, a bit for each phrase's hash. What is emitted is first
-counted by hash, then, where that count is high enough, by text: so few texts are shuffled. A bit or hash that belongs to another phrase too lets a candidate more be
-counted, and none is lost: the last count is by the phrase's text, and exact. What is broadcast doesn't grow with the data.
+in it are frequent; the last level's frequent phrases are told to all tasks as one bitmap of fixed size, a bit for each phrase's hash. A bit that
+belongs to another phrase too lets a candidate more be counted, and none is lost. What is broadcast doesn't grow with the data.
+
+Phrases are counted by 64-bit hashes, of which two among n are the same with probability about n^2 / 2^65. Of a frequent one, the text is sent once, by the chunk
+with the least tag of those that hold it: texts are as many as frequent phrases, however many tasks there are.
 
 Cuts are scored from the level tables, in decimals: both parts of a frequent phrase are frequent themselves.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from .common import BITMAP_BITS, bitmap, forget, is_set, looked_up, settle, slic
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Texts as they are split: A to Z in lower case, what ends a piece as a full stop, tabs as blanks.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-CHUNKS = "lang string, words array<string>, counts array<long>, codes binary"
+CHUNKS = "tag long, lang string, words array<string>, counts array<long>, codes binary"
 #: Text bytes of a chunk: what a task holds of one at each level is some twenty times as much.
 CHUNK_BYTES = 4 << 20
 #: Chunks in a batch.
@@ -69,7 +72,7 @@ def _chunk(lang: str, texts: list[bytes]) -> pa.RecordBatch:
     words, codes = numbered(texts)
     counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
     lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts))]
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *lists, pa.array([stored(codes)], pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(31)]), pa.array([lang], pa.string()), *lists, pa.array([stored(codes)], pa.binary())], [c.split()[0] for c in CHUNKS.split(", ")])
 
 
 def stored(codes: np.ndarray) -> bytes:
@@ -136,23 +139,21 @@ def candidates(lang: str, words: pa.Array, codes: np.ndarray, k: int, frequent:
     return at, joined(value[at], word[at + k - 1])
 
 
-def phrases(words: pa.Array, codes: np.ndarray, k: int, at: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of the k words from each place on."""
-    if not len(at):
-        return
-    columns = [codes[at + j].astype(np.int64) for j in range(k)]
-    # two numbers make one exactly; a third column joins the ranks of the first two, and so on
-    key = columns[0]
-    for j in range(1, k):
-        key = key * len(words) + columns[j]
-        if j + 1 < k:
-            key = np.unique(key, return_inverse=True)[1]
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=-1))
-    counts, rows = np.diff(first, append=len(order)), order[first]
-    for start in range(0, len(rows), PHRASES):
-        some = rows[start : start + PHRASES]
-        yield pc.binary_join_element_wise(*[words.take(pa.array(c[some])) for c in columns], " "), counts[start : start + PHRASES]
+def phrases(words: pa.Array, codes: np.ndarray, k: int, at: np.ndarray) -> pa.Array:
+    """The texts of the k words from each place on."""
+    return pc.binary_join_element_wise(*[words.take(pa.array(codes[at + j])) for j in range(k)], " ")
+
+
+def tagged(value: np.ndarray, tag: int) -> np.ndarray:
+    """The bits of phrases' hashes together with a chunk's tag."""
+    return bits(joined(value, hashes([str(tag)])))
+
+
+def _set_tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        value, tag = batch.column("h").to_numpy().view(np.uint64), batch.column("tag").to_numpy()
+        names, which = np.unique(tag, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bits(joined(value, hashes([str(t) for t in names.tolist()])[which])) if len(value) else np.zeros(0, np.int64))], ["bit"])
 
 
 def level(chunks: DataFrame, last: DataFrame, k: int, least: int) -> DataFrame:
@@ -160,27 +161,32 @@ def level(chunks: DataFrame, last: DataFrame, k: int, least: int) -> DataFrame:
     context = chunks.sparkSession.sparkContext
     frequent = context.broadcast(told(last))
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for lang, words, data in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("codes")):
+            for tag, lang, words, data in zip(batch.column("tag").to_pylist(), batch.column("lang").to_pylist(), batch.column("words"), batch.column("codes")):
                 codes = restored(data.as_buffer().to_pybytes())
-                yield lang, words.values, codes, *candidates(lang, words.values, codes, k, frequent.value)
+                yield tag, lang, words.values, codes, *candidates(lang, words.values, codes, k, frequent.value)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, _, value in found(batches):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tag, _, _, _, _, value in found(batches):
             own, counts = np.unique(value, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts)], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts), pa.array(np.full(len(own), tag, np.int64))], ["h", "n", "tag"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, codes, at, value in found(batches):
-            for text, counts in phrases(words, codes, k, at[is_set(many.value, bits(value))]):
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(text)), text, pa.array(counts)], ["lang", "phrase", "n"])
-
-    running = chunks.select("lang", "words", "codes")
-    by_hash = settle(running.mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), CHUNK_ROWS)
-    many = context.broadcast(bitmap(by_hash.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("bit"))))
-    by_text = running.mapInArrow(named, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    out = settle(by_text.where(F.col("n") >= least), CHUNK_ROWS)
+        for tag, lang, words, codes, at, value in found(batches):
+            own, first = np.unique(value, return_index=True)
+            mine = is_set(many.value, tagged(own, tag))
+            for start in range(0, int(mine.sum()), PHRASES):
+                text = phrases(words, codes, k, at[first[mine][start : start + PHRASES]])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(text)), text, pa.array(own[mine][start : start + PHRASES].view(np.int64))], ["lang", "phrase", "h"])
+
+    running = chunks.select("tag", "lang", "words", "codes")
+    by_hash = running.mapInArrow(counted, "h long, n long, tag long").groupBy("h").agg(F.sum("n").alias("n"), F.min("tag").alias("tag"))
+    by_hash = settle(by_hash.where(F.col("n") >= least), CHUNK_ROWS)
+    many = context.broadcast(bitmap(by_hash.select("h", "tag").mapInArrow(_set_tagged, "bit long")))
+    # a bit that was set for another, or a tag that two chunks have, sends a text again
+    texts = running.mapInArrow(named, "lang string, phrase string, h long").dropDuplicates(["lang", "phrase"])
+    out = settle(texts.join(by_hash.select("h", "n"), "h").select("lang", "phrase", "n"), CHUNK_ROWS)
     frequent.destroy()
     many.destroy()
     forget(by_hash)

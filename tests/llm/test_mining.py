@@ -132,7 +132,7 @@ def test_phrases_of_overlaps_and_languages(spark):
 
 def emitted(lang, words, codes, k, told):
     at, _ = collocations.candidates(lang, words, codes, k, told)
-    return {p: n for found, counts in collocations.phrases(words, codes, k, at) for p, n in zip(found.to_pylist(), counts.tolist())}
+    return Counter(collocations.phrases(words, codes, k, at).to_pylist())
 
 
 def test_phrases_with_a_crowded_bitmap():
